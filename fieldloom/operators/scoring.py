@@ -43,7 +43,7 @@ def weighted_rmse(pairs: DataFrame, h: int, keys: Sequence[str], time: str = "va
     wt = latitude_weight(F.col(row), h)
     gap = _gap(pred, truth)
     per_time = pairs.groupBy(*keys, time).agg(
-        F.sqrt(F.sum(wt * gap * gap) / F.sum(F.when(gap.isNotNull(), wt))).alias("_r")
+        F.sqrt(F.try_divide(F.sum(wt * gap * gap), F.sum(F.when(gap.isNotNull(), wt)))).alias("_r")
     )
     return per_time.groupBy(*keys).agg(F.avg("_r").alias("wrmse"), F.count("_r").alias("n_times"))
 

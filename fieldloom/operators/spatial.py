@@ -237,9 +237,12 @@ def latitude(i: Column, h: int) -> Column:
 
 
 def latitude_weight(i: Column, h: int) -> Column:
-    """``cos(lat) / mean(cos(lat))`` of grid row ``i`` as an expression, so that scores need no join."""
-    mean = sum(math.cos(math.radians(90.0 - k * 180.0 / (h - 1))) for k in range(h)) / h
-    return F.cos(F.radians(latitude(i, h))) / mean
+    """``cos(lat) / mean(cos(lat))`` of grid row ``i`` as an expression, so that scores need no join.
+
+    A pole row covers no area and weighs exactly 0.
+    """
+    mean = sum(math.cos(math.radians(90.0 - k * 180.0 / (h - 1))) for k in range(1, h - 1)) / h
+    return F.when(i.between(1, h - 2), F.cos(F.radians(latitude(i, h))) / mean).otherwise(F.lit(0.0))
 
 
 def latitude_weights(rows: DataFrame, h: int, i: str = "i") -> DataFrame:

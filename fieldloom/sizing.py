@@ -88,19 +88,20 @@ def running_sums(
         out = rows.withColumns({n: F.sum(f"_v_{n}").over(w) for n in names})
         return out.drop(*[f"_v_{n}" for n in names])
 
-    rows = rows.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
-    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    at = f"_block{depth}"  # one name per level: a level's order column is the block below
+    rows = rows.withColumn(at, F.floor(F.col(order) / block).cast("long"))
+    totals = rows.groupBy(*keys, at).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     upto = running_sums(
-        totals, keys, "_block", {f"_u_{n}": F.col(f"_t_{n}") for n in names}, block, depth - 1
+        totals, keys, at, {f"_u_{n}": F.col(f"_t_{n}") for n in names}, block, depth - 1
     )
     offsets = upto.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_block").alias("_b"),
+        F.col(at).alias("_b"),
         *[(F.col(f"_u_{n}") - F.col(f"_t_{n}")).alias(f"_o_{n}") for n in names],
     )
-    w = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*keys, at).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in names})
-    on = F.col("_block") == F.col("_b")
+    on = F.col(at) == F.col("_b")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     out = local.join(offsets, on)
