@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used inside a lambda may be replaced by the expression behind it, which
+    would then run once per array element.  Binding it to a lambda variable first rules
+    that out.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def div(a, b) -> Column:
+    """Integer division."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def split_tensor(df: DataFrame, values: str, channels: int, h: int, w: int,
                  channel: str = "c") -> DataFrame:
     """One row per sample holding ``channels*h*w`` values -> one packed row per channel."""

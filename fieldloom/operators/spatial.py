@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sizing import as_column
+from .layout import div, let
 
 
 def crop_origin(h: int, w: int, th: int, tw: int, seed: int, *keys: str) -> tuple[Column, Column]:
@@ -40,7 +41,7 @@ def crop(cells: DataFrame, y, x, th: int, tw: int) -> DataFrame:
 def _pad(cells: DataFrame, h: int, w: int, top: int, left: int, h2: int, w2: int, value: str) -> DataFrame:
     """Shift a field into a larger frame; its first cell also emits the zero border."""
     def is_border(k):
-        r, c = F.floor(k / w2), k % w2
+        r, c = div(k, w2), k % w2
         return ~(r.between(top, top + h - 1) & c.between(left, left + w - 1))
 
     dtype = cells.schema[value].dataType
@@ -50,7 +51,7 @@ def _pad(cells: DataFrame, h: int, w: int, top: int, left: int, h2: int, w2: int
     own = F.array(cell(F.col("i") + top, F.col("j") + left, F.col(value)))
     border = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(h2 * w2 - 1)), is_border),
-        lambda k: cell(F.floor(k / w2), k % w2, F.lit(0)),
+        lambda k: cell(div(k, w2), k % w2, F.lit(0)),
     )
     first = (F.col("i") == 0) & (F.col("j") == 0)
     out = F.when(first, F.concat(own, border)).otherwise(own)
@@ -113,12 +114,10 @@ def _pick(values: Column, i: Column, j: Column, w: int) -> Column:
     return F.get(values, (i * w + j).cast("int"))
 
 
-def _grid(h: int, w: int, cell) -> Column:
-    """An ``h*w`` array whose entry k is ``cell(row, column)``."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(h * w - 1)),
-        lambda k: cell(F.floor(k / w), k % w),
-    )
+def _grid(values: Column, h: int, w: int, cell) -> Column:
+    """An ``h*w`` array whose entry k is ``cell(values, row, column)``."""
+    at = F.sequence(F.lit(0), F.lit(h * w - 1))
+    return let(values, lambda v: F.transform(at, lambda k: cell(v, div(k, w), k % w)))
 
 
 def _reshape(fields: DataFrame, values: Column, h: int, w: int) -> DataFrame:
@@ -127,13 +126,12 @@ def _reshape(fields: DataFrame, values: Column, h: int, w: int) -> DataFrame:
 
 def downsample_avg(fields: DataFrame, h: int, w: int) -> DataFrame:
     """Mean of 2x2 blocks; an odd last row or column is dropped."""
-    v = F.col("values")
 
-    def block(i, j):
+    def block(v, i, j):
         parts = [_pick(v, i * 2 + a, j * 2 + b, w) for a in (0, 1) for b in (0, 1)]
         return (parts[0] + parts[1] + parts[2] + parts[3]) / 4.0
 
-    return _reshape(fields, _grid(h // 2, w // 2, block), h // 2, w // 2)
+    return _reshape(fields, _grid(F.col("values"), h // 2, w // 2, block), h // 2, w // 2)
 
 
 def regrid_nearest(cells: DataFrame, h: int, w: int, h2: int, w2: int) -> DataFrame:
@@ -167,16 +165,16 @@ def regrid_bilinear(fields: DataFrame, h: int, w: int, h2: int, w2: int) -> Data
         a = F.least(F.floor(pos), F.lit(size - 1))
         return a, F.least(a + 1, F.lit(size - 1)), pos - F.floor(pos)
 
-    def mix(values: Column, width: int, rows: bool):
-        def cell(i, j):
-            a, b, f = place(i, h, h2) if rows else place(j, w, w2)
-            first = _pick(values, a, j, width) if rows else _pick(values, i, a, width)
-            second = _pick(values, b, j, width) if rows else _pick(values, i, b, width)
-            return first * (1.0 - f) + second * f
-        return cell
+    def along_rows(v, i, j):
+        a, b, f = place(j, w, w2)
+        return _pick(v, i, a, w) * (1.0 - f) + _pick(v, i, b, w) * f
+
+    def down_columns(v, i, j):
+        a, b, f = place(i, h, h2)
+        return _pick(v, a, j, w2) * (1.0 - f) + _pick(v, b, j, w2) * f
 
-    across = fields.withColumn("values", _grid(h, w2, mix(F.col("values"), w, False)))
-    return _reshape(across, _grid(h2, w2, mix(F.col("values"), w2, True)), h2, w2)
+    across = _grid(F.col("values"), h, w2, along_rows)
+    return _reshape(fields, _grid(across, h2, w2, down_columns), h2, w2)
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -192,19 +190,19 @@ def gaussian_blur(fields: DataFrame, h: int, w: int, size: int, sigma: float) ->
         raise ValueError("kernel size must be odd")
     kernel, half = gaussian_kernel(size, sigma), size // 2
 
-    def blur(values: Column, rows: bool):
-        def cell(i, j):
+    def blur(rows: bool):
+        def cell(v, i, j):
             total = None
             for k, weight in enumerate(kernel):
                 at = (i if rows else j) + (k - half)
                 at = F.least(F.greatest(at, F.lit(0)), F.lit((h if rows else w) - 1))
-                part = (_pick(values, at, j, w) if rows else _pick(values, i, at, w)) * weight
+                part = (_pick(v, at, j, w) if rows else _pick(v, i, at, w)) * weight
                 total = part if total is None else total + part
             return total
         return cell
 
-    across = fields.withColumn("values", _grid(h, w, blur(F.col("values"), False)))
-    return across.withColumn("values", _grid(h, w, blur(F.col("values"), True)))
+    across = _grid(F.col("values"), h, w, blur(rows=False))
+    return fields.withColumn("values", _grid(across, h, w, blur(rows=True)))
 
 
 def space_to_depth(cells: DataFrame, channels: int, factor: int, channel: str = "c") -> DataFrame:

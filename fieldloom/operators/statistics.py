@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..sizing import BLOCK, running_sums, small_side
+from .layout import let
 
 
 def present(value: str) -> Column:
@@ -99,20 +100,19 @@ def minmax_quantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
     out = fields.withColumns(
         {"shift": F.array_min("values"), "scale": F.array_max("values") - F.array_min("values")}
     )
-    code = F.transform(
-        "values",
-        lambda x: F.when(
-            F.col("scale") > 0, F.floor((x - F.col("shift")) / F.col("scale") * levels)
-        ).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int"),
-    )
-    return out.withColumn("values", code)
+    bounds = F.struct(F.col("shift").alias("lo"), F.col("scale").alias("by"))
+    code = lambda x, m: F.when(
+        m["by"] > 0, F.floor((x - m["lo"]) / m["by"] * levels)
+    ).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int")
+    return out.withColumn("values", let(bounds, lambda m: F.transform("values", lambda x: code(x, m))))
 
 
 def minmax_dequantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
     """``q / levels * scale + shift``, with the same ``levels`` as the store."""
+    bounds = F.struct(F.col("shift").alias("lo"), F.col("scale").alias("by"))
+    value = lambda q, m: q / F.lit(float(levels)) * m["by"] + m["lo"]
     return fields.withColumn(
-        "values",
-        F.transform("values", lambda q: q / F.lit(float(levels)) * F.col("scale") + F.col("shift")),
+        "values", let(bounds, lambda m: F.transform("values", lambda q: value(q, m)))
     )
 
 
