@@ -26,6 +26,9 @@ NARROW_RANGE = 4
 SPATIAL_CONTEXTS = 3
 CHANNEL_CONTEXTS = 4
 
+#: Flags per 64-bit word; the sign bit stays free.
+WORD = 63
+
 #: Widest channel table the cross-channel search accepts.
 MAX_CHANNELS = 4096
 
@@ -306,75 +309,60 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
                   default_bits: DataFrame) -> DataFrame:
     """Bits saved on channel ``c`` when ``prev`` is coded right before it, for all wide pairs.
 
-    Every cell position carries one deviation flag per channel, packed into 64-bit
-    words.  The flags of a position are combined over its (at most one per channel)
-    cells, and one grouped pass then counts, for each (channel, context, symbol), how
-    often each other channel's flag is set.  No pair of cells is ever emitted and the
-    data is shuffled once; only the counts grow with the square of the channel number.
+    Every cell position carries one deviation flag per channel, packed into words of 63
+    bits and combined over the position's (at most one per channel) cells.  One grouped
+    pass then counts, per (channel, context, symbol), how often each bit is set.  No pair
+    of cells is ever emitted and the cells are shuffled once; only the counts grow with
+    the square of the number of channels.
     """
     wide = bounded_rows(
         support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c").orderBy("c"),
         MAX_CHANNELS, "channels",
     )
-    channels = [r["c"] for r in wide]
     spark = fields.sparkSession
-    bit = spark.createDataFrame([(c, k) for k, c in enumerate(channels)], "c int, _bit int")
-    bit = F.broadcast(bit)  # at most MAX_CHANNELS rows, checked above
-    words = (len(channels) + 62) // 63
+    bits = spark.createDataFrame(
+        [(r["c"], k // WORD, k % WORD) for k, r in enumerate(wide)], "c int, word int, bit int"
+    )
+    bits = F.broadcast(bits)  # at most MAX_CHANNELS rows, checked above
+    words = -(-len(wide) // WORD)
 
-    cells = spatial_context(fields, modes, thresholds).join(bit, "c")
-    flag = (F.col("own_dev") > F.col("th")).cast("long")
+    cells = spatial_context(fields, modes, thresholds).join(bits, "c")
+    flag = F.call_function("shiftleft", (F.col("own_dev") > F.col("th")).cast("long"), F.col("bit"))
     position = W.partitionBy("sample", "i", "j")
-    flagged = cells.withColumns(
-        {
-            f"_w{k}": F.bit_or(
-                F.when(
-                    F.floor(F.col("_bit") / 63) == k,
-                    F.call_function("shiftleft", flag, F.col("_bit") % 63),
-                ).otherwise(F.lit(0).cast("long"))
-            ).over(position)
-            for k in range(words)
-        }
-    )
-    is_set = [
-        F.shiftright(F.col(f"_w{k // 63}"), k % 63).bitwiseAND(F.lit(1).cast("long"))
-        for k in range(len(channels))
-    ]
-    counts = flagged.groupBy("c", "ctx", "sym").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{k}") for k, x in enumerate(is_set)]
-    )
-    per_prev = counts.select(
-        "c", "ctx", "sym", "_n",
-        F.explode(
+    packed = F.array(
+        *[F.bit_or(F.when(F.col("word") == k, flag).otherwise(F.lit(0).cast("long"))).over(position)
+          for k in range(words)]
+    ) if words else F.array().cast("array<bigint>")
+    counts = (
+        cells.select("c", "ctx", "sym", packed.alias("_w"))
+        .select("c", "ctx", "sym", F.posexplode("_w").alias("word", "_w"))
+        .groupBy("c", "ctx", "sym", "word")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
             F.array(
-                *[
-                    F.struct(F.lit(c).alias("prev"), F.col(f"_s{k}").alias("hit"))
-                    for k, c in enumerate(channels)
-                ]
-            )
-            if channels
-            else F.array().cast("array<struct<prev:int,hit:bigint>>")
-        ).alias("_p"),
-    ).where(F.col("_p.prev") != F.col("c"))
-    hist = (
-        per_prev.select(
-            F.col("_p.prev").alias("prev"), "c", "sym",
-            F.explode(
-                F.array(
-                    F.struct((F.col("ctx") + 1).alias("ctx"), F.col("_p.hit").alias("n")),
-                    F.struct(F.col("ctx").alias("ctx"), (F.col("_n") - F.col("_p.hit")).alias("n")),
-                )
-            ).alias("_h"),
+                *[F.sum(F.shiftright("_w", b).bitwiseAND(F.lit(1).cast("long"))) for b in range(WORD)]
+            ).alias("_hits"),
         )
+    )
+    per_prev = (
+        counts.select("c", "ctx", "sym", "word", "_n", F.posexplode("_hits").alias("bit", "hit"))
+        .join(bits.withColumnRenamed("c", "prev"), ["word", "bit"])
+        .where(F.col("prev") != F.col("c"))
+    )
+    after = F.array(
+        F.struct((F.col("ctx") + 1).alias("ctx"), F.col("hit").alias("n")),
+        F.struct(F.col("ctx").alias("ctx"), (F.col("_n") - F.col("hit")).alias("n")),
+    )
+    hist = settle(
+        per_prev.select("prev", "c", "sym", F.explode(after).alias("_h"))
         .where(F.col("_h.n") > 0)
         .groupBy("prev", "c", F.col("_h.ctx").alias("ctx"), "sym")
         .agg(F.sum("_h.n").alias("n"))
     )
-    hist = settle(hist)
     # Contexts without symbols are never looked up, so they need no table here.
     cdf = symbol_cdf(hist, ["prev", "c", "ctx"], support.select("c", "lo", "hi"))
-    bits = weighted_bits(hist, cdf, ["prev", "c", "ctx"], ["prev", "c"])
-    return bits.join(default_bits.select("c", F.col("bits").alias("_d")), "c").select(
+    cost = weighted_bits(hist, cdf, ["prev", "c", "ctx"], ["prev", "c"])
+    return cost.join(default_bits.select("c", F.col("bits").alias("_d")), "c").select(
         "prev", "c", (F.col("_d") - F.col("bits")).alias("gain")
     )
 

@@ -30,10 +30,14 @@ def gaussian_likelihood(y: Column, scale: Column, mean=0.0) -> Column:
     return F.greatest(upper - lower, F.lit(LIKELIHOOD_BOUND))
 
 
-@F.pandas_udf("double")
-def erfc_library(x: pd.Series) -> pd.Series:
-    """The C library's erfc, used to check the column expression."""
-    return pd.Series(np.fromiter((math.erfc(v) for v in x), dtype=float, count=len(x)))
+def erfc_library(x: Column) -> Column:
+    """The C library's erfc over Arrow batches, to check the column expression against."""
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((math.erfc(v) for v in values), dtype=float, count=len(values)))
+
+    return run(x)
 
 
 def bits_from_likelihood(cells: DataFrame, pixels: int, keys: Sequence[str] = ("sample",),

@@ -38,7 +38,7 @@ def q6(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"
 
 
-def stamp(c: str) -> Column:
+def stamp(c: Column | str) -> Column:
     """A timestamp as text, so that no client's time type matters in comparisons."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import as_instant, as_wall
 from ..operators import statistics as st
 from ..sizing import settle
 from ..streaming import scores as ss
@@ -18,7 +19,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = v.table(spark, sf, "events").schema
     # A glob, because a file source reads folders; it matches the one file.
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withColumn("ts", as_instant(F.col("ts")))
 
 
 # The watermark is one hour behind the newest event; a sample times out two hours after
@@ -31,12 +32,17 @@ WHERE n >= 5 OR h + INTERVAL 2 HOUR <= newest - INTERVAL 1 HOUR"""
 
 @query("w01_assemble_stream", ASSEMBLED)
 def w01(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", un.STATE_STORE)
-    units = event_stream(spark, sf).select(
-        F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("unit")
-    )
-    out = ss.drain(un.assemble_stream(units, 5, 2))
-    return out.select(stamp("ts").alias("ts"), "arrived", "complete")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, un.STATE_STORE)
+    try:
+        units = event_stream(spark, sf).select(
+            F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("unit")
+        )
+        out = ss.drain(un.assemble_stream(units, 5, 2))
+    finally:
+        spark.conf.set(provider, before)
+    return out.select(stamp(as_wall(F.col("ts"))).alias("ts"), "arrived", "complete")
 
 
 STATS = "stats AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY 1)"
@@ -73,4 +79,4 @@ WHERE s + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 def w04(spark, sf):
     pairs = event_stream(spark, sf).withColumns({"orig": F.col("value"), "recon": F.rint("value")})
     out = ss.drain(ss.windowed_error_stream(pairs, "6 hours", keys=["event_type"]))
-    return out.select(stamp("start").alias("start"), "event_type", r6("mse").alias("mse"), "n")
+    return out.select(stamp(as_wall(F.col("start"))).alias("start"), "event_type", r6("mse").alias("mse"), "n")

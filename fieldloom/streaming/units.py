@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,7 +14,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 OUTPUT = T.StructType(
     [
-        T.StructField("ts", T.TimestampType()),
+        T.StructField("ts_ms", T.LongType()),
         T.StructField("arrived", T.LongType()),
         T.StructField("complete", T.BooleanType()),
     ]
@@ -35,7 +36,7 @@ class _Assembler(StatefulProcessor):
         self.done = handle.getValueState("done", mark)
 
     def _row(self, key, arrived: int, complete: bool) -> pd.DataFrame:
-        return pd.DataFrame({"ts": [pd.Timestamp(key[0])], "arrived": [arrived], "complete": [complete]})
+        return pd.DataFrame({"ts_ms": [int(key[0])], "arrived": [arrived], "complete": [complete]})
 
     def _count(self) -> int:
         return sum(1 for _ in self.units.keys())
@@ -46,8 +47,7 @@ class _Assembler(StatefulProcessor):
             for unit in pdf["unit"].unique():
                 self.units.updateValue((unit,), (True,))
         if fresh:
-            at = int(pd.Timestamp(key[0]).timestamp() * 1000) + self.timeout_ms
-            self.handle.registerTimer(at)
+            self.handle.registerTimer(int(key[0]) + self.timeout_ms)
         if not self.done.exists() and self._count() >= self.expected:
             self.done.update((True,))
             yield self._row(key, self._count(), True)
@@ -62,23 +62,33 @@ class _Assembler(StatefulProcessor):
         pass
 
 
+def _without_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.drop_duplicates()
+
+
 def assemble_stream(units: DataFrame, expected: int, timeout_hours: int, watermark: str = "1 hour") -> DataFrame:
     """Emit each sample once, as soon as all its units arrived.
 
     ``units`` has (ts TIMESTAMP, unit STRING).  Units may come in any order and more
     than once.  A sample that is still short when the watermark passes its timestamp
-    plus the timeout is emitted as incomplete; units later than that are dropped.  State
-    holds each unit name once, so it is bounded by ``expected`` per open sample.
+    plus the timeout is emitted as incomplete; units later than that are dropped.
 
-    Needs the RocksDB state store (``STATE_STORE``).
+    Copies are thinned out batch by batch before the shuffle, so many copies of one
+    sample do not all reach one task.  State holds each unit name once, so it is bounded
+    by ``expected`` per open sample.  Needs the RocksDB state store (``STATE_STORE``).
     """
     return (
-        units.withWatermark("ts", watermark)
-        .groupBy("ts")
+        units.select("ts", "unit")
+        .mapInPandas(_without_copies, "ts timestamp, unit string")
+        .withWatermark("ts", watermark)
+        .withColumn("ts_ms", F.unix_millis("ts"))
+        .groupBy("ts_ms")
         .transformWithStateInPandas(
             statefulProcessor=_Assembler(expected, timeout_hours * 3_600_000),
             outputStructType=OUTPUT,
             outputMode="append",
             timeMode="EventTime",
         )
+        .select(F.timestamp_millis("ts_ms").alias("ts"), "arrived", "complete")
     )
