@@ -40,12 +40,20 @@ def split_tensor(df: DataFrame, values: str, channels: int, h: int, w: int,
 
 
 def field_to_cells(fields: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Packed rows -> one row per cell.  Narrow: no shuffle."""
-    return fields.select(*keys, "w", F.posexplode("values").alias("_pos", value)).select(
-        *keys,
-        F.expr("CAST(_pos DIV w AS INT)").alias("i"),
-        F.expr("CAST(_pos % w AS INT)").alias("j"),
-        value,
+    """Packed rows -> one row per cell.  Narrow: no shuffle.
+
+    The outer form is used because Spark derives ``size(values) > 0`` from the plain one
+    and pushes it below, which computes a derived array once more per condition.
+    """
+    return (
+        fields.select(*keys, "w", F.posexplode_outer("values").alias("_pos", value))
+        .where(F.col("_pos").isNotNull())
+        .select(
+            *keys,
+            div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
+            (F.col("_pos") % F.col("w")).cast("int").alias("j"),
+            value,
+        )
     )
 
 

@@ -89,7 +89,10 @@ def running_sums(
         return out.drop(*[f"_v_{n}" for n in names])
 
     at = f"_block{depth}"  # one name per level: a level's order column is the block below
-    rows = rows.withColumn(at, F.floor(F.col(order) / block).cast("long"))
+    # Never NULL, so that no not-null filters are derived per level; they would make the
+    # levels' scans differ and keep Spark from reusing one shuffle for all of them.
+    in_block = F.floor(F.col(order) / block).cast("long")
+    rows = rows.withColumn(at, F.coalesce(in_block, F.lit(-1).cast("long")))
     totals = rows.groupBy(*keys, at).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     upto = running_sums(
         totals, keys, at, {f"_u_{n}": F.col(f"_t_{n}") for n in names}, block, depth - 1
