@@ -472,3 +472,58 @@ def layout_cells(spark, sf):
     packed = cells_to_field(sparse, ["sample", "c"], 4, 4, "y")
     micro = F.transform("values", lambda y: F.coalesce(F.round(y * 1e6).cast("long").cast("string"), F.lit("-")))
     return packed.select("sample", "c", F.array_join(micro, ",").alias("micro"))
+
+
+# --- statistics documents -----------------------------------------------------
+
+def _stats_doc(spark, sf):
+    """One document from the climate view: a list per channel over its rows, an overall number each."""
+    climate = v.climate(spark, sf)
+    per_row = climate.groupBy("channel", "i").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    lists = per_row.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("i", "m", "s"))).alias("p"))
+    overall = climate.groupBy("channel").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    texts = lists.select("channel", F.to_json("p.m").alias("m"), F.to_json("p.s").alias("s")).unionByName(
+        overall.select(F.concat("channel", F.lit("_overall")).alias("channel"),
+                       F.col("m").cast("string").alias("m"), F.col("s").cast("string").alias("s"))
+    )
+    entry = lambda c: F.concat_ws(",", F.collect_list(F.concat(F.lit('"'), "channel", F.lit('":'), c)))
+    return texts.agg(
+        F.concat(F.lit('{"mean":{'), entry("m"), F.lit('},"std":{'), entry("s"), F.lit('},"count":7}')).alias("text")
+    )
+
+
+STATS_DIM = """lv AS (SELECT channel, i, avg(value) AS mean, stddev_pop(value) AS std FROM climate GROUP BY ALL),
+ov AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM climate GROUP BY 1),
+dim AS (SELECT channel AS variable, i, CAST(100 * (i + 1) AS DOUBLE) AS level,
+  CAST(row_number() OVER (ORDER BY channel, i) - 1 AS INTEGER) AS channel_idx FROM lv WHERE i < 3)"""
+
+
+def _documented(spark, sf, norm_type):
+    from ..sources.fieldstore import channel_statistics, parse_stats_docs
+
+    climate = v.climate(spark, sf)
+    config = climate.agg(F.array_sort(F.collect_set("channel")).alias("pressure")).select(
+        "pressure", F.array(*[F.lit(100.0 * k) for k in (1, 2, 3)]).alias("levels"),
+        F.array().cast("array<string>").alias("single"),
+    )
+    levels = [100.0 * (k + 1) for k in range(v.CLIMATE_ROWS)]
+    out = channel_statistics(parse_stats_docs(_stats_doc(spark, sf)), ch.channel_dim(config), levels, norm_type)
+    return out.select("channel_idx", "variable", "level", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query(
+    "n04_channel_statistics",
+    f"""{with_views("climate")}, {STATS_DIM}
+SELECT channel_idx, variable, level, {q6("mean")} AS mean, {q6("std")} AS std FROM dim JOIN lv ON channel = variable AND lv.i = dim.i""",
+)
+def n04_documented(spark, sf):
+    return _documented(spark, sf, "channel")
+
+
+@query(
+    "n04_channel_statistics_overall",
+    f"""{with_views("climate")}, {STATS_DIM}
+SELECT channel_idx, variable, level, {q6("mean")} AS mean, {q6("std")} AS std FROM dim JOIN ov ON channel = variable""",
+)
+def n04_documented_overall(spark, sf):
+    return _documented(spark, sf, "overall")

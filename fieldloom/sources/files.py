@@ -15,8 +15,10 @@ def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape:
     """Per-channel ``.npy`` files as packed fields at their channel's index.
 
     ``channels`` has (channel_idx, variable, level).  Paths follow the ``arrays`` layout
-    of the field manifest.  One file is one row in and one packed row out; a file whose
-    shape differs from ``shape`` is an error, never resized.
+    of the field manifest, with any character between hours, minutes and seconds (Hadoop's
+    local file system cannot open names with colons; object stores can).  One file is one
+    row in and one packed row out; a file whose shape differs from ``shape`` is an error,
+    never resized.
     """
     h, w = shape
 
@@ -39,9 +41,10 @@ def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape:
     )
     decoded = files.mapInPandas(decode, "path string, values array<double>")
     name = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}/[^/]+)\.npy$", 1)
+    stamp = F.regexp_replace(F.substring(name, 1, 19), r"^(.{10}).(..).(..).(..)$", "$1 $2:$3:$4")
     level = F.regexp_extract(name, r"-([0-9.]+)$", 1)
     parsed = decoded.select(
-        F.to_timestamp_ntz(F.substring(name, 1, 19), F.lit("yyyy-MM-dd/HH:mm:ss")).alias("ts"),
+        F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
         F.regexp_extract(name, r"^.{19}-([^-]+)", 1).alias("variable"),
         F.when(level != "", level.cast("double")).alias("level"),
         "values",

@@ -20,7 +20,7 @@ def _literal(values: Sequence) -> Column:
 
 
 def field_manifest(times: DataFrame, channels: Sequence[Channel], layout: str = "arrays",
-                   ts: str = "ts", root: str = "") -> DataFrame:
+                   ts: str = "ts", root: str = "", clock_format: str = "HH:mm:ss") -> DataFrame:
     """The path expected for every time and channel.
 
     ``arrays``: one file per channel, ``YYYY/<date>/<time>-<var>-<level>.npy``, with
@@ -30,7 +30,7 @@ def field_manifest(times: DataFrame, channels: Sequence[Channel], layout: str =
     The channel list is configuration, so it is exploded from a literal; the times stay
     where they are.
     """
-    day, clock = F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "HH:mm:ss")
+    day, clock = F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, clock_format)
     year = F.date_format(ts, "yyyy")
     if layout == "files":
         stamp = F.concat(day, F.lit("T"), clock)

@@ -32,7 +32,7 @@ def parse_result_docs(docs: DataFrame, text: str = "text", fallback_name: str |
 
 def read_result_docs(spark: SparkSession, path: str) -> DataFrame:
     """Read a folder of JSON documents, named after the file where unnamed."""
-    docs = spark.read.option("wholetext", "true").text(path, recursiveFileLookup=True).select(
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("text"),
         F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("stem"),
     )
