@@ -11,12 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..sizing import bounded_rows, settle, small_side
+from .layout import div
 
 # CDF precision in bits; channels with a support this narrow or narrower
 # are never searched for; contexts of the spatial and the spatial+channel model.
@@ -115,27 +116,31 @@ def cross_entropy(hist: DataFrame, cdf: DataFrame, keys: Sequence[str] = ("c",),
     return weighted_bits(hist, cdf, keys, keys, sym)
 
 
+def _shifted(values: Column, by: Column) -> Column:
+    """The array moved ``by`` places to the right, NULL where nothing moves in."""
+    none, size = F.lit(None).cast("int"), F.size(values)
+    head = F.when(size > by, F.slice(values, F.lit(1), size - by))
+    return F.concat(F.array_repeat(none, by), F.coalesce(head, F.array().cast("array<int>")))
+
+
 def neighbour_deviation(fields: DataFrame, modes: DataFrame, keys: Sequence[str] = ("sample", "c"),
                         channel: str = "c") -> DataFrame:
     """Cells with the distance of the upper and left neighbour from the channel's mode.
 
     Works inside the packed row: the neighbours are the same array shifted by one row
-    or one cell, so there is no shuffle.  A missing neighbour has deviation -1.
+    or one cell, so there is no shuffle.  A missing neighbour has deviation -1.  Further
+    columns of ``modes`` are carried along.
     """
-    side = small_side(modes.select(channel, "mode"))
-    empty = F.array().cast("array<int>")
-    none = F.lit(None).cast("int")
-    size = F.size("values")
-    shifted = lambda by: F.concat(
-        F.array_repeat(none, by), F.when(size > by, F.slice("values", F.lit(1), size - by)).otherwise(empty)
-    )
+    side = small_side(modes)
+    carried = [x for x in modes.columns if x not in (channel, "mode")]
+    values = F.col("values")
     zipped = fields.join(side, channel).select(
-        *keys, "w", "mode",
+        *keys, "w", "mode", *carried,
         F.posexplode(
             F.arrays_zip(
-                F.col("values").alias("s"),
-                shifted(F.col("w")).alias("u"),
-                shifted(F.lit(1)).alias("l"),
+                values.alias("s"),
+                _shifted(values, F.col("w")).alias("u"),
+                _shifted(values, F.lit(1)).alias("l"),
             )
         ).alias("_pos", "_z"),
     )
@@ -143,8 +148,8 @@ def neighbour_deviation(fields: DataFrame, modes: DataFrame, keys: Sequence[str]
     left = F.when(col_j > 0, F.col("_z")["l"])
     dev = lambda x: F.coalesce(F.abs(x - F.col("mode")), F.lit(-1))
     return zipped.select(
-        *keys,
-        F.expr("CAST(_pos DIV w AS INT)").alias("i"),
+        *keys, *carried,
+        div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
         col_j.cast("int").alias("j"),
         F.col("_z")["s"].alias("sym"),
         dev(F.col("_z")["u"]).alias("up_dev"),
@@ -161,9 +166,9 @@ def spatial_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
                     keys: Sequence[str] = ("sample", "c"), channel: str = "c") -> DataFrame:
     """Context 0..2 of every cell: how many of the upper and left neighbour lie
     further than the channel's threshold ``th`` from its mode."""
-    cells = neighbour_deviation(fields, modes, keys, channel)
-    side = small_side(thresholds.select(channel, "th"))
-    return cells.join(side, channel).withColumn("ctx", _context(F.col("th"))).select(
+    side = modes.select(channel, "mode").join(thresholds.select(channel, "th"), channel)
+    cells = neighbour_deviation(fields, side, keys, channel)
+    return cells.withColumn("ctx", _context(F.col("th"))).select(
         *keys, "i", "j", "sym", "own_dev", "th", "ctx"
     )
 
@@ -204,15 +209,14 @@ def threshold_entropy(fields: DataFrame, modes: DataFrame, support: DataFrame,
     """
     limits = support.join(modes, "c").select(
         "c",
+        "mode",
         F.greatest(
             F.lit(1),
             F.least(F.abs(F.col("lo") - F.col("mode")), F.abs(F.col("hi") - F.col("mode"))),
         ).alias("th_max"),
     )
-    cap = small_side(limits)
     counted = (
-        neighbour_deviation(fields, modes, keys)
-        .join(cap, "c")
+        neighbour_deviation(fields, limits, keys)
         .groupBy(
             "c", "sym", "th_max",
             F.least("up_dev", "th_max").alias("up_dev"),
@@ -262,20 +266,15 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
     prev = fields.select("sample", F.col("c").alias("prev"), F.col("values").alias("_pv"))
     paired = cur.join(prev, ["sample", "prev"], "left")
 
-    empty = F.array().cast("array<int>")
-    none = F.lit(None).cast("int")
-    size = F.size("values")
-    shifted = lambda by: F.concat(
-        F.array_repeat(none, by), F.when(size > by, F.slice("values", F.lit(1), size - by)).otherwise(empty)
-    )
-    prev_values = F.coalesce(F.col("_pv"), F.array_repeat(none, size))
+    values = F.col("values")
+    prev_values = F.coalesce(F.col("_pv"), F.array_repeat(F.lit(None).cast("int"), F.size(values)))
     zipped = paired.select(
         "sample", "c", "w", "mode", "th", "prev_mode", "prev_th",
         F.posexplode(
             F.arrays_zip(
-                F.col("values").alias("s"),
-                shifted(F.col("w")).alias("u"),
-                shifted(F.lit(1)).alias("l"),
+                values.alias("s"),
+                _shifted(values, F.col("w")).alias("u"),
+                _shifted(values, F.lit(1)).alias("l"),
                 prev_values.alias("p"),
             )
         ).alias("_pos", "_z"),
@@ -290,7 +289,7 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
     )
     return zipped.select(
         "sample", "c",
-        F.expr("CAST(_pos DIV w AS INT)").alias("i"),
+        div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
         col_j.cast("int").alias("j"),
         F.col("_z")["s"].alias("sym"),
         ctx.alias("ctx"),

@@ -75,11 +75,12 @@ class Model(NamedTuple):
 
 
 def _model(spark, sf) -> Model:
+    """Two passes' worth of state: the histogram and its CDF are settled, the rest is cheap to derive."""
     fields = v.symbol_fields(spark, sf)
     hist = settle(en.symbol_histogram(v.symbols(spark, sf)))
-    support = settle(en.symbol_support(hist))
+    support = en.symbol_support(hist)
     cdf = settle(en.symbol_cdf(hist, support=support))
-    return Model(fields, hist, support, cdf, settle(en.most_probable_symbol(cdf)))
+    return Model(fields, hist, support, cdf, en.most_probable_symbol(cdf))
 
 
 def _thresholds(m: Model) -> DataFrame:

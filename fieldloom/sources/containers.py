@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.layout import div, let
+
 HEADER_BYTES = 12
 
 
@@ -27,40 +29,44 @@ def container_catalog(blobs: DataFrame, content: str = "content") -> DataFrame:
     its header and lengths announce; the strings found up to there are kept.  A header
     that announces more strings than could fit costs no more than the blob's size.
     """
-    c, size = F.col(content), F.octet_length(content).cast("long")
-    has_header = size >= HEADER_BYTES
-    rows = blobs.withColumns(
-        {
-            "_size": size,
-            "z_h": F.when(has_header, _read_uint32(c, F.lit(0))),
-            "z_w": F.when(has_header, _read_uint32(c, F.lit(4))),
-            "n_strings": F.when(has_header, _read_uint32(c, F.lit(8))),
-        }
-    )
-    room = F.expr(f"(_size - {HEADER_BYTES}) DIV 4")
-    most = F.least("n_strings", room)
     empty = F.array().cast("array<struct<offset:bigint,length:bigint>>")
-    start = F.struct(F.lit(HEADER_BYTES).cast("long").alias("pos"), F.lit(True).alias("ok"), empty.alias("parts"))
-
-    def step(acc, _):
-        length = _read_uint32(c, acc["pos"].cast("int"))
-        begin = acc["pos"] + 4
-        fits = acc["ok"] & (begin <= F.col("_size")) & (begin + length <= F.col("_size"))
-        found = F.struct(begin.alias("offset"), length.alias("length"))
+    none = F.lit(None).cast("long")
+
+    def parse(c: Column) -> Column:
+        size = F.octet_length(c).cast("long")
+        has_header = size >= HEADER_BYTES
+        word = lambda at: F.when(has_header, _read_uint32(c, F.lit(at))).otherwise(none)
+
+        def step(acc, _):
+            length = _read_uint32(c, acc["pos"].cast("int"))
+            begin = acc["pos"] + 4
+            fits = F.coalesce(acc["ok"] & (begin <= size) & (begin + length <= size), F.lit(False))
+            found = F.struct(begin.alias("offset"), length.alias("length"))
+            return F.struct(
+                F.when(fits, begin + length).otherwise(acc["pos"]).alias("pos"),
+                fits.alias("ok"),
+                F.when(fits, F.concat(acc["parts"], F.array(found))).otherwise(acc["parts"]).alias("parts"),
+            )
+
+        start = F.struct(F.lit(HEADER_BYTES).cast("long").alias("pos"), F.lit(True).alias("ok"), empty.alias("parts"))
+        most = F.least(word(8), div(size - HEADER_BYTES, 4))
+        todo = F.when(most > 0, F.sequence(F.lit(1).cast("long"), most)).otherwise(F.array().cast("array<bigint>"))
         return F.struct(
-            F.when(fits, begin + length).otherwise(acc["pos"]).alias("pos"),
-            F.coalesce(fits, F.lit(False)).alias("ok"),
-            F.when(fits, F.concat(acc["parts"], F.array(found))).otherwise(acc["parts"]).alias("parts"),
+            word(0).alias("z_h"), word(4).alias("z_w"), word(8).alias("n"), F.aggregate(todo, start, step).alias("f")
         )
 
-    todo = F.when(most > 0, F.sequence(F.lit(1).cast("long"), most)).otherwise(F.array().cast("array<bigint>"))
-    parsed = rows.withColumn("_f", F.aggregate(todo, start, step))
-    complete = has_header & F.col("_f.ok") & (F.size("_f.parts") == F.col("n_strings"))
+    # The blob may itself be a derived column; it is bound once, not rebuilt per string.
+    rows = blobs.withColumn("_p", let(F.col(content), parse))
+    parts = F.col("_p.f.parts")
+    complete = F.col("_p.f.ok") & (F.size(parts) == F.col("_p.n"))
     keep = [x for x in blobs.columns if x != content]
-    return parsed.select(
-        *keep, "z_h", "z_w", "n_strings",
-        F.col("_f.parts").alias("parts"),
-        (F.aggregate("_f.parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]) * 8).alias("total_bits"),
+    return rows.select(
+        *keep,
+        F.col("_p.z_h").alias("z_h"),
+        F.col("_p.z_w").alias("z_w"),
+        F.col("_p.n").alias("n_strings"),
+        parts.alias("parts"),
+        (F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["length"]) * 8).alias("total_bits"),
         (~F.coalesce(complete, F.lit(False))).alias("truncated"),
     )
 
