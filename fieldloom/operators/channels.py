@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sizing import small_side
+from .layout import div, positions
 
 # The pressure axis in hPa, from the ground up.
 PRESSURE_LEVELS = (
@@ -149,21 +150,28 @@ def field_diff(original: DataFrame, reconstruction: DataFrame, keys: Sequence[st
     )
 
 
-def pair_fields(original: DataFrame, reconstruction: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join two sets of packed fields on ``keys`` and explode the pairs into cells."""
-    left = original.select(*keys, "w", F.col("values").alias("_a"))
+def pair_fields(original: DataFrame, reconstruction: DataFrame, keys: Sequence[str],
+                carry: Sequence[str] = ()) -> DataFrame:
+    """Join two sets of packed fields on ``keys`` and explode the pairs into cells.
+
+    Columns ``carry`` of the left side are kept.
+    """
+    left = original.select(*keys, *carry, "w", F.col("values").alias("_a"))
     right = reconstruction.select(*keys, F.col("values").alias("_b"))
-    joined = left.join(right, list(keys))
     same = F.size("_a") == F.size("_b")
-    zipped = F.when(same, F.arrays_zip("_a", "_b")).otherwise(
-        F.raise_error(F.lit("field shapes differ; regrid first"))
-    )
-    return joined.select(*keys, "w", F.posexplode(zipped).alias("_pos", "_z")).select(
-        *keys,
-        F.expr("CAST(_pos DIV w AS INT)").alias("i"),
-        F.expr("CAST(_pos % w AS INT)").alias("j"),
-        F.col("_z._a").alias("orig"),
-        F.col("_z._b").alias("recon"),
+    at = F.when(same, F.col("_a")).otherwise(F.raise_error(F.lit("field shapes differ; regrid first")))
+    pos, w = F.col("_pos"), F.col("w")
+    return (
+        left.join(right, list(keys))
+        .select(*keys, *carry, "w", "_a", "_b", positions(at).alias("_pos"))
+        .select(
+            *keys,
+            *carry,
+            div(pos, w).cast("int").alias("i"),
+            (pos % w).cast("int").alias("j"),
+            F.get("_a", pos).alias("orig"),
+            F.get("_b", pos).alias("recon"),
+        )
     )
 
 
@@ -204,21 +212,22 @@ def split_moments(cells: DataFrame, half: int, keys: Sequence[str] = ("sample",
 
 def split_moments_packed(tensors: DataFrame, keys: Sequence[str], channels: int, h: int, w: int,
                          values: str = "values") -> DataFrame:
-    """C09 on packed samples (all channels in one array): the two halves are zipped, no shuffle."""
+    """C09 on packed samples (all channels in one array): both halves in one pass, no shuffle."""
     if channels % 2:
         raise ValueError("need an even number of channels")
-    half = channels // 2 * h * w
-    v = F.col(values).cast("array<double>")
-    zipped = F.arrays_zip(
-        F.slice(v, 1, half).alias("mean"), F.slice(v, half + 1, half).alias("logvar")
+    size, half = h * w, channels // 2 * h * w
+    v, pos = F.col("_v"), F.col("_pos")
+    whole = F.when(F.size(values) == 2 * half, F.col(values)).otherwise(
+        F.raise_error(F.lit("sample does not have channels*h*w values"))
     )
-    cells = tensors.select(*keys, F.posexplode(zipped).alias("_pos", "_z")).select(
+    at = F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("_pos")
+    cells = tensors.select(*keys, whole.alias("_v")).select(*keys, "_v", at).select(
         *keys,
-        F.expr(f"CAST(_pos DIV {h * w} AS INT)").alias("c"),
-        F.expr(f"CAST((_pos % {h * w}) DIV {w} AS INT)").alias("i"),
-        F.expr(f"CAST(_pos % {w} AS INT)").alias("j"),
-        F.col("_z")["mean"].alias("mean"),
-        F.col("_z")["logvar"].alias("logvar"),
+        div(pos, size).cast("int").alias("c"),
+        div(pos % size, w).cast("int").alias("i"),
+        (pos % w).cast("int").alias("j"),
+        F.get(v, pos).cast("double").alias("mean"),
+        F.get(v, pos + half).cast("double").alias("logvar"),
     )
     return with_spread(cells)
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..sizing import bounded_rows, settle, small_side
-from .layout import div
+from .layout import div, positions
 
 # CDF precision in bits; channels with a support this narrow or narrower
 # are never searched for; contexts of the spatial and the spatial+channel model.
@@ -116,45 +116,35 @@ def cross_entropy(hist: DataFrame, cdf: DataFrame, keys: Sequence[str] = ("c",),
     return weighted_bits(hist, cdf, keys, keys, sym)
 
 
-def _shifted(values: Column, by: Column) -> Column:
-    """The array moved ``by`` places to the right, NULL where nothing moves in."""
-    none, size = F.lit(None).cast("int"), F.size(values)
-    head = F.when(size > by, F.slice(values, F.lit(1), size - by))
-    return F.concat(F.array_repeat(none, by), F.coalesce(head, F.array().cast("array<int>")))
+def _neighbours(values: Column, pos: Column, w: Column) -> tuple[Column, Column]:
+    """The cell above and the cell to the left, NULL at the edge."""
+    return F.get(values, pos - w), F.when(pos % w > 0, F.get(values, pos - 1))
 
 
 def neighbour_deviation(fields: DataFrame, modes: DataFrame, keys: Sequence[str] = ("sample", "c"),
                         channel: str = "c") -> DataFrame:
     """Cells with the distance of the upper and left neighbour from the channel's mode.
 
-    Works inside the packed row: the neighbours are the same array shifted by one row
-    or one cell, so there is no shuffle.  A missing neighbour has deviation -1.  Further
-    columns of ``modes`` are carried along.
+    Neighbours are looked up inside the packed row, so there is no shuffle.  A missing
+    neighbour has deviation -1.  Further columns of ``modes`` are carried along.
     """
     side = small_side(modes)
     carried = [x for x in modes.columns if x not in (channel, "mode")]
-    values = F.col("values")
-    zipped = fields.join(side, channel).select(
-        *keys, "w", "mode", *carried,
-        F.posexplode(
-            F.arrays_zip(
-                values.alias("s"),
-                _shifted(values, F.col("w")).alias("u"),
-                _shifted(values, F.lit(1)).alias("l"),
-            )
-        ).alias("_pos", "_z"),
-    )
-    col_j = F.col("_pos") % F.col("w")
-    left = F.when(col_j > 0, F.col("_z")["l"])
+    values, pos, w = F.col("values"), F.col("_pos"), F.col("w")
+    up, left = _neighbours(values, pos, w)
     dev = lambda x: F.coalesce(F.abs(x - F.col("mode")), F.lit(-1))
-    return zipped.select(
-        *keys, *carried,
-        div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
-        col_j.cast("int").alias("j"),
-        F.col("_z")["s"].alias("sym"),
-        dev(F.col("_z")["u"]).alias("up_dev"),
-        dev(left).alias("left_dev"),
-        F.abs(F.col("_z")["s"] - F.col("mode")).alias("own_dev"),
+    return (
+        fields.join(side, channel)
+        .select(*keys, "w", "mode", *carried, "values", positions(values).alias("_pos"))
+        .select(
+            *keys, *carried,
+            div(pos, w).cast("int").alias("i"),
+            (pos % w).cast("int").alias("j"),
+            F.get(values, pos).alias("sym"),
+            dev(up).alias("up_dev"),
+            dev(left).alias("left_dev"),
+            F.abs(F.get(values, pos) - F.col("mode")).alias("own_dev"),
+        )
     )
 
 
@@ -266,32 +256,21 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
     prev = fields.select("sample", F.col("c").alias("prev"), F.col("values").alias("_pv"))
     paired = cur.join(prev, ["sample", "prev"], "left")
 
-    values = F.col("values")
-    prev_values = F.coalesce(F.col("_pv"), F.array_repeat(F.lit(None).cast("int"), F.size(values)))
-    zipped = paired.select(
-        "sample", "c", "w", "mode", "th", "prev_mode", "prev_th",
-        F.posexplode(
-            F.arrays_zip(
-                values.alias("s"),
-                _shifted(values, F.col("w")).alias("u"),
-                _shifted(values, F.lit(1)).alias("l"),
-                prev_values.alias("p"),
-            )
-        ).alias("_pos", "_z"),
-    )
-    col_j = F.col("_pos") % F.col("w")
+    values, pos, w = F.col("values"), F.col("_pos"), F.col("w")
+    up, left = _neighbours(values, pos, w)
     far = lambda x, m, t: F.coalesce((F.abs(x - m) > t).cast("int"), F.lit(0))
     prev_limit = F.when(F.col("prev_th") >= 0, F.col("prev_th")).otherwise(F.col("th"))
     ctx = (
-        far(F.col("_z")["u"], F.col("mode"), F.col("th"))
-        + far(F.when(col_j > 0, F.col("_z")["l"]), F.col("mode"), F.col("th"))
-        + far(F.col("_z")["p"], F.col("prev_mode"), prev_limit)
+        far(up, F.col("mode"), F.col("th"))
+        + far(left, F.col("mode"), F.col("th"))
+        + far(F.get(F.col("_pv"), pos), F.col("prev_mode"), prev_limit)
     )
-    return zipped.select(
+    carried = ("w", "mode", "th", "prev_mode", "prev_th", "values", "_pv")
+    return paired.select("sample", "c", *carried, positions(values).alias("_pos")).select(
         "sample", "c",
-        div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
-        col_j.cast("int").alias("j"),
-        F.col("_z")["s"].alias("sym"),
+        div(pos, w).cast("int").alias("i"),
+        (pos % w).cast("int").alias("j"),
+        F.get(values, pos).alias("sym"),
         ctx.alias("ctx"),
     )
 

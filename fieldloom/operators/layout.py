@@ -39,21 +39,25 @@ def split_tensor(df: DataFrame, values: str, channels: int, h: int, w: int,
     )
 
 
-def field_to_cells(fields: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Packed rows -> one row per cell.  Narrow: no shuffle.
+def positions(values: Column) -> Column:
+    """One row per array position.
 
-    The outer form is used because Spark derives ``size(values) > 0`` from the plain one
-    and pushes it below, which computes a derived array once more per condition.
+    Later projections pick single elements by position, all in one generated loop, so
+    neither the array nor its elements are copied.  (Exploding the array itself also
+    makes Spark derive ``size(values) > 0`` and evaluate a derived array once more.)
     """
-    return (
-        fields.select(*keys, "w", F.posexplode_outer("values").alias("_pos", value))
-        .where(F.col("_pos").isNotNull())
-        .select(
-            *keys,
-            div(F.col("_pos"), F.col("w")).cast("int").alias("i"),
-            (F.col("_pos") % F.col("w")).cast("int").alias("j"),
-            value,
-        )
+    n = F.size(values)
+    return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+
+
+def field_to_cells(fields: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Packed rows -> one row per cell.  Narrow: no shuffle."""
+    pos, w = F.col("_pos"), F.col("w")
+    return fields.select(*keys, "w", "values", positions(F.col("values")).alias("_pos")).select(
+        *keys,
+        div(pos, w).cast("int").alias("i"),
+        (pos % w).cast("int").alias("j"),
+        F.get(F.col("values"), pos).alias(value),
     )
 
 
@@ -95,14 +99,3 @@ def cells_to_field(cells: DataFrame, keys: Sequence[str], h: int, w: int,
         F.lit(w).alias("w"),
         F.when(F.size("_s") == h * w, dense).otherwise(F.concat(holes, tail)).alias("values"),
     )
-
-
-def zip_fields(fields: DataFrame, keys: Sequence[str], arrays: dict[str, str]) -> DataFrame:
-    """Explode several equally long arrays of one packed row together into cells."""
-    zipped = F.arrays_zip(*[F.col(src).alias(dst) for dst, src in arrays.items()])
-    return fields.select(*keys, "w", F.posexplode(zipped).alias("_pos", "_z")).select(
-        *keys,
-        F.expr("CAST(_pos DIV w AS INT)").alias("i"),
-        F.expr("CAST(_pos % w AS INT)").alias("j"),
-        *[F.col(f"_z.{dst}").alias(dst) for dst in arrays],
-    )

@@ -2,18 +2,24 @@
 
 G01-G04, G06 and G09 move cells by index arithmetic alone.  G05, G07 and G08 combine
 neighbouring cells and work inside packed rows.  None of them shuffles.
+
+The three stencils are Arrow functions over batches of packed rows.  As lambdas over
+Spark arrays they ran at 2 to 10 microseconds per cell on 721x1440 fields; as array
+arithmetic they run about a hundred times faster.  Spark bounds a batch by bytes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sizing import as_column
-from .layout import div, let
+from .layout import div
 
 
 def crop_origin(h: int, w: int, th: int, tw: int, seed: int, *keys: str) -> tuple[Column, Column]:
@@ -39,25 +45,26 @@ def crop(cells: DataFrame, y, x, th: int, tw: int) -> DataFrame:
 
 
 def _pad(cells: DataFrame, h: int, w: int, top: int, left: int, h2: int, w2: int, value: str) -> DataFrame:
-    """Shift a field into a larger frame; its first cell also emits the zero border."""
-    def is_border(k):
-        r, c = div(k, w2), k % w2
-        return ~(r.between(top, top + h - 1) & c.between(left, left + w - 1))
-
-    dtype = cells.schema[value].dataType
-    cell = lambda i, j, v: F.struct(
-        i.cast("int").alias("i"), j.cast("int").alias("j"), v.cast(dtype).alias("v")
-    )
-    own = F.array(cell(F.col("i") + top, F.col("j") + left, F.col(value)))
-    border = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(h2 * w2 - 1)), is_border),
-        lambda k: cell(div(k, w2), k % w2, F.lit(0)),
-    )
+    """Shift a field into a larger frame; its first cell also emits the zero border.
+
+    Every cell is repeated once, the first one once more per cell of the frame, of which
+    the interior is dropped again.  Plain arithmetic, so it all stays in generated code.
+    """
     first = (F.col("i") == 0) & (F.col("j") == 0)
-    out = F.when(first, F.concat(own, border)).otherwise(own)
+    copies = F.sequence(F.lit(0), F.when(first, F.lit(h2 * w2)).otherwise(F.lit(0)))
     keep = [c for c in cells.columns if c not in ("i", "j", value)]
-    return cells.select(*keep, F.explode(out).alias("_o")).select(
-        *keep, F.col("_o.i").alias("i"), F.col("_o.j").alias("j"), F.col("_o.v").alias(value)
+    at = F.col("_k") - 1
+    is_own, row, col = F.col("_k") == 0, div(at, w2).cast("int"), at % w2
+    inside = row.between(top, top + h - 1) & col.between(left, left + w - 1)
+    return (
+        cells.select(*keep, "i", "j", value, F.explode(copies).alias("_k"))
+        .where(is_own | ~inside)
+        .select(
+            *keep,
+            F.when(is_own, F.col("i") + top).otherwise(row).alias("i"),
+            F.when(is_own, F.col("j") + left).otherwise(col).alias("j"),
+            F.when(is_own, F.col(value)).otherwise(F.lit(0).cast(cells.schema[value].dataType)).alias(value),
+        )
     )
 
 
@@ -110,28 +117,34 @@ def untile(tiles: DataFrame, h: int, w: int, wh: int, ww: int) -> DataFrame:
     return placed.where((F.col("i") < h) & (F.col("j") < w)).drop("tile")
 
 
-def _pick(values: Column, i: Column, j: Column, w: int) -> Column:
-    return F.get(values, (i * w + j).cast("int"))
-
+def _per_field(fields: DataFrame, h: int, w: int, h2: int, w2: int,
+               fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Replace every ``h*w`` field by the ``h2*w2`` field that ``fn`` makes of it.
 
-def _grid(values: Column, h: int, w: int, cell) -> Column:
-    """An ``h*w`` array whose entry k is ``cell(values, row, column)``."""
-    at = F.sequence(F.lit(0), F.lit(h * w - 1))
-    return let(values, lambda v: F.transform(at, lambda k: cell(v, div(k, w), k % w)))
+    ``fn`` maps (fields, h, w) to (fields, h2, w2).  Missing cells are NaN inside.
+    """
 
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        if batch.null_count or any(n != h * w for n in batch.value_lengths().unique().to_pylist()):
+            raise ValueError(f"every field must have {h} x {w} cells")
+        flat = batch.flatten().to_numpy(zero_copy_only=False)
+        out = fn(flat.reshape(-1, h, w))
+        offsets = np.arange(len(batch) + 1, dtype=np.int32) * (h2 * w2)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1)))
 
-def _reshape(fields: DataFrame, values: Column, h: int, w: int) -> DataFrame:
-    return fields.withColumns({"values": values, "h": F.lit(h), "w": F.lit(w)})
+    values = run(F.col("values").cast("array<double>"))
+    return fields.withColumns({"values": values, "h": F.lit(h2), "w": F.lit(w2)})
 
 
 def downsample_avg(fields: DataFrame, h: int, w: int) -> DataFrame:
     """Mean of 2x2 blocks; an odd last row or column is dropped."""
+    h2, w2 = h // 2, w // 2
 
-    def block(v, i, j):
-        parts = [_pick(v, i * 2 + a, j * 2 + b, w) for a in (0, 1) for b in (0, 1)]
-        return (parts[0] + parts[1] + parts[2] + parts[3]) / 4.0
+    def blocks(x: np.ndarray) -> np.ndarray:
+        return x[:, : 2 * h2, : 2 * w2].reshape(-1, h2, 2, w2, 2).mean(axis=(2, 4))
 
-    return _reshape(fields, _grid(F.col("values"), h // 2, w // 2, block), h // 2, w // 2)
+    return _per_field(fields, h, w, h2, w2, blocks)
 
 
 def regrid_nearest(cells: DataFrame, h: int, w: int, h2: int, w2: int) -> DataFrame:
@@ -157,24 +170,22 @@ def regrid_nearest(cells: DataFrame, h: int, w: int, h2: int, w2: int) -> DataFr
 def regrid_bilinear(fields: DataFrame, h: int, w: int, h2: int, w2: int) -> DataFrame:
     """Bilinear resampling with half-pixel centres and clamped edges.
 
-    Two one-dimensional passes inside the packed row.  The source indices and weights
-    are arithmetic on the target index, so no weight table is joined.
+    Two one-dimensional passes per field, across and then down.
     """
-    def place(t: Column, size: int, size2: int):
-        pos = F.greatest((t + 0.5) * (size / size2) - 0.5, F.lit(0.0))
-        a = F.least(F.floor(pos), F.lit(size - 1))
-        return a, F.least(a + 1, F.lit(size - 1)), pos - F.floor(pos)
+    def place(size: int, size2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pos = np.maximum((np.arange(size2) + 0.5) * (size / size2) - 0.5, 0.0)
+        low = np.minimum(pos.astype(int), size - 1)
+        return low, np.minimum(low + 1, size - 1), pos - np.floor(pos)
 
-    def along_rows(v, i, j):
-        a, b, f = place(j, w, w2)
-        return _pick(v, i, a, w) * (1.0 - f) + _pick(v, i, b, w) * f
+    ja, jb, jf = place(w, w2)
+    ia, ib, fi = place(h, h2)
+    down = fi[:, None]
 
-    def down_columns(v, i, j):
-        a, b, f = place(i, h, h2)
-        return _pick(v, a, j, w2) * (1.0 - f) + _pick(v, b, j, w2) * f
+    def resample(x: np.ndarray) -> np.ndarray:
+        across = x[:, :, ja] * (1.0 - jf) + x[:, :, jb] * jf
+        return across[:, ia] * (1.0 - down) + across[:, ib] * down
 
-    across = _grid(F.col("values"), h, w2, along_rows)
-    return _reshape(fields, _grid(across, h2, w2, down_columns), h2, w2)
+    return _per_field(fields, h, w, h2, w2, resample)
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -185,24 +196,18 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
 
 
 def gaussian_blur(fields: DataFrame, h: int, w: int, size: int, sigma: float) -> DataFrame:
-    """Blur with replicated edges, as two one-dimensional passes per packed row."""
+    """Blur with replicated edges, as two one-dimensional passes per field."""
     if size % 2 == 0:
         raise ValueError("kernel size must be odd")
     kernel, half = gaussian_kernel(size, sigma), size // 2
 
-    def blur(rows: bool):
-        def cell(v, i, j):
-            total = None
-            for k, weight in enumerate(kernel):
-                at = (i if rows else j) + (k - half)
-                at = F.least(F.greatest(at, F.lit(0)), F.lit((h if rows else w) - 1))
-                part = (_pick(v, at, j, w) if rows else _pick(v, i, at, w)) * weight
-                total = part if total is None else total + part
-            return total
-        return cell
-
-    across = _grid(F.col("values"), h, w, blur(rows=False))
-    return fields.withColumn("values", _grid(across, h, w, blur(rows=True)))
+    def blur(x: np.ndarray) -> np.ndarray:
+        wide = np.pad(x, ((0, 0), (0, 0), (half, half)), mode="edge")
+        across = sum(k * wide[:, :, a : a + w] for a, k in enumerate(kernel))
+        tall = np.pad(across, ((0, 0), (half, half), (0, 0)), mode="edge")
+        return sum(k * tall[:, a : a + h] for a, k in enumerate(kernel))
+
+    return _per_field(fields, h, w, h, w, blur)
 
 
 def space_to_depth(cells: DataFrame, channels: int, factor: int, channel: str = "c") -> DataFrame:

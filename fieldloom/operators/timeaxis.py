@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .channels import pair_fields
+from .layout import div
+
 # The date ranges of the training, validation and test splits.
 SPLIT_RANGES = {
     "train": ("1998-05-04", "2017-12-31"),
@@ -186,6 +189,16 @@ def forecast_truth_pairs(pred: DataFrame, truth: DataFrame, keys: Sequence[str],
     return p.join(t, [valid_ts, *keys])
 
 
+def forecast_truth_fields(pred: DataFrame, truth: DataFrame, keys: Sequence[str], carry: Sequence[str] = ("lead",),
+                          valid_ts: str = "valid_ts", ts: str = "ts") -> DataFrame:
+    """T10 on packed fields: one row per field is joined, then the pairs are exploded.
+
+    The shuffle carries whole arrays, not one keyed row per cell.
+    """
+    rows = pair_fields(pred, truth.withColumnRenamed(ts, valid_ts), [valid_ts, *keys], carry)
+    return rows.withColumnsRenamed({"orig": "pred", "recon": "truth"})
+
+
 def lead_curriculum(iterations: DataFrame, interval: int, n_targets: int, window: int,
                     iteration: str = "iteration") -> DataFrame:
     """Iteration number (from 1) -> target positions ``[first, last)`` trained on.
@@ -196,17 +209,13 @@ def lead_curriculum(iterations: DataFrame, interval: int, n_targets: int, window
     stages = n_targets // window
     if stages < 1:
         raise ValueError("window must not exceed n_targets")
-    it = F.col(iteration).cast("long")
-    stage = F.greatest(F.expr(f"({it_sql(iteration)} + {interval}) DIV {interval}") % stages, F.lit(1).cast("long"))
-    odd_turn = F.expr(f"({it_sql(iteration)} + 1) DIV 2")
-    chosen = F.when(it % 2 == 1, F.greatest(odd_turn % F.col("_s"), F.lit(1).cast("long"))).otherwise(F.col("_s"))
+    it, one = F.col(iteration).cast("long"), F.lit(1).cast("long")
+    stage = F.greatest(div(it + interval, interval) % stages, one)
+    odd_turn = div(it + 1, 2)
+    chosen = F.when(it % 2 == 1, F.greatest(odd_turn % F.col("_s"), one)).otherwise(F.col("_s"))
     return (
         iterations.withColumn("_s", stage)
         .withColumn("stage", chosen)
         .withColumns({"first": (F.col("stage") - 1) * window, "last": F.col("stage") * window})
         .drop("_s")
     )
-
-
-def it_sql(name: str) -> str:
-    return f"CAST(`{name}` AS BIGINT)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring as sc
 from ..operators import spatial as sp
 from ..operators import timeaxis as tx
+from ..operators.layout import cells_to_field
 from . import views as v
 from .registry import q6, qstamp, query, r6, stamp
 from .views import with_views
@@ -181,6 +182,23 @@ def t10(spark, sf):
     )
 
 
+@query(
+    "t10_forecast_truth_fields",
+    f"""{with_views("climate")}, {FORECAST}
+SELECT {qstamp("valid_ts")} AS valid_ts, lead, channel, i, {q6("pred")} AS pred, {q6("truth")} AS truth FROM pairs""",
+)
+def t10_fields(spark, sf):
+    columns = v.climate(spark, sf).withColumn("j", F.lit(0))
+    truth = cells_to_field(columns, ["ts", "channel"], v.CLIMATE_ROWS, 1)
+    pred = truth.withColumn("lead", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
+        "valid_ts", F.col("ts") + F.make_dt_interval(F.col("lead"))
+    )
+    pairs = tx.forecast_truth_fields(pred, truth, ["channel"]).dropna(subset=["pred", "truth"])
+    return pairs.select(
+        stamp("valid_ts").alias("valid_ts"), "lead", "channel", "i", r6("pred").alias("pred"), r6("truth").alias("truth")
+    )
+
+
 @query(
     "t11_lead_curriculum",
     """WITH s AS (SELECT event_id + 1 AS iteration, greatest(((event_id + 1 + 10) // 10) % 10, 1) AS s FROM events),

@@ -96,9 +96,11 @@ def request_for_times(times: DataFrame, variables: Sequence[str], levels: Sequen
 def completeness_check(expected: DataFrame, actual: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
     """An object is complete iff its local size equals the expected one.
 
-    A missing object has size 0.  Everything else must be fetched again.
+    A missing object has size 0.  Everything else must be fetched again.  A path listed
+    more than once counts with its largest size.
     """
-    local = actual.select(path, F.col(size).alias("local_size"))
+    # One row per path, so that a path listed many times cannot multiply in the join.
+    local = actual.groupBy(path).agg(F.max(size).alias("local_size"))
     return (
         expected.join(local, path, "left")
         .withColumn("local_size", F.coalesce("local_size", F.lit(0).cast("long")))

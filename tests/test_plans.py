@@ -6,8 +6,11 @@ import __spark_entry__ as entry
 
 QUERIES = entry.queries()
 
-# Sequential steps, and streams, which run while the query is built.
-PYTHON = {"n11_ema", "n11_ema_plain", "e11_channel_order", "e13_pmf_to_cdf"}
+# Sequential steps and stencils; streams run while the query is built.
+PYTHON = {
+    "n11_ema", "n11_ema_plain", "e11_channel_order", "e13_pmf_to_cdf",
+    "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur",
+}
 STREAMS = {n for n in QUERIES if n.startswith("w0")}
 
 
