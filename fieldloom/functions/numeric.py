@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # W. J. Cody, "Rational Chebyshev approximations for the error
@@ -34,24 +34,35 @@ def _ratio(x: Column, num: tuple, den: tuple) -> Column:
     return top / bottom
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function as a plain column expression.
+def with_erfc(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add complementary error functions: name -> erfc(expression).
 
-    Relative error is below 1e-14 over the range where the result is a normal
-    double.  Spark has no erf of its own.
+    Relative error is below 1e-12 over the range where the result is a normal double.
+    Spark has no erf of its own.
+
+    The argument and its powers become columns before the polynomials use them.  Inside
+    one big expression each of their dozens of uses would evaluate them again.
     """
-    a = F.abs(x)
-    sq = x * x
-    small = F.lit(1.0) - x * _ratio(sq, ERF_SMALL_NUM, ERF_SMALL_DEN)
-    mid = F.exp(-sq) * _ratio(a, ERFC_MID_NUM, ERFC_MID_DEN)
-    inv = F.lit(1.0) / F.greatest(sq, F.lit(1.0))
-    tail = (
-        F.exp(-sq)
-        / a
-        * (F.lit(1.0 / math.sqrt(math.pi)) - inv * _ratio(inv, ERFC_TAIL_NUM, ERFC_TAIL_DEN))
+    step = {f"_{n}_x": x for n, x in columns.items()}
+    powers = {}
+    for n in columns:
+        x = F.col(f"_{n}_x")
+        powers |= {f"_{n}_a": F.abs(x), f"_{n}_q": x * x, f"_{n}_i": F.lit(1.0) / F.greatest(x * x, F.lit(1.0))}
+    parts = df.withColumns(step).withColumns(powers)
+    done = parts.withColumns(
+        {n: _erfc(*[F.col(f"_{n}_{k}") for k in "xaqi"]) for n in columns}
     )
-    positive = F.when(a <= 4.0, mid).otherwise(tail)
-    outer = F.when(x < 0, F.lit(2.0) - positive).otherwise(positive)
+    return done.drop(*step, *powers)
+
+
+def _erfc(x: Column, a: Column, sq: Column, inv: Column) -> Column:
+    """erfc from the argument, its absolute value, its square and 1/square."""
+    small = F.lit(1.0) - x * _ratio(sq, ERF_SMALL_NUM, ERF_SMALL_DEN)
+    mid = _ratio(a, ERFC_MID_NUM, ERFC_MID_DEN)
+    tail = (F.lit(1.0 / math.sqrt(math.pi)) - inv * _ratio(inv, ERFC_TAIL_NUM, ERFC_TAIL_DEN)) / a
+    positive = F.exp(-sq) * F.when(a <= 4.0, mid).otherwise(tail)
+    # 2 - p for negative arguments, p otherwise.
+    outer = F.when(x < 0, F.lit(2.0)).otherwise(F.lit(0.0)) + F.signum(x) * positive
     return F.when(a <= 0.46875, small).otherwise(outer)
 
 

@@ -10,24 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import erfc
-from ..sizing import as_column, small_side
+from ..functions.numeric import with_erfc
+from ..sizing import small_side
 from .quantise import SCALE_BOUND
 
 # Fixed value: no likelihood is taken to be smaller than this.
 LIKELIHOOD_BOUND = 1e-9
 
 
-def gaussian_likelihood(y: Column, scale: Column, mean=0.0) -> Column:
-    """Probability of the unit-wide bin around ``y`` under a Gaussian.
+def gaussian_likelihood(cells: DataFrame, y: str = "y", scale: str = "scale", mean: str | None = None,
+                        out: str = "likelihood") -> DataFrame:
+    """Add the probability of the unit-wide bin around ``y`` under a Gaussian.
 
     The scale is at least 0.11 and the result at least 1e-9.
     """
-    v = F.abs(y - as_column(mean))
-    s = F.greatest(scale, F.lit(SCALE_BOUND)) * math.sqrt(2.0)
-    upper = 0.5 * erfc((v - 0.5) / s)
-    lower = 0.5 * erfc((v + 0.5) / s)
-    return F.greatest(upper - lower, F.lit(LIKELIHOOD_BOUND))
+    centre = F.col(y) if mean is None else F.col(y) - F.col(mean)
+    ready = cells.withColumns(
+        {"_v": F.abs(centre), "_s": F.greatest(F.col(scale), F.lit(SCALE_BOUND)) * math.sqrt(2.0)}
+    )
+    tails = with_erfc(
+        ready, {"_up": (F.col("_v") - 0.5) / F.col("_s"), "_low": (F.col("_v") + 0.5) / F.col("_s")}
+    )
+    share = F.greatest(0.5 * F.col("_up") - 0.5 * F.col("_low"), F.lit(LIKELIHOOD_BOUND))
+    return tails.withColumn(out, share).drop("_v", "_s", "_up", "_low")
 
 
 def erfc_library(x: Column) -> Column:

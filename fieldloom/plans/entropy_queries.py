@@ -261,10 +261,8 @@ lik AS (SELECT sample, c, i, j, greatest(0.5 * {erfc_sql("x1")} - 0.5 * {erfc_sq
 def _likelihoods(spark, sf):
     from .core_queries import _scaled
 
-    return _scaled(spark, sf).withColumn("scale", 0.05 + 1.5 * F.col("i")).select(
-        "sample", "c", "i", "j",
-        lk.gaussian_likelihood(F.col("y"), F.col("scale"), F.col("mean")).alias("likelihood"),
-    )
+    cells = _scaled(spark, sf).withColumn("scale", 0.05 + 1.5 * F.col("i"))
+    return lk.gaussian_likelihood(cells, mean="mean").select("sample", "c", "i", "j", "likelihood")
 
 
 @query("e14_gaussian_likelihood", f"{LIK_IN} SELECT sample, c, i, j, {q6('likelihood')} AS likelihood FROM lik")

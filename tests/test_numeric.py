@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.numeric import erfc, human_size, log_table, psnr_from_mse, ratio_to_db, size_in
+from fieldloom.functions.numeric import human_size, log_table, psnr_from_mse, ratio_to_db, size_in, with_erfc
 from fieldloom.operators import quantise as qz
 from fieldloom.operators.likelihood import erfc_library, gaussian_likelihood
 
@@ -12,16 +12,19 @@ from fieldloom.operators.likelihood import erfc_library, gaussian_likelihood
 def test_erfc_matches_library(spark):
     xs = [float(x) for x in np.concatenate([np.linspace(-7, 26, 3001), [0.46875, 4.0, -0.46875, -4.0, 0.0]])]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    for r in df.select("x", erfc(F.col("x")).alias("a"), erfc_library(F.col("x")).alias("b")).collect():
+    both = with_erfc(df, {"a": F.col("x")}).withColumn("b", erfc_library(F.col("x")))
+    assert both.columns == ["x", "a", "b"]
+    for r in both.collect():
         assert r.b == math.erfc(r.x)
         assert r.a == pytest.approx(r.b, rel=2e-13, abs=1e-300)
+    assert with_erfc(df.limit(1), {"a": F.lit(None).cast("double")}).first().a is None
 
 
 def test_gaussian_likelihood(spark):
     rng = np.random.default_rng(1)
     rows = [(float(y), float(s)) for y, s in zip(rng.normal(0, 4, 500), rng.uniform(0.01, 8, 500))]
     df = spark.createDataFrame(rows, "y double, s double")
-    for r in df.select("*", gaussian_likelihood(F.col("y"), F.col("s"), 0.3).alias("p")).collect():
+    for r in gaussian_likelihood(df.withColumn("m", F.lit(0.3)), scale="s", mean="m", out="p").collect():
         s, v = max(r.s, 0.11), abs(r.y - 0.3)
         phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
         assert r.p == pytest.approx(max(phi((0.5 - v) / s) - phi((-0.5 - v) / s), 1e-9), abs=1e-12)
