@@ -27,8 +27,9 @@ NARROW_RANGE = 4
 SPATIAL_CONTEXTS = 3
 CHANNEL_CONTEXTS = 4
 
-#: Flags per 64-bit word; the sign bit stays free.
-WORD = 63
+#: Flags per word, and per group of sum columns.
+WORD = 64
+LANE = 16
 
 #: Widest channel table the cross-channel search accepts.
 MAX_CHANNELS = 4096
@@ -287,44 +288,50 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
                   default_bits: DataFrame) -> DataFrame:
     """Bits saved on channel ``c`` when ``prev`` is coded right before it, for all wide pairs.
 
-    Every cell position carries one deviation flag per channel, packed into words of 63
-    bits and combined over the position's (at most one per channel) cells.  One grouped
-    pass then counts, per (channel, context, symbol), how often each bit is set.  No pair
-    of cells is ever emitted and the cells are shuffled once; only the counts grow with
-    the square of the number of channels.
+    Every cell position carries one deviation flag per channel, packed into 64-bit words
+    and combined over the position's (at most one per channel) cells.  One grouped pass
+    then counts, per (channel, context, symbol), how often each bit is set.  No pair of
+    cells is ever emitted and the cells are shuffled once; only the counts grow with the
+    square of the number of channels.
+
+    The bits are summed in lanes of 16: more sum columns than that make one generated
+    method too long for the JVM to compile.
     """
     wide = bounded_rows(
         support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c").orderBy("c"),
         MAX_CHANNELS, "channels",
     )
     spark = fields.sparkSession
-    bits = spark.createDataFrame(
-        [(r["c"], k // WORD, k % WORD) for k, r in enumerate(wide)], "c int, word int, bit int"
-    )
-    bits = F.broadcast(bits)  # at most MAX_CHANNELS rows, checked above
+    place = [(r["c"], k // WORD, k % WORD, k // LANE, k % LANE) for k, r in enumerate(wide)]
+    # At most MAX_CHANNELS rows, checked above.
+    bits = F.broadcast(spark.createDataFrame(place, "c int, word int, bit int, lane int, slot int"))
     words = -(-len(wide) // WORD)
 
     cells = spatial_context(fields, modes, thresholds).join(bits, "c")
     flag = F.call_function("shiftleft", (F.col("own_dev") > F.col("th")).cast("long"), F.col("bit"))
     position = W.partitionBy("sample", "i", "j")
-    packed = F.array(
-        *[F.bit_or(F.when(F.col("word") == k, flag).otherwise(F.lit(0).cast("long"))).over(position)
-          for k in range(words)]
-    ) if words else F.array().cast("array<bigint>")
+    combined = [
+        F.bit_or(F.when(F.col("word") == k, flag).otherwise(F.lit(0).cast("long"))).over(position)
+        for k in range(words)
+    ]
+    rows = cells.select("c", "ctx", "sym", *[x.alias(f"_w{k}") for k, x in enumerate(combined)])
+    lanes = [
+        F.shiftrightunsigned(f"_w{k}", at).bitwiseAND(F.lit((1 << LANE) - 1).cast("long"))
+        for k in range(words) for at in range(0, WORD, LANE)
+    ]
+    lanes = F.array(*lanes) if lanes else F.array().cast("array<bigint>")
     counts = (
-        cells.select("c", "ctx", "sym", packed.alias("_w"))
-        .select("c", "ctx", "sym", F.posexplode("_w").alias("word", "_w"))
-        .groupBy("c", "ctx", "sym", "word")
+        rows.select("c", "ctx", "sym", F.posexplode(lanes).alias("lane", "_f"))
+        .groupBy("c", "ctx", "sym", "lane")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.array(
-                *[F.sum(F.shiftright("_w", b).bitwiseAND(F.lit(1).cast("long"))) for b in range(WORD)]
-            ).alias("_hits"),
+            *[F.sum(F.shiftright("_f", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"_s{b}") for b in range(LANE)],
         )
     )
+    hits = F.array(*[F.col(f"_s{b}") for b in range(LANE)])
     per_prev = (
-        counts.select("c", "ctx", "sym", "word", "_n", F.posexplode("_hits").alias("bit", "hit"))
-        .join(bits.withColumnRenamed("c", "prev"), ["word", "bit"])
+        counts.select("c", "ctx", "sym", "lane", "_n", F.posexplode(hits).alias("slot", "hit"))
+        .join(bits.select(F.col("c").alias("prev"), "lane", "slot"), ["lane", "slot"])
         .where(F.col("prev") != F.col("c"))
     )
     after = F.array(

@@ -44,16 +44,16 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
     """Compute a summary table once so that several uses do not recompute it.
 
-    Small summaries become local tables; larger ones are checkpointed in the shared
-    folder, which survives lost executors.
+    It is checkpointed in the shared folder, which survives lost executors and is never
+    computed a second time whatever its size turns out to be.  If it is small, it is then
+    read back as a local table, whose exact size helps Spark choose joins.
     """
-    local = fetch_small(df, max_rows)
-    if local is not None:
-        return local
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    local = fetch_small(kept, max_rows)
+    return kept if local is None else local
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
