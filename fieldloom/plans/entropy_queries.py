@@ -11,7 +11,7 @@ from ..operators import channels as ch
 from ..operators import entropy as en
 from ..operators import likelihood as lk
 from ..operators import scoring as sc
-from ..sizing import settle
+from ..sizing import settle, settle_derived
 from . import views as v
 from .registry import q6, query, r6
 from .views import with_views
@@ -79,12 +79,12 @@ def _model(spark, sf) -> Model:
     fields = v.symbol_fields(spark, sf)
     hist = settle(en.symbol_histogram(v.symbols(spark, sf)))
     support = en.symbol_support(hist)
-    cdf = settle(en.symbol_cdf(hist, support=support))
+    cdf = settle_derived(en.symbol_cdf(hist, support=support))
     return Model(fields, hist, support, cdf, en.most_probable_symbol(cdf))
 
 
 def _thresholds(m: Model) -> DataFrame:
-    return settle(en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support)))
+    return settle_derived(en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support)))
 
 
 @query("e01_symbol_histogram", f"{SYMBOLS}, {HIST} SELECT c, sym, n FROM hist")

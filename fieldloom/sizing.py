@@ -41,21 +41,33 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df if local is None else F.broadcast(local)
 
 
-def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
-    """Compute a summary table once so that several uses do not recompute it.
-
-    It is checkpointed in the shared folder, which survives lost executors and is never
-    computed a second time whatever its size turns out to be.  If it is small, it is then
-    read back as a local table, whose exact size helps Spark choose joins.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame checkpointed in the shared folder, where lost executors do not matter."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    kept = df.checkpoint()
+    return df.checkpoint()
+
+
+def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
+    """Compute a summary of large data once, so that several uses do not read it again.
+
+    It is checkpointed first, so it is never computed a second time whatever its size
+    turns out to be.  If it is small, it is then read back as a local table, whose exact
+    size helps Spark choose joins.
+    """
+    kept = checkpointed(df)
     local = fetch_small(kept, max_rows)
     return kept if local is None else local
 
 
+def settle_derived(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
+    """The same for a table derived from settled ones, which is cheap to compute again:
+    local right away if it is small, checkpointed only if not."""
+    local = fetch_small(df, max_rows)
+    return checkpointed(df) if local is None else local
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     """Fetch a table that must be small; fail rather than fetch a large one."""
     head = df.limit(max_rows + 1).collect()

@@ -10,7 +10,7 @@ from fieldloom.operators import channels as ch
 from fieldloom.operators import scoring as sc
 from fieldloom.operators import statistics as st
 from fieldloom.operators import timeaxis as tx
-from fieldloom.sizing import bounded_rows, fetch_small, running_sums, settle, small_side
+from fieldloom.sizing import bounded_rows, fetch_small, running_sums, settle, settle_derived, small_side
 
 T0 = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -264,6 +264,8 @@ def test_size_checks(spark):
 
 def test_large_summaries_are_checkpointed_whole(spark):
     df = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
-    kept = settle(df, max_rows=3)
-    assert {(r.k, r["count"]) for r in kept.collect()} == {(r.k, r["count"]) for r in df.collect()}
-    assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    for keep in (settle, settle_derived):
+        for limit in (3, 100):
+            kept = keep(df, max_rows=limit)
+            assert {(r.k, r["count"]) for r in kept.collect()} == {(r.k, r["count"]) for r in df.collect()}
+            assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
