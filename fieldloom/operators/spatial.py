@@ -5,7 +5,7 @@ neighbouring cells and work inside packed rows.  None of them shuffles.
 
 The three stencils are Arrow functions over batches of packed rows.  As lambdas over
 Spark arrays they ran at 2 to 10 microseconds per cell on 721x1440 fields; as array
-arithmetic they run about a hundred times faster.  Spark bounds a batch by bytes.
+arithmetic they run 5 to 20 times faster.  Spark bounds a batch by bytes.
 """
 
 from __future__ import annotations
