@@ -13,4 +13,11 @@ packed row already holds everything they need and nothing has to be shuffled.
 ``operators.layout`` converts between the two.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python functions of this package travel to the executors by value, so workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

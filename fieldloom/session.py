@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used where ``spark.checkpoint.dir`` is unset: a path on the default file system, which on a
+#: cluster is the shared one.
+DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -27,15 +30,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     return spark
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder: ``spark.checkpoint.dir``, set to the default only where it is unset."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base or DEFAULT_SHARED)
+    return base or DEFAULT_SHARED
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local master may fall back to a temporary folder: on a cluster the
-    folder must be one that every executor sees.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="fieldloom-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    """A new path under the shared folder, which every executor sees."""
+    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder, where lost executors do not matter."""
+    shared_base(df.sparkSession)
+    return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import shared_dir
+from .session import checkpointed
 
 #: Rows up to which a per-channel table counts as small.
 SMALL_ROWS = 20_000
@@ -41,14 +41,6 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df if local is None else F.broadcast(local)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame checkpointed in the shared folder, where lost executors do not matter."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
-
-
 def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
     """Compute a summary of large data once, so that several uses do not read it again.
 

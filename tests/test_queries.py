@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from fieldloom.plans import load_queries
 from tests.compare import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_queries()
 
 
 @pytest.fixture(scope="module")
