@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pii import detect, summarize
+from .pii_sql import SQL as PII_SQL
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
 
@@ -16,3 +18,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op10_pii", PII_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return summarize(detect(table(spark, sf, "documents")))
