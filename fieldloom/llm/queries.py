@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify
 from .pii import detect, summarize
 from .pii_sql import SQL as PII_SQL
 from .registry import ORACLES, QUERIES, query, table
@@ -23,3 +24,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_pii", PII_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return summarize(detect(table(spark, sf, "documents")))
+
+
+@query("op2_langid")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(table(spark, sf, "documents"))
