@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .langid import identify
 from .pii import detect, summarize
 from .pii_sql import SQL as PII_SQL
+from .quality import SQL as QUALITY_SQL
+from .quality import judge
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
 
@@ -29,3 +31,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_langid")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return identify(table(spark, sf, "documents"))
+
+
+@query("op6_quality", QUALITY_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(table(spark, sf, "documents"))
