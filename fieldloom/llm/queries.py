@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import identify
+from .packing import pack_documents
 from .pii import detect, summarize
 from .pii_sql import SQL as PII_SQL
 from .quality import SQL as QUALITY_SQL
@@ -36,3 +37,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_quality", QUALITY_SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return judge(table(spark, sf, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
