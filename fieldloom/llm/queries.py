@@ -13,6 +13,7 @@ from .quality import SQL as QUALITY_SQL
 from .quality import judge
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
+from .toxicity import classify
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,3 +43,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_packing")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
