@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .langid import identify
 from .packing import pack_documents
 from .pii import detect, summarize
@@ -48,3 +49,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
