@@ -14,6 +14,8 @@ from .quality import SQL as QUALITY_SQL
 from .quality import judge
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
+from .substrings import SQL as SUBSTRINGS_SQL
+from .substrings import remove_repeats
 from .toxicity import classify
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -54,3 +56,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
+
+
+@query("op4_substrings", SUBSTRINGS_SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
