@@ -13,9 +13,11 @@ from .pii_sql import SQL as PII_SQL
 from .quality import SQL as QUALITY_SQL
 from .quality import judge
 from .registry import ORACLES, QUERIES, query, table
+from .sharding import assign_shards
 from .simhash import near_duplicates
 from .substrings import SQL as SUBSTRINGS_SQL
 from .substrings import remove_repeats
+from .tokencounts import count_tokens
 from .toxicity import classify
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -62,3 +64,17 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     found = remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_tokencounts")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(table(spark, sf, "documents"))
+
+
+#: Production parameter: a shard per group of writers.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return assign_shards(table(spark, sf, "documents").select("doc_id"), SHARDS)
