@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .bigru import BiGru, sigmoid, trigrams
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: BiGru | None, column: str = "toxicity") -> Dat
             arrays = [*batch.columns, pa.array(np.concatenate(made))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, column])
 
-    schema = docs.schema.add(column, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return docs.mapInArrow(add, schema)
 
 
