@@ -7,15 +7,17 @@ filling, once chosen, is used as often as the counts allow.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 #: Fillings tried around one largest item, best first.
 BRANCHES = 3
-#: Steps of the search before the best packing so far is taken.
-STEPS = 5_000
+#: Steps of the search before the best packing so far is taken, and open branches it returns to: the latest.
+STEPS, OPEN = 8_000, 64
 #: Items tried first at each level when no one or two items fill a space exactly.
-WIDTH = 4
-DEPTH = 6
+WIDTH = 3
+DEPTH = 4
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -57,47 +59,46 @@ def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[Filling]:
     """
     free = counts.copy()
     free[largest] -= 1
-    found: dict[tuple[int, ...], int] = {}
+    found: list[tuple[int, int, tuple[int, ...]]] = []  # (waste, items, the items), the best few
+
+    def note(waste: int, items: tuple[int, ...]) -> None:
+        found.append((waste, len(items), items))
+        found.sort()
+        del found[BRANCHES:]
 
     def search(space: int, most: int, chosen: tuple[int, ...], depth: int) -> bool:
         """Whether the space could be filled exactly."""
-        if space == 0 or (space <= most and free[space] > 0):
-            found[(*chosen, space) if space else chosen] = 0
+        if space == 0:
+            note(0, chosen)
             return True
         top = min(space, most)
-        there = free[: top + 1] > 0
-        there[0] = False
-        if 2 * top >= space > 1:
-            first = np.arange(top, (space + 1) // 2 - 1, -1)
-            second = space - first
-            pairs = there[first] & (second > 0) & (free[np.maximum(second, 0)] > (first == second))
-            if pairs.any():
-                a = int(first[np.argmax(pairs)])
-                found[(*chosen, a, space - a)] = 0
-                return True
-        choice = np.flatnonzero(there)[::-1][:WIDTH]
-        if not len(choice):
-            found[chosen] = space
+        if space == top and free[space] > 0:
+            note(0, (*chosen, space))
+            return True
+        first = np.arange(top, (space + 1) // 2 - 1, -1)  # pairs that fill the space, longest first
+        first = first[(first > 0) & (first < space)]
+        pairs = (free[first] > 0) & (free[space - first] > (2 * first == space))
+        if pairs.any():
+            item = int(first[np.argmax(pairs)])
+            note(0, (*chosen, item, space - item))
+            return True
+        choice = np.flatnonzero(free[: top + 1])[::-1][:WIDTH].tolist()
+        if not choice:
+            note(space, chosen)
+        if choice and depth == 0:
+            note(space - choice[0], (*chosen, choice[0]))
             return False
-        if depth == 0:
-            found[chosen] = space
         for item in choice:
-            item = int(item)
             free[item] -= 1
-            if depth:
-                exact = search(space - item, item, (*chosen, item), depth - 1)
-            else:
-                found[(*chosen, item)] = space - item
-                exact = False
+            exact = search(space - item, item, (*chosen, item), depth - 1)
             free[item] += 1
             if exact:
                 return True
         return False
 
     search(capacity - largest, largest, (), DEPTH)
-    best = sorted(found.items(), key=lambda f: (f[1], len(f[0])))[:BRANCHES]
     out = []
-    for items, _ in best:
+    for _, _, items in found:
         many: dict[int, int] = {largest: 1}
         for item in items:
             many[item] = many.get(item, 0) + 1
@@ -122,8 +123,8 @@ def pack(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
     best = best_fit(counts, capacity)
     bins = sum(t for t, _ in best)
     steps = 0
-    stack: list[tuple[np.ndarray, list, int, list[Filling]]] = []
-    state, used, waste = counts.copy(), [], 0
+    stack: deque[tuple] = deque(maxlen=OPEN)
+    state, used, waste = counts.copy(), None, 0  # used: (times, filling) and what was used before
     while bins > least and steps < STEPS:
         steps += 1
         options: list[Filling] = []
@@ -131,9 +132,9 @@ def pack(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
             if state.any():
                 options = fillings(state, int(np.flatnonzero(state)[-1]), capacity)
             else:
-                now = sum(t for t, _ in used)
-                if now < bins:
-                    best, bins = used, now
+                now = _listed(used)
+                if sum(t for t, _ in now) < bins:
+                    best, bins = now, sum(t for t, _ in now)
         if not options:
             if not stack:
                 break
@@ -143,6 +144,14 @@ def pack(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
             stack.append((state, used, waste, later))
         state = state.copy()
         times, chosen = _use(state, chosen)
-        used = [*used, (times, chosen)]
+        used = ((times, chosen), used)
         waste += times * (capacity - sum(length * n for length, n in chosen))
     return best
+
+
+def _listed(used: tuple | None) -> list:
+    out = []
+    while used is not None:
+        out.append(used[0])
+        used = used[1]
+    return out
