@@ -28,7 +28,9 @@ SAMPLE, SAMPLE_BYTES = 1_000, 16_384
 #: Words with a vector of their own: in so many sampled documents at least, and so many in all.
 VOCABULARY, IN_DOCUMENTS = 4_000, 5
 BATCH, RATE = 128, 0.01
-FIRST_EPOCHS, ROUNDS, CLEAN_PER_TOXIC = 1, 6, 8
+ROUNDS, CLEAN_PER_TOXIC = 6, 8
+#: Training steps before the first round and in each round, at least.
+FIRST_STEPS, ROUND_STEPS = 50, 40
 #: Log odds that a toxic document's highest window must have to be learned from in a round.
 SURE = 2.5
 #: Windows and words scored in one go.
@@ -87,30 +89,28 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> BiGru | None:
     doc = np.repeat(np.arange(len(each)), [len(w) for w in each])
     toxic = labels[doc] == 1
 
-    def fit(chosen: np.ndarray, goals: np.ndarray, rate: float) -> None:
-        order = rng.permutation(len(chosen))
-        for at in range(0, len(order), BATCH):
-            batch = chosen[order[at : at + BATCH]]
-            rows, back = np.unique(windows[batch], return_inverse=True)
-            back = back.reshape(len(batch), WINDOW)
-            if rows[-1] == pad:
-                rows = rows[:-1]
-            if len(rows):
-                model.train_step(*corpus.part(model, rows), back, goals[order[at : at + BATCH]], rate)
-
-    pick = np.concatenate([_some(rng, np.flatnonzero(toxic), 8 * SAMPLE), _some(rng, np.flatnonzero(~toxic), 8 * SAMPLE)])
-    for _ in range(FIRST_EPOCHS):
-        fit(pick, toxic[pick].astype(np.float32), RATE)
+    def fit(chosen: np.ndarray, rate: float, epochs: int, steps: int) -> None:
+        """Go through the windows a number of times, and more often if that makes too few steps."""
+        for _ in range(max(epochs, -(-steps * BATCH // max(1, len(chosen))))):
+            order = rng.permutation(chosen)
+            for at in range(0, len(order), BATCH):
+                batch = order[at : at + BATCH]
+                rows, back = np.unique(windows[batch], return_inverse=True)
+                back = back.reshape(len(batch), WINDOW)
+                if rows[-1] == pad:
+                    rows = rows[:-1]
+                if len(rows):
+                    model.train_step(*corpus.part(model, rows), back, toxic[batch].astype(np.float32), rate)
+
     clean = np.flatnonzero(~toxic)
+    fit(np.concatenate([_some(rng, np.flatnonzero(toxic), 8 * SAMPLE), _some(rng, clean, 8 * SAMPLE)]), RATE, 1, FIRST_STEPS)
     for k in range(ROUNDS):
         logit = score_windows(model, corpus.part(model, np.arange(pad)), windows)
         order = np.lexsort((logit, doc))
         top = order[np.append(doc[order][1:] != doc[order][:-1], True)]
         top = top[toxic[top] & (logit[top] > SURE)]
         hard = clean[np.argsort(-logit[clean], kind="stable")[: len(top)]]
-        chosen = np.concatenate([top, hard, _some(rng, clean, CLEAN_PER_TOXIC * len(top))])
-        for _ in range(2):
-            fit(chosen, toxic[chosen].astype(np.float32), RATE * 0.6**k)
+        fit(np.concatenate([top, hard, _some(rng, clean, CLEAN_PER_TOXIC * len(top))]), RATE * 0.6**k, 2, ROUND_STEPS)
     return model
 
 
