@@ -26,7 +26,7 @@ SEQUENCE = 2048
 #: Pieces of one length numbered in one group.
 PART = 50_000
 END = b"\0\0\0\0"
-#: Texts encoded before their pieces are handed on.
+#: Texts whose pieces are handed on together.
 TEXTS = 1024
 
 
@@ -45,9 +45,8 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None)
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 rows = []
-                ids = encode([t or "" for t in part.column("text").to_pylist()])
-                for doc, one in zip(part.column("doc_id").to_pylist(), ids):
-                    raw = memoryview(one + END)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    raw = memoryview(encode(text or "") + END)
                     n = len(raw) // 4
                     stop, start, piece = (n % size or size) if n > size else n, 0, 0
                     while start < n:

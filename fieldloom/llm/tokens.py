@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
 from .batches import once_per_worker
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
-#: Texts whose unknown pre-tokens are encoded together.
-TOGETHER = 256
 
-# The split rule of byte-level BPE, for texts of the characters in PLAIN only, where
-# Python's classes agree with Unicode's letters, numbers and white space.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# The split rule of byte-level BPE, for texts of the characters in PLAIN only. Words come
+# first, as most parts are words and no other alternative can start like one.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+BLANKS = " \t\n\r"
+SPLIT = re.compile(
+    f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
 PLAIN = "\t\n\r -~¡§«°·»¿À-ÖØ-öø-ɏ–—‘-„…€"
 OTHER = re.compile(f"[^{PLAIN}]")
 
@@ -39,35 +40,29 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), TOGETHER):
-            out += self._encode(texts[at : at + TOGETHER])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        whole = [OTHER.search(t) is not None or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else SPLIT.findall(t) for t, w in zip(texts, whole)]
+    def encode(self, text: str) -> bytes:
+        if OTHER.search(text) or any(s in text for s in self.special):
+            return self._ids([text])[0]
         known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
-        for part, ids in zip(new, self._ids(new)):
-            known[part] = ids
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        if any(whole):
-            rest = iter(self._ids([t for t, w in zip(texts, whole) if w]))
-            out = [next(rest) if w else ids for ids, w in zip(out, whole)]
-        if len(known) > REMEMBERED:
-            known.clear()
-        else:
-            for part in new:
-                if len(part) > LONGEST_REMEMBERED:
-                    del known[part]
-        return out
+        parts = SPLIT.findall(text)
+        ids = list(map(known.get, parts))
+        if None in ids:
+            new = list({part for part, got in zip(parts, ids) if got is None})
+            found = dict(zip(new, self._ids(new)))
+            ids = [found[part] if got is None else got for part, got in zip(parts, ids)]
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+            known.update(found if max(map(len, new)) <= LONGEST_REMEMBERED else _short(found))
+        return b"".join(ids)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
 
+def _short(found: dict[str, bytes]) -> dict[str, bytes]:
+    return {part: ids for part, ids in found.items() if len(part) <= LONGEST_REMEMBERED}
+
+
 def encoder(path: str) -> Encoder:
     return once_per_worker(("encoder", path), lambda: Encoder(path))
