@@ -66,8 +66,20 @@ def _erfc(x: Column, a: Column, sq: Column, inv: Column) -> Column:
     return F.when(a <= 0.46875, small).otherwise(outer)
 
 
-def clamp(x: Column, low, high) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+def present(x: Column | str) -> Column:
+    """The value, or NULL where it is NaN: missing cells are NULL from here on."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(~F.isnan(x), x)
+
+
+def clamp(x: Column, low=None, high=None) -> Column:
+    """Limit a value on one or both sides; NULL stays NULL.
+
+    ``greatest`` and ``least`` alone skip NULL and would turn a missing value into a bound.
+    """
+    y = x if low is None else F.greatest(x, F.lit(low))
+    y = y if high is None else F.least(y, F.lit(high))
+    return F.when(x.isNotNull(), y)
 
 
 def psnr_from_mse(mse: Column, peak: float) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sizing import small_side
+from ..functions.numeric import clamp, present
 from .layout import div, positions
 
 # The pressure axis in hPa, from the ground up.
@@ -108,11 +108,11 @@ def stack_channels(cells: DataFrame, keys: Sequence[str], channel: str = "channe
 
 
 def unstack_channels(stacked: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inverse of C03, with the channel's name.  Needs no shuffle for a small dimension."""
+    """Inverse of C03, with the channel's name, NULL if the dimension lacks it."""
     long = stacked.select(*keys, F.explode(F.arrays_zip("channels", "values")).alias("_z")).select(
         *keys, F.col("_z.channels").alias("channel_idx"), F.col("_z.values").alias("value")
     )
-    return long.join(small_side(dim.select("channel_idx", "name")), "channel_idx")
+    return long.join(dim.select("channel_idx", "name"), "channel_idx", "left")
 
 
 def variable_names(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -191,13 +191,18 @@ def sample_completeness(units: DataFrame, expected: int, keys: Sequence[str],
     )
 
 
-def missing_units(units: DataFrame, dim: Sequence, keys: Sequence[str],
+def missing_units(units: DataFrame, dim: DataFrame, keys: Sequence[str],
                   unit: str = "channel_idx") -> DataFrame:
-    """The (sample, unit) combinations that have not arrived."""
-    dtype = units.schema[unit].dataType
-    every = F.array(*[F.lit(x).cast(dtype) for x in dim])
-    wanted = units.select(*keys).distinct().withColumn(unit, F.explode(every))
-    return wanted.join(units.select(*keys, unit).distinct(), [*keys, unit], "left_anti")
+    """The (sample, unit) combinations that have not arrived.
+
+    ``dim`` lists the expected units, as many as one sample has.  Only samples that are short are
+    paired with them, each inside its own row.
+    """
+    arrived = units.select(*keys, unit).distinct()
+    expected = dim.select(unit).distinct().agg(F.collect_list(unit).alias("_all"))  # one sample's units
+    have = arrived.groupBy(*keys).agg(F.collect_list(unit).alias("_have"))
+    lacking = F.array_except(expected.scalar(), F.col("_have"))
+    return have.select(*keys, F.explode(lacking).alias(unit))
 
 
 def split_moments(cells: DataFrame, half: int, keys: Sequence[str] = ("sample", "i", "j"),
@@ -233,8 +238,7 @@ def split_moments_packed(tensors: DataFrame, keys: Sequence[str], channels: int,
 
 
 def with_spread(moments: DataFrame) -> DataFrame:
-    """Clamp the log variance to [-30, 20] and add variance and standard deviation."""
-    clamped = F.least(F.greatest(F.col("logvar"), F.lit(-30.0)), F.lit(20.0))
-    return moments.withColumn("logvar", clamped).withColumns(
+    """Clamp the log variance to [-30, 20] and add variance and standard deviation; missing stays missing."""
+    return moments.withColumn("logvar", clamp(present("logvar"), -30.0, 20.0)).withColumns(
         {"var": F.exp("logvar"), "std": F.exp(F.col("logvar") * 0.5)}
     )

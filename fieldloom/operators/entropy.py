@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..sizing import bounded_rows, settle, small_side
+from ..sizing import reused
 from .layout import div, positions
 
 # CDF precision in bits; channels with a support this narrow or narrower
@@ -31,9 +31,6 @@ CHANNEL_CONTEXTS = 4
 WORD = 64
 LANE = 16
 
-#: Widest channel table the cross-channel search accepts.
-MAX_CHANNELS = 4096
-
 
 def symbol_histogram(cells: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
     """Count per (channel, symbol)."""
@@ -104,16 +101,24 @@ def most_probable_symbol(cdf: DataFrame, keys: Sequence[str] = ("c",), sym: str
 
 def weighted_bits(hist: DataFrame, cdf: DataFrame, keys: Sequence[str], out: Sequence[str],
                   sym: str = "sym") -> DataFrame:
-    """Mean bits per symbol of a histogram under a CDF: histogram rows meet CDF rows."""
-    bits = F.lit(float(PRECISION)) - F.log2(F.col("step").cast("double"))
-    joined = hist.join(cdf.where("step IS NOT NULL").select(*keys, sym, "step"), [*keys, sym])
+    """Mean bits per symbol of a histogram under a CDF: histogram rows meet CDF rows.
+
+    ``n`` counts the symbols that the CDF can code, ``n_unpriced`` those outside it, for which
+    there is no number of bits.
+    """
+    step = F.col("step").cast("double")
+    bits = F.lit(float(PRECISION)) - F.log2(step)
+    joined = hist.join(cdf.where("step IS NOT NULL").select(*keys, sym, "step"), [*keys, sym], "left")
+    priced = F.sum(F.when(step.isNotNull(), F.col("n")))
     return joined.groupBy(*out).agg(
-        (F.sum(F.col("n") * bits) / F.sum("n")).alias("bits"), F.sum("n").alias("n")
+        F.try_divide(F.sum(F.col("n") * bits), priced).alias("bits"),
+        F.coalesce(priced, F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(step.isNull(), F.col("n"))), F.lit(0)).alias("n_unpriced"),
     )
 
 
 def cross_entropy(hist: DataFrame, cdf: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
-    """Mean bits per symbol, ``16 - log2(step)``."""
+    """Mean bits per symbol, ``16 - log2(step)``; symbols outside the CDF are counted apart."""
     return weighted_bits(hist, cdf, keys, keys, sym)
 
 
@@ -129,7 +134,7 @@ def neighbour_deviation(fields: DataFrame, modes: DataFrame, keys: Sequence[str]
     Neighbours are looked up inside the packed row, so there is no shuffle.  A missing
     neighbour has deviation -1.  Further columns of ``modes`` are carried along.
     """
-    side = small_side(modes)
+    side = modes
     carried = [x for x in modes.columns if x not in (channel, "mode")]
     values, pos, w = F.col("values"), F.col("_pos"), F.col("w")
     up, left = _neighbours(values, pos, w)
@@ -221,7 +226,7 @@ def threshold_entropy(fields: DataFrame, modes: DataFrame, support: DataFrame,
         .groupBy("c", "th", "ctx", "sym")
         .agg(F.sum("_n").alias("n"))
     )
-    hist = settle(hist)
+    hist = reused(hist)
     # Contexts without symbols are never looked up, so they need no table here.
     cdf = symbol_cdf(hist, ["c", "th", "ctx"], support, channel=["c"])
     return weighted_bits(hist, cdf, ["c", "th", "ctx"], ["c", "th"])
@@ -252,7 +257,7 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
         table.select(F.col("c").alias("prev"), F.col("mode").alias("prev_mode"), F.col("th").alias("prev_th")),
         "prev", "left",
     ).join(table.select("c", "mode", "th"), "c")
-    side = small_side(plan.select("c", "mode", "th", "prev", "prev_mode", "prev_th"))
+    side = plan.select("c", "mode", "th", "prev", "prev_mode", "prev_th")
     cur = fields.join(side, "c")
     prev = fields.select("sample", F.col("c").alias("prev"), F.col("values").alias("_pv"))
     paired = cur.join(prev, ["sample", "prev"], "left")
@@ -279,7 +284,7 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
 def channel_context_entropy(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, order: DataFrame,
                             support: DataFrame) -> DataFrame:
     """Bits per symbol with four contexts, the previous channel taken from ``order``."""
-    hist = settle(context_histogram(channel_context(fields, modes, thresholds, order)))
+    hist = reused(context_histogram(channel_context(fields, modes, thresholds, order)))
     cdf = context_cdf(hist, CHANNEL_CONTEXTS, support=support)
     return context_entropy(hist, cdf)
 
@@ -297,18 +302,17 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
     The bits are summed in lanes of 16: more sum columns than that make one generated
     method too long for the JVM to compile.
     """
-    wide = bounded_rows(
-        support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c").orderBy("c"),
-        MAX_CHANNELS, "channels",
+    wide = support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c")
+    k = F.col("_k")
+    # One row per channel is numbered, never data.
+    bits = wide.select("c", (F.row_number().over(W.orderBy("c")) - 1).alias("_k")).select(
+        "c", div(k, WORD).alias("word"), (k % WORD).alias("bit"),
+        div(k, LANE).alias("lane"), (k % LANE).alias("slot"),
     )
-    spark = fields.sparkSession
-    place = [(r["c"], k // WORD, k % WORD, k // LANE, k % LANE) for k, r in enumerate(wide)]
-    # At most MAX_CHANNELS rows, checked above.
-    bits = F.broadcast(spark.createDataFrame(place, "c int, word int, bit int, lane int, slot int"))
-    words = -(-len(wide) // WORD)
+    words = -(-wide.count() // WORD)
 
     cells = spatial_context(fields, modes, thresholds).join(bits, "c")
-    flag = F.call_function("shiftleft", (F.col("own_dev") > F.col("th")).cast("long"), F.col("bit"))
+    flag = F.call_function("shiftleft", (F.col("own_dev") > F.col("th")).cast("long"), F.col("bit").cast("int"))
     position = W.partitionBy("sample", "i", "j")
     combined = [
         F.bit_or(F.when(F.col("word") == k, flag).otherwise(F.lit(0).cast("long"))).over(position)
@@ -338,7 +342,7 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
         F.struct((F.col("ctx") + 1).alias("ctx"), F.col("hit").alias("n")),
         F.struct(F.col("ctx").alias("ctx"), (F.col("_n") - F.col("hit")).alias("n")),
     )
-    hist = settle(
+    hist = reused(
         per_prev.select("prev", "c", "sym", F.explode(after).alias("_h"))
         .where(F.col("_h.n") > 0)
         .groupBy("prev", "c", F.col("_h.ctx").alias("ctx"), "sym")
@@ -394,7 +398,7 @@ def channel_activation(fields: DataFrame, modes: DataFrame) -> DataFrame:
 
     Decided inside each packed row, so one flag per field is shuffled.
     """
-    side = small_side(modes.select("c", "mode"))
+    side = modes.select("c", "mode")
     active = F.exists("values", lambda x: x != F.col("mode")).cast("long")
     share = F.round(F.sum("_a") * (F.lit(float(TOTAL)) / F.count(F.lit(1)))).cast("int")
     return (

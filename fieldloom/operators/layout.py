@@ -65,7 +65,7 @@ def cells_to_field(cells: DataFrame, keys: Sequence[str], h: int, w: int,
                    value: str = "value") -> DataFrame:
     """Cells -> packed rows, one shuffle.  A group is one field of ``h*w`` cells.
 
-    Cells that are missing become NULL; cells outside the shape are an error.
+    Cells that are missing become NULL; cells outside the shape and repeated cells are errors.
     """
     pos = F.col("i") * w + F.col("j")
     inside = F.col("i").between(0, h - 1) & F.col("j").between(0, w - 1)
@@ -75,6 +75,8 @@ def cells_to_field(cells: DataFrame, keys: Sequence[str], h: int, w: int,
     packed = checked.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.col(value).alias("_v")))).alias("_s")
     )
+    once = F.size(F.array_distinct(F.transform("_s", lambda x: x["_pos"]))) == F.size("_s")
+    packed = packed.withColumn("_s", F.when(once, F.col("_s")).otherwise(F.raise_error(F.lit("a cell is repeated"))))
     dense = F.transform("_s", lambda x: x["_v"])
     # Sparse field: put the right number of NULLs before every present cell, then the tail.
     holes = F.flatten(

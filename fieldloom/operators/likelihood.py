@@ -5,13 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import with_erfc
-from ..sizing import small_side
+from ..functions.numeric import clamp, present, with_erfc
 from .quantise import SCALE_BOUND
 
 # Fixed value: no likelihood is taken to be smaller than this.
@@ -22,34 +19,32 @@ def gaussian_likelihood(cells: DataFrame, y: str = "y", scale: str = "scale", me
                         out: str = "likelihood") -> DataFrame:
     """Add the probability of the unit-wide bin around ``y`` under a Gaussian.
 
-    The scale is at least 0.11 and the result at least 1e-9.
+    The scale is at least 0.11 and the result at least 1e-9; a missing latent, scale or mean
+    gives NULL.
     """
-    centre = F.col(y) if mean is None else F.col(y) - F.col(mean)
+    centre = present(y) if mean is None else present(y) - present(mean)
     ready = cells.withColumns(
-        {"_v": F.abs(centre), "_s": F.greatest(F.col(scale), F.lit(SCALE_BOUND)) * math.sqrt(2.0)}
+        {"_v": F.abs(centre), "_s": clamp(present(scale), SCALE_BOUND) * math.sqrt(2.0)}
     )
     tails = with_erfc(
         ready, {"_up": (F.col("_v") - 0.5) / F.col("_s"), "_low": (F.col("_v") + 0.5) / F.col("_s")}
     )
-    share = F.greatest(0.5 * F.col("_up") - 0.5 * F.col("_low"), F.lit(LIKELIHOOD_BOUND))
+    share = clamp(0.5 * F.col("_up") - 0.5 * F.col("_low"), LIKELIHOOD_BOUND)
     return tails.withColumn(out, share).drop("_v", "_s", "_up", "_low")
 
 
-def erfc_library(x: Column) -> Column:
-    """The C library's erfc over Arrow batches, to check the column expression against."""
-
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((math.erfc(v) for v in values), dtype=float, count=len(values)))
-
-    return run(x)
-
-
 def bits_from_likelihood(cells: DataFrame, pixels: int, keys: Sequence[str] = ("sample",),
                          likelihood: str = "likelihood") -> DataFrame:
-    """Total bits and bits per pixel of a sample, summed over all its latents."""
-    bits = -F.sum(F.log(F.col(likelihood))) / math.log(2.0)
-    return cells.groupBy(*keys).agg(bits.alias("bits")).withColumn("bpp", F.col("bits") / pixels)
+    """Total bits and bits per pixel of a sample, summed over all its latents.
+
+    Latents without a likelihood cannot be priced; ``n_null`` counts them.
+    """
+    known = present(likelihood)
+    bits = -F.sum(F.log(known)) / math.log(2.0)
+    missing = F.count(F.lit(1)) - F.count(known)
+    return cells.groupBy(*keys).agg(bits.alias("bits"), missing.alias("n_null")).withColumn(
+        "bpp", F.col("bits") / pixels
+    )
 
 
 def rate_distortion(bits: DataFrame, errors: DataFrame, lmbda: float = 0.01, bpp_weight: float = 0.01,
@@ -68,10 +63,10 @@ def rate_distortion(bits: DataFrame, errors: DataFrame, lmbda: float = 0.01, bpp
 def logvar_distortion(cells: DataFrame, logvars: DataFrame, keys: Sequence[str] = ("sample",),
                       channel: str = "c", orig: str = "orig", recon: str = "recon") -> DataFrame:
     """E16, learned variance: mean of ``se / exp(lv) + lv`` with one ``lv`` per channel."""
-    side = small_side(logvars.select(channel, F.col("logvar").alias("_lv")))
-    gap = F.col(orig) - F.col(recon)
+    side = logvars.select(channel, F.col("logvar").alias("_lv"))
+    gap = present(orig) - present(recon)
     return (
-        cells.join(side, channel)
+        cells.join(side, channel, "left")
         .groupBy(*keys)
         .agg(F.avg(gap * gap / F.exp("_lv") + F.col("_lv")).alias("mse_loss"))
     )
@@ -80,13 +75,16 @@ def logvar_distortion(cells: DataFrame, logvars: DataFrame, keys: Sequence[str]
 def gaussian_kl(moments: DataFrame, keys: Sequence[str] = ("sample",), other: bool = False) -> DataFrame:
     """Divergence per sample from the unit Gaussian, a mean over cells.
 
-    With ``other``, the second Gaussian is in ``mean2`` and ``logvar2``.
+    With ``other``, the second Gaussian is in ``mean2`` and ``logvar2``.  Cells with a missing
+    moment do not count.
     """
-    mu, lv, var = F.col("mean"), F.col("logvar"), F.exp("logvar")
+    mu, lv = present("mean"), present("logvar")
+    var = F.exp(lv)
     if other:
-        var2 = F.exp("logvar2")
-        gap = mu - F.col("mean2")
-        term = gap * gap / var2 + var / var2 - 1.0 - lv + F.col("logvar2")
+        lv2 = present("logvar2")
+        var2 = F.exp(lv2)
+        gap = mu - present("mean2")
+        term = gap * gap / var2 + var / var2 - 1.0 - lv + lv2
         value = 0.5 * F.avg(term)
     else:
         value = 0.5 * F.avg(mu * mu + var - 1.0 - lv)
@@ -94,9 +92,9 @@ def gaussian_kl(moments: DataFrame, keys: Sequence[str] = ("sample",), other: bo
 
 
 def gaussian_nll(moments: DataFrame, sample: str, keys: Sequence[str] = ("sample",)) -> DataFrame:
-    """``0.5 * sum(ln 2pi + logvar + (x - mean)^2 / var)`` per sample."""
-    gap = F.col(sample) - F.col("mean")
-    term = math.log(2.0 * math.pi) + F.col("logvar") + gap * gap / F.exp("logvar")
+    """``0.5 * sum(ln 2pi + logvar + (x - mean)^2 / var)`` per sample, over complete cells."""
+    gap = present(sample) - present("mean")
+    term = math.log(2.0 * math.pi) + present("logvar") + gap * gap / F.exp(present("logvar"))
     return moments.groupBy(*keys).agg((0.5 * F.sum(term)).alias("nll"))
 
 

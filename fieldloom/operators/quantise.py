@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import log_table
-from ..sizing import as_column, small_side
+from ..functions.numeric import clamp, log_table, present
+from ..sizing import as_column
 
 # Bounds and size of the scale table, and the smallest scale used.
 SCALE_MIN, SCALE_MAX, SCALE_COUNT = 0.11, 256.0, 64
@@ -56,14 +56,15 @@ def scale_index(scale: Column) -> Column:
 
     The index is the number of table entries, all but the last, below the bounded
     scale.  The logarithm gives the position up to one; the three entries around it
-    settle the exact comparison, so the cost does not grow with the table.
+    settle the exact comparison, so the cost does not grow with the table.  A missing scale
+    has no index.
     """
     table = log_table(SCALE_MIN, SCALE_MAX, SCALE_COUNT)[:-1]
     last = len(table) - 1
     step = (math.log(SCALE_MAX) - math.log(SCALE_MIN)) / (SCALE_COUNT - 1)
-    s = F.greatest(scale, F.lit(SCALE_BOUND))
+    s = clamp(present(scale), SCALE_BOUND)
     near = F.floor((F.ln(s) - math.log(SCALE_MIN)) / step)
-    mid = F.least(F.greatest(near, F.lit(1)), F.lit(last - 1)).cast("int")
+    mid = clamp(near, 1, last - 1).cast("int")
     entries = F.array(*[F.lit(t) for t in table])
     below = [(F.get(entries, mid + d) < s).cast("int") for d in (-1, 0, 1)]
     return (mid - 1 + below[0] + below[1] + below[2]).cast("int")
@@ -72,13 +73,14 @@ def scale_index(scale: Column) -> Column:
 def center_latent(cells: DataFrame, means: DataFrame, channel: str = "c", value: str = "y") -> DataFrame:
     """Q06: rounded offset from the channel mean as a 16-bit integer.
 
-    Values that do not fit are NULL and flagged in ``overflow``.
+    Values that do not fit are NULL and flagged in ``overflow``; a value or channel mean that is
+    missing gives NULL in both.
     """
-    side = small_side(means.select(channel, F.col("mean").alias("_m")))
-    r = F.rint(F.col(value) - F.col("_m"))
+    side = means.select(channel, F.col("mean").alias("_m"))
+    r = F.rint(present(value) - F.col("_m"))
     fits = r.between(-32768, 32767)
     return (
-        cells.join(side, channel)
+        cells.join(side, channel, "left")
         .withColumns({"centered": F.when(fits, r).cast("short"), "overflow": ~fits})
         .drop("_m")
     )

@@ -1,4 +1,7 @@
-"""Scoring reconstructions, forecasts and codec sweeps."""
+"""Scoring reconstructions, forecasts and codec sweeps.
+
+NULL and NaN cells are missing: a pair counts only if both of its cells are present.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import psnr_from_mse, ratio_to_db  # noqa: F401  (M09 lives with the expressions)
+from ..functions.numeric import clamp, present, psnr_from_mse, ratio_to_db  # noqa: F401  (M09 lives with the expressions)
 from .spatial import latitude_weight
 
 
 def _gap(a: str, b: str) -> Column:
-    return F.col(a) - F.col(b)
+    return present(a) - present(b)
 
 
 def channel_error_table(pairs: DataFrame, keys: Sequence[str] = ("channel_idx",), orig: str = "orig",
                         recon: str = "recon") -> DataFrame:
-    """RMSE, MAE, largest error and cell count per channel, from paired cells."""
+    """RMSE, MAE, largest error, cell count and missing cells per channel, from paired cells."""
     gap = _gap(orig, recon)
     return pairs.groupBy(*keys).agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.avg(F.abs(gap)).alias("mae"),
         F.max(F.abs(gap)).alias("max_error"),
         F.count(gap).alias("n"),
+        (F.count(F.lit(1)) - F.count(gap)).alias("n_null"),
     )
 
 
@@ -53,32 +57,40 @@ def anomaly_correlation(pairs: DataFrame, h: int, keys: Sequence[str], time: str
                         clim: str = "clim") -> DataFrame:
     """Latitude-weighted correlation of forecast and true anomalies.
 
-    Anomalies are taken from climatology.  Per time one correlation, then the mean.
+    Anomalies are taken from climatology.  Per time one correlation over the cells that have
+    a forecast, a truth and a climate, then the mean over the ``n_times`` times that have one.
     """
     wt = latitude_weight(F.col(row), h)
     a, b = _gap(pred, clim), _gap(truth, clim)
+    both = a.isNotNull() & b.isNotNull()
     per_time = pairs.groupBy(*keys, time).agg(
-        F.sum(wt * a * b).alias("_ab"), F.sum(wt * a * a).alias("_aa"), F.sum(wt * b * b).alias("_bb")
+        F.sum(wt * a * b).alias("_ab"),
+        F.sum(F.when(both, wt * a * a)).alias("_aa"),
+        F.sum(F.when(both, wt * b * b)).alias("_bb"),
     )
     norm = F.sqrt(F.col("_aa") * F.col("_bb"))
-    return per_time.groupBy(*keys).agg(
-        F.avg(F.when(norm > 0, F.col("_ab") / norm)).alias("acc"), F.count(F.lit(1)).alias("n_times")
-    )
+    acc = F.when(norm > 0, F.col("_ab") / norm)
+    return per_time.groupBy(*keys).agg(F.avg(acc).alias("acc"), F.count(acc).alias("n_times"))
 
 
 def bias_activity(pairs: DataFrame, keys: Sequence[str], pred: str = "pred", truth: str = "truth",
                   clim: str = "clim") -> DataFrame:
-    """Mean error, and the (population) spread of the forecast and true anomalies."""
+    """Mean error, and the (population) spread of the forecast and true anomalies.
+
+    All three over the same cells: those with a forecast, a truth and a climate.
+    """
+    a, b = _gap(pred, clim), _gap(truth, clim)
+    both = a.isNotNull() & b.isNotNull()
     return pairs.groupBy(*keys).agg(
-        F.avg(_gap(pred, truth)).alias("bias"),
-        F.stddev_pop(_gap(pred, clim)).alias("activity_pred"),
-        F.stddev_pop(_gap(truth, clim)).alias("activity_truth"),
+        F.avg(F.when(both, _gap(pred, truth))).alias("bias"),
+        F.stddev_pop(F.when(both, a)).alias("activity_pred"),
+        F.stddev_pop(F.when(both, b)).alias("activity_truth"),
     )
 
 
 def _to_pixels(value: Column, peak: float) -> Column:
-    """Scale to [0, peak], clamp and round half to even."""
-    return F.rint(F.least(F.greatest(value * peak, F.lit(0.0)), F.lit(float(peak))))
+    """Scale to [0, peak], clamp and round half to even; a missing value stays missing."""
+    return F.rint(clamp(present(value) * peak, 0.0, float(peak)))
 
 
 def pixel_mse(pairs: DataFrame, keys: Sequence[str], peak: float = 255.0, orig: str = "orig",
@@ -120,10 +132,12 @@ def sweep_average(runs: DataFrame, files: DataFrame, item: str = "item",
                   keys: Sequence[str] = ("codec", "qp", "metric")) -> DataFrame:
     """Per (codec, quality, metric) the sum over files divided by the number of files.
 
-    The divisor is the size of the file set, also where a file lacks the metric.
+    The divisor is the size of the file set, also where a file lacks the metric; runs of
+    files outside the set do not count.
     """
     count = files.agg(F.count_distinct(item).alias("_f"))
-    sums = runs.groupBy(*keys).agg(F.sum("value").alias("_v"))
+    runs = runs.join(files.select(item), item, "left_semi")
+    sums = runs.groupBy(*keys).agg(F.sum(present("value")).alias("_v"))
     return sums.withColumn("value", F.col("_v") / count.scalar()).drop("_v")
 
 

@@ -13,15 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..sizing import BLOCK, running_sums, small_side
+from ..functions.numeric import present
+from ..sizing import BLOCK, running_sums
 from .layout import let
 
 
-def present(value: str) -> Column:
-    """The value, or NULL where it is NaN."""
-    return F.when(~F.isnan(value), F.col(value))
-
-
 def channel_stats(cells: DataFrame, keys: Sequence[str] = ("channel_idx",), value: str = "value") -> DataFrame:
     """Count, mean and *population* standard deviation per channel."""
     v = present(value)
@@ -34,25 +30,29 @@ def channel_stats(cells: DataFrame, keys: Sequence[str] = ("channel_idx",), valu
 
 
 def merge_stats(parts: DataFrame, keys: Sequence[str] = ("channel_idx",)) -> DataFrame:
-    """Combine partial (n, mean, std) rows, so increments never rescan the data.
+    """Combine partial (n, mean, std, n_null) rows, so increments never rescan the data.
 
     Uses the spread around the merged mean, which does not cancel like
-    ``E[x^2] - E[x]^2`` does.
+    ``E[x^2] - E[x]^2`` does: the parts' own spread plus that of their means around the
+    merged one.  A channel whose cells are all missing stays, with n = 0 and NULL moments.
     """
-    parts = parts.where(F.col("n") > 0)
+    n = F.sum("n")
     centre = parts.groupBy(*keys).agg(
-        F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
+        n.alias("_n"),
+        F.sum("n_null").alias("_null"),
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), n).alias("_m"),
     )
     gap = F.col("mean") - F.col("_m")
     return (
         parts.join(centre, list(keys))
-        .groupBy(*keys, "_n", "_m")
+        .groupBy(*keys, "_n", "_null", "_m")
         .agg(F.sum(F.col("n") * (F.col("std") * F.col("std") + gap * gap)).alias("_ss"))
         .select(
             *keys,
             F.col("_n").alias("n"),
             F.col("_m").alias("mean"),
-            F.sqrt(F.col("_ss") / F.col("_n")).alias("std"),
+            F.sqrt(F.try_divide(F.col("_ss"), F.col("_n"))).alias("std"),
+            F.col("_null").alias("n_null"),
         )
     )
 
@@ -68,24 +68,25 @@ def overall_stats(stats: DataFrame, variable: str = "variable", channel: str = "
 
 def standardize(cells: DataFrame, stats: DataFrame, norm_type: str = "channel",
                 channel: str = "channel_idx", variable: str = "variable", value: str = "value") -> DataFrame:
-    """``(x - mean) / std`` with per-channel or per-variable statistics; std 0 gives NULL."""
+    """``(x - mean) / std`` with per-channel or per-variable statistics; std 0 gives NULL,
+    and so does a channel without statistics: no cell is lost."""
     if norm_type == "channel":
         key = channel
     elif norm_type == "overall":
         key, stats = variable, stats.select(variable, "mean", "std").distinct()
     else:
         raise ValueError("norm_type must be 'channel' or 'overall'")
-    side = small_side(stats.select(key, F.col("mean").alias("_m"), F.col("std").alias("_s")))
+    side = stats.select(key, F.col("mean").alias("_m"), F.col("std").alias("_s"))
     scaled = F.when(F.col("_s") != 0, (F.col(value) - F.col("_m")) / F.col("_s"))
-    return cells.join(side, key).withColumn(value, scaled).drop("_m", "_s")
+    return cells.join(side, key, "left").withColumn(value, scaled).drop("_m", "_s")
 
 
 def destandardize(cells: DataFrame, stats: DataFrame, channel: str = "channel_idx",
                   value: str = "value") -> DataFrame:
-    """``x * std + mean``."""
-    side = small_side(stats.select(channel, F.col("mean").alias("_m"), F.col("std").alias("_s")))
+    """``x * std + mean``; NULL for a channel without statistics."""
+    side = stats.select(channel, F.col("mean").alias("_m"), F.col("std").alias("_s"))
     return (
-        cells.join(side, channel)
+        cells.join(side, channel, "left")
         .withColumn(value, F.col(value) * F.col("_s") + F.col("_m"))
         .drop("_m", "_s")
     )
@@ -94,17 +95,19 @@ def destandardize(cells: DataFrame, stats: DataFrame, channel: str = "channel_id
 def minmax_quantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
     """Scale each field to 0..levels by its own minimum and range.  No shuffle.
 
-    ``shift`` is the minimum and ``scale`` the range; ``values`` become integers,
-    truncated as an unsigned store truncates.  A constant field becomes all zeros.
+    ``shift`` is the minimum and ``scale`` the range of the cells that are present;
+    ``values`` become integers, truncated as an unsigned store truncates.  Missing cells
+    (NULL or NaN) become NULL.  A constant field becomes all zeros.
     """
-    out = fields.withColumns(
-        {"shift": F.array_min("values"), "scale": F.array_max("values") - F.array_min("values")}
-    )
+    there = F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))
+    out = fields.withColumn("_there", there).withColumns(
+        {"shift": F.array_min("_there"), "scale": F.array_max("_there") - F.array_min("_there")}
+    ).drop("_there")
     bounds = F.struct(F.col("shift").alias("lo"), F.col("scale").alias("by"))
     code = lambda x, m: F.when(
         m["by"] > 0, F.floor((x - m["lo"]) / m["by"] * levels)
     ).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int")
-    return out.withColumn("values", let(bounds, lambda m: F.transform("values", lambda x: code(x, m))))
+    return out.withColumn("values", let(bounds, lambda m: F.transform("values", lambda x: code(present(x), m))))
 
 
 def minmax_dequantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
@@ -132,9 +135,11 @@ def cumulative_mse(files: DataFrame, order: str, mse: str = "mse", keys: Sequenc
 def latent_channel_means(fields: DataFrame, channel: str = "c") -> DataFrame:
     """Per channel, the mean over samples of each sample's spatial mean.
 
-    The spatial mean is taken inside the packed row; only one value per field is shuffled.
+    The spatial mean is taken inside the packed row, over the cells that are present; only
+    one value per field is shuffled.  A field without any does not count.
     """
-    spatial = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x) / F.size("values")
+    there = F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))
+    spatial = let(there, lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), F.size(v)))
     return fields.select(channel, spatial.alias("_m")).groupBy(channel).agg(F.avg("_m").alias("mean"))
 
 

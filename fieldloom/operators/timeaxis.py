@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.numeric import present
 from .channels import pair_fields
 from .layout import div
 
@@ -122,7 +123,7 @@ def daily_climatology(cells: DataFrame, first_year: int, last_year: int, keys: S
         (F.col(ts) >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
         & (F.col(ts) < F.lit(f"{last_year + 1}-01-01").cast("timestamp_ntz"))
     )
-    return base.groupBy(month_day(F.col(ts)).alias("md"), *keys).agg(F.avg(value).alias("clim"))
+    return base.groupBy(month_day(F.col(ts)).alias("md"), *keys).agg(F.avg(present(value)).alias("clim"))
 
 
 def climatology_lookup(rows: DataFrame, clim: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -156,7 +157,7 @@ def accumulate_hours(cells: DataFrame, hours: int, keys: Sequence[str], ts: str
     placed = rows.withColumn("_p", F.explode(F.when(in_halo, both).otherwise(own)))
     w = W.partitionBy(*keys, "_p.at").orderBy("_hour").rangeBetween(-(hours - 1), 0)
     return (
-        placed.withColumns({"_n": F.count(value).over(w), "_s": F.sum(value).over(w)})
+        placed.withColumns({"_n": F.count(present(value)).over(w), "_s": F.sum(present(value)).over(w)})
         .where(~F.col("_p.halo"))
         .select(*keys, ts, value, F.when(F.col("_n") == hours, F.col("_s")).alias("accumulated"))
     )

@@ -13,6 +13,7 @@ MODULES = (
     "scoring_queries",
     "source_queries",
     "stream_queries",
+    "gap_queries",
 )
 
 

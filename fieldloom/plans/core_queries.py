@@ -8,7 +8,7 @@ from ..operators import channels as ch
 from ..operators import quantise as qz
 from ..operators import statistics as st
 from ..operators.layout import cells_to_field, field_to_cells
-from ..sizing import settle
+from ..sizing import reused
 from . import views as v
 from .registry import q6, qstamp, query, r6, stamp
 from .views import with_views
@@ -186,8 +186,7 @@ WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.ts = h.ts AND u.unit = k.unit)""",
 )
 def c08_missing(spark, sf):
     units = _units(spark, sf)
-    kinds = [r["unit"] for r in settle(units.select("unit").distinct(), 1000).collect()]
-    return ch.missing_units(units, kinds, ["ts"], "unit").select(stamp("ts").alias("ts"), "unit")
+    return ch.missing_units(units, units.select("unit").distinct(), ["ts"], "unit").select(stamp("ts").alias("ts"), "unit")
 
 
 MOMENT_SQL = f"""{with_views("latent", "moments")}
@@ -215,7 +214,7 @@ STATS = """stats AS (SELECT c, count(y) AS n, avg(y) AS mean, stddev_pop(y) AS s
 
 
 def latent_stats(spark, sf):
-    return settle(st.channel_stats(v.latent(spark, sf), ["c"], "y"))
+    return reused(st.channel_stats(v.latent(spark, sf), ["c"], "y"))
 
 
 @query(
@@ -246,7 +245,7 @@ def n02(spark, sf):
 
 @query(
     "n03_merge_stats",
-    f"""SELECT event_type AS channel, count(*) AS n, {q6("avg(value)")} AS mean, {q6("stddev_pop(value)")} AS std
+    f"""SELECT event_type AS channel, count(*) AS n, {q6("avg(value)")} AS mean, {q6("stddev_pop(value)")} AS std, CAST(0 AS BIGINT) AS n_null
 FROM events GROUP BY 1""",
 )
 def n03(spark, sf):
@@ -255,7 +254,7 @@ def n03(spark, sf):
     )
     parts = st.channel_stats(daily, ["day", "channel"])
     return st.merge_stats(parts, ["channel"]).select(
-        "channel", "n", r6("mean").alias("mean"), r6("std").alias("std")
+        "channel", "n", r6("mean").alias("mean"), r6("std").alias("std"), "n_null"
     )
 
 
@@ -390,7 +389,7 @@ SCALED_SQL = f"{with_views('latent')}, {STATS}, {SCALED}"
 
 
 def _scaled(spark, sf):
-    stats = F.broadcast(latent_stats(spark, sf).select("c", "mean"))
+    stats = latent_stats(spark, sf).select("c", "mean")
     return v.latent(spark, sf).join(stats, "c").withColumns(
         {"y": F.col("y") * 20.0, "mean": F.col("mean") * 20.0}
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import quantise as qz
 from ..operators import scoring as sc
 from ..operators import statistics as st
-from ..sizing import settle
+from ..sizing import reused
 from . import views as v
 from .registry import q6, query, r6
 
@@ -31,7 +31,7 @@ def reconstruction_error(spark: SparkSession, sf: str) -> DataFrame:
     read, transformed and aggregated in one stage without being shuffled.
     """
     cells = v.latent(spark, sf).withColumn("orig", F.col("y"))
-    stats = settle(st.channel_stats(cells, ["c"], "y"))
+    stats = reused(st.channel_stats(cells, ["c"], "y"))
     scaled = st.standardize(cells, stats, "channel", channel="c", value="y")
     coded = scaled.withColumn("y", qz.quantize_dequantize(F.col("y") / STEP) * STEP)
     back = st.destandardize(coded, stats, channel="c", value="y").withColumnRenamed("y", "recon")

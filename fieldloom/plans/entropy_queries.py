@@ -11,7 +11,7 @@ from ..operators import channels as ch
 from ..operators import entropy as en
 from ..operators import likelihood as lk
 from ..operators import scoring as sc
-from ..sizing import settle, settle_derived
+from ..sizing import reused
 from . import views as v
 from .registry import q6, query, r6
 from .views import with_views
@@ -75,16 +75,16 @@ class Model(NamedTuple):
 
 
 def _model(spark, sf) -> Model:
-    """Two passes' worth of state: the histogram and its CDF are settled, the rest is cheap to derive."""
+    """Two passes' worth of state: the histogram and its CDF are reused, the rest is cheap to derive."""
     fields = v.symbol_fields(spark, sf)
-    hist = settle(en.symbol_histogram(v.symbols(spark, sf)))
+    hist = reused(en.symbol_histogram(v.symbols(spark, sf)))
     support = en.symbol_support(hist)
-    cdf = settle_derived(en.symbol_cdf(hist, support=support))
+    cdf = reused(en.symbol_cdf(hist, support=support))
     return Model(fields, hist, support, cdf, en.most_probable_symbol(cdf))
 
 
 def _thresholds(m: Model) -> DataFrame:
-    return settle_derived(en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support)))
+    return reused(en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support)))
 
 
 @query("e01_symbol_histogram", f"{SYMBOLS}, {HIST} SELECT c, sym, n FROM hist")
@@ -94,18 +94,18 @@ def e01(spark, sf):
 
 @query("e02_symbol_cdf", f"{PLAIN} SELECT c, k, sym, cproba, step FROM cdf")
 def e02(spark, sf):
-    return en.symbol_cdf(settle(en.symbol_histogram(v.symbols(spark, sf))))
+    return en.symbol_cdf(reused(en.symbol_histogram(v.symbols(spark, sf))))
 
 
 @query("e03_most_probable_symbol", f"{MODE} SELECT c, mode, step FROM mode")
 def e03(spark, sf):
-    return en.most_probable_symbol(en.symbol_cdf(settle(en.symbol_histogram(v.symbols(spark, sf)))))
+    return en.most_probable_symbol(en.symbol_cdf(reused(en.symbol_histogram(v.symbols(spark, sf)))))
 
 
-@query("e04_cross_entropy", f"{PLAIN}, {bits_sql('b', 'hist', 'cdf', 'c', 'c')} SELECT c, {q6('bits')} AS bits, n FROM b")
+@query("e04_cross_entropy", f"{PLAIN}, {bits_sql('b', 'hist', 'cdf', 'c', 'c')} SELECT c, {q6('bits')} AS bits, n, CAST(0 AS BIGINT) AS n_unpriced FROM b")
 def e04(spark, sf):
-    hist = settle(en.symbol_histogram(v.symbols(spark, sf)))
-    return en.cross_entropy(hist, en.symbol_cdf(hist)).select("c", r6("bits").alias("bits"), "n")
+    hist = reused(en.symbol_histogram(v.symbols(spark, sf)))
+    return en.cross_entropy(hist, en.symbol_cdf(hist)).select("c", r6("bits").alias("bits"), "n", "n_unpriced")
 
 
 @query("e05_spatial_context", f"{CONTEXT} SELECT sample, c, i, j, sym, ctx FROM ctx")
@@ -117,7 +117,7 @@ def e05(spark, sf):
 @query("e06_context_cdf", f"{CTX_CDF} SELECT c, ctx, k, sym, cproba, step FROM ctx_cdf")
 def e06(spark, sf):
     m = _model(spark, sf)
-    hist = settle(en.context_histogram(en.spatial_context(m.fields, m.modes, _thresholds(m))))
+    hist = reused(en.context_histogram(en.spatial_context(m.fields, m.modes, _thresholds(m))))
     return en.context_cdf(hist, support=m.support)
 
 
@@ -127,7 +127,7 @@ def e06(spark, sf):
 )
 def e07(spark, sf):
     m = _model(spark, sf)
-    hist = settle(en.context_histogram(en.spatial_context(m.fields, m.modes, _thresholds(m))))
+    hist = reused(en.context_histogram(en.spatial_context(m.fields, m.modes, _thresholds(m))))
     cdf = en.context_cdf(hist, support=m.support)
     return en.context_entropy(hist, cdf).select("c", r6("bits").alias("bits"), "n")
 
@@ -275,11 +275,11 @@ BITS = "bits AS (SELECT sample, -sum(log2(likelihood)) AS bits, -sum(log2(likeli
 
 @query(
     "e15_bits_from_likelihood",
-    f"{LIK_IN}, {BITS} SELECT sample, round(bits, 3) AS bits, round(bpp, 4) AS bpp FROM bits",
+    f"{LIK_IN}, {BITS} SELECT sample, round(bits, 3) AS bits, round(bpp, 4) AS bpp, CAST(0 AS BIGINT) AS n_null FROM bits",
 )
 def e15(spark, sf):
     out = lk.bits_from_likelihood(_likelihoods(spark, sf), 16)
-    return out.select("sample", F.round("bits", 3).alias("bits"), F.round("bpp", 4).alias("bpp"))
+    return out.select("sample", F.round("bits", 3).alias("bits"), F.round("bpp", 4).alias("bpp"), "n_null")
 
 
 @query(

@@ -22,11 +22,11 @@ def _pairs(spark, sf):
 @query(
     "m01_channel_error_table",
     f"""{RECON} SELECT c, {q6("sqrt(avg((orig - recon) * (orig - recon)))")} AS rmse, {q6("avg(abs(orig - recon))")} AS mae,
- {q6("max(abs(orig - recon))")} AS max_error, count(*) AS n FROM recon GROUP BY c""",
+ {q6("max(abs(orig - recon))")} AS max_error, count(*) AS n, CAST(0 AS BIGINT) AS n_null FROM recon GROUP BY c""",
 )
 def m01(spark, sf):
     out = sc.channel_error_table(_pairs(spark, sf), ["c"])
-    return out.select("c", *[r6(x).alias(x) for x in ("rmse", "mae", "max_error")], "n")
+    return out.select("c", *[r6(x).alias(x) for x in ("rmse", "mae", "max_error")], "n", "n_null")
 
 
 @query(

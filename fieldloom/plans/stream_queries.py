@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import as_instant, as_wall
 from ..operators import statistics as st
-from ..sizing import settle
+from ..sizing import reused
 from ..streaming import scores as ss
 from ..streaming import units as un
 from . import views as v
@@ -53,7 +53,7 @@ STATS = "stats AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS s
     f"""WITH {STATS} SELECT event_id, event_type, {q6("(value - mean) / std")} AS value FROM events JOIN stats USING (event_type)""",
 )
 def w02(spark, sf):
-    stats = settle(st.channel_stats(v.table(spark, sf, "events"), ["event_type"]))
+    stats = st.channel_stats(v.table(spark, sf, "events"), ["event_type"])
     scaled = ss.standardize_stream(event_stream(spark, sf), stats, channel="event_type")
     out = ss.drain(scaled.select("event_id", "event_type", "value"))
     return out.select("event_id", "event_type", r6("value").alias("value"))

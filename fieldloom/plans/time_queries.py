@@ -236,7 +236,7 @@ def _centred(spark, sf):
 t AS (SELECT lead, channel, valid_ts, sum(weight * (pred - clim) * (truth - clim)) AS ab,
         sqrt(sum(weight * (pred - clim) * (pred - clim)) * sum(weight * (truth - clim) * (truth - clim))) AS norm
       FROM centred JOIN wt USING (i) GROUP BY ALL)
-SELECT lead, channel, {q6("avg(CASE WHEN norm > 0 THEN ab / norm END)")} AS acc, count(*) AS n_times FROM t GROUP BY ALL""",
+SELECT lead, channel, {q6("avg(CASE WHEN norm > 0 THEN ab / norm END)")} AS acc, count(CASE WHEN norm > 0 THEN ab / norm END) AS n_times FROM t GROUP BY ALL""",
 )
 def m04(spark, sf):
     out = sc.anomaly_correlation(_centred(spark, sf), v.CLIMATE_ROWS, ["lead", "channel"])

@@ -1,71 +1,25 @@
-"""Size checks and block-wise helpers that keep every task bounded."""
+"""Reused summaries and block-wise helpers that keep every task bounded."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .session import checkpointed
-
-#: Rows up to which a per-channel table counts as small.
-SMALL_ROWS = 20_000
-
-#: Rows up to which a summary (a histogram, say) is kept as a local table.
-SETTLED_ROWS = 200_000
-
 #: Order values per block in block-wise running operators.
 BLOCK = 65_536
 
 
-def fetch_small(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """The frame as a local table if it has at most ``max_rows`` rows, else None.
-
-    At most ``max_rows + 1`` rows reach the driver.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
-
+def reused(df: DataFrame) -> DataFrame:
+    """Mark a summary that several later steps read, so that the data behind it is read once.
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Prepare a per-channel table for joining to a large one.
-
-    A table that fits comes back local, with a broadcast hint.  One that does not comes
-    back untouched, and Spark joins it by shuffling.
+    Nothing runs until an action needs it.  Blocks that do not fit in memory go to disk, and those
+    lost with an executor are computed again.
     """
-    local = fetch_small(df, max_rows)
-    return df if local is None else F.broadcast(local)
-
-
-def settle(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
-    """Compute a summary of large data once, so that several uses do not read it again.
-
-    It is checkpointed first, so it is never computed a second time whatever its size
-    turns out to be.  If it is small, it is then read back as a local table, whose exact
-    size helps Spark choose joins.
-    """
-    kept = checkpointed(df)
-    local = fetch_small(kept, max_rows)
-    return kept if local is None else local
-
-
-def settle_derived(df: DataFrame, max_rows: int = SETTLED_ROWS) -> DataFrame:
-    """The same for a table derived from settled ones, which is cheap to compute again:
-    local right away if it is small, checkpointed only if not."""
-    local = fetch_small(df, max_rows)
-    return checkpointed(df) if local is None else local
-
-
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
-    """Fetch a table that must be small; fail rather than fetch a large one."""
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows")
-    return head
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def running_sums(

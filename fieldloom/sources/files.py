@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,9 +89,19 @@ def list_files(spark: SparkSession, root: str, suffixes: Sequence[str] = (), rec
         .load(root)
         .select("path", F.col("length").alias("size"))
     )
-    base = root.rstrip("/")
-    relative = F.substring_index(F.col("path"), base + "/", -1)
-    return filter_listing(files.withColumn("path", relative), suffixes, recursive, case_sensitive)
+    return filter_listing(files.withColumn("path", relative_path(F.col("path"), root)), suffixes, recursive, case_sensitive)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path without its root, which is taken off as a prefix, once.
+
+    Spark lists resolved URIs (``file:/data/x``) whatever form the root was given in, so a scheme
+    and authority are ignored on both sides.  A relative root is resolved against the working folder.
+    """
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    base = os.path.abspath(base) if base == root and not os.path.isabs(base) else "/" + base.strip("/")
+    return F.when(plain.startswith(base.rstrip("/") + "/"), F.substr(plain, F.lit(len(base.rstrip("/")) + 2))).otherwise(plain)
 
 
 def content_hash_name(blobs: DataFrame, n: int = 8, name: str = "name", content: str = "content",

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import present
 from ..operators.statistics import channel_stats, standardize
 from ..session import shared_dir
 
 
 def standardize_stream(cells: DataFrame, stats: DataFrame, channel: str = "channel_idx",
                        value: str = "value") -> DataFrame:
-    """N04 on a stream; the statistics are a static table joined to every batch."""
+    """N04 on a stream; the statistics are a static table, read anew and joined in every batch."""
     return standardize(cells, stats, channel=channel, value=value)
 
 
@@ -25,9 +26,9 @@ def running_stats_stream(cells: DataFrame, keys: Sequence[str] = ("channel_idx",
 def windowed_error_stream(pairs: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour",
                           keys: Sequence[str] = (), ts: str = "ts", orig: str = "orig",
                           recon: str = "recon") -> DataFrame:
-    """Mean squared error per event-time window, closed by the watermark."""
+    """Mean squared error per event-time window over the pairs present, closed by the watermark."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
-    gap = F.col(orig) - F.col(recon)
+    gap = present(orig) - present(recon)
     return (
         pairs.withWatermark(ts, watermark)
         .groupBy(window.alias("window"), *keys)

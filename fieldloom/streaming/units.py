@@ -24,39 +24,42 @@ OUTPUT = T.StructType(
 class _Assembler(StatefulProcessor):
     """State of one sample: the units seen, and whether it was already emitted."""
 
-    def __init__(self, expected: int, timeout_ms: int):
+    def __init__(self, expected: int):
         self.expected = expected
-        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         unit = T.StructType([T.StructField("unit", T.StringType())])
         mark = T.StructType([T.StructField("seen", T.BooleanType())])
+        tally = T.StructType([T.StructField("n", T.LongType()), T.StructField("done", T.BooleanType())])
         self.units = handle.getMapState("units", unit, mark)
-        self.done = handle.getValueState("done", mark)
+        self.tally = handle.getValueState("tally", tally)
 
     def _row(self, key, arrived: int, complete: bool) -> pd.DataFrame:
         return pd.DataFrame({"ts_ms": [int(key[0])], "arrived": [arrived], "complete": [complete]})
 
-    def _count(self) -> int:
-        return sum(1 for _ in self.units.keys())
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = not self.units.exists() and not self.done.exists()
+        if self.tally.exists():
+            n, done = self.tally.get()
+        else:
+            n, done = 0, False
+            self.handle.registerTimer(int(key[0]))  # the watermark already lags by the timeout
         for pdf in rows:
             for unit in pdf["unit"].unique():
-                self.units.updateValue((unit,), (True,))
-        if fresh:
-            self.handle.registerTimer(int(key[0]) + self.timeout_ms)
-        if not self.done.exists() and self._count() >= self.expected:
-            self.done.update((True,))
-            yield self._row(key, self._count(), True)
+                if not self.units.containsKey((unit,)):
+                    self.units.updateValue((unit,), (True,))
+                    n += 1
+        if not done and n >= self.expected:
+            done = True
+            yield self._row(key, n, True)
+        self.tally.update((n, done))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            yield self._row(key, self._count(), False)
+        n, done = self.tally.get()
+        if not done:
+            yield self._row(key, n, False)
         self.units.clear()
-        self.done.clear()
+        self.tally.clear()
 
     def close(self) -> None:
         pass
@@ -71,8 +74,9 @@ def assemble_stream(units: DataFrame, expected: int, timeout_hours: int, waterma
     """Emit each sample once, as soon as all its units arrived.
 
     ``units`` has (ts TIMESTAMP, unit STRING).  Units may come in any order and more
-    than once.  A sample that is still short when the watermark passes its timestamp
-    plus the timeout is emitted as incomplete; units later than that are dropped.
+    than once.  The watermark lags by the timeout and, for disorder, by ``watermark``: a
+    sample that is still short when newer units are that far ahead of it is emitted as
+    incomplete, and only units later than that are dropped.
 
     Copies are thinned out batch by batch before the shuffle, so many copies of one
     sample do not all reach one task.  State holds each unit name once, so it is bounded
@@ -81,11 +85,11 @@ def assemble_stream(units: DataFrame, expected: int, timeout_hours: int, waterma
     return (
         units.select("ts", "unit")
         .mapInPandas(_without_copies, "ts timestamp, unit string")
-        .withWatermark("ts", watermark)
+        .withWatermark("ts", f"{watermark} {timeout_hours} hours")
         .withColumn("ts_ms", F.unix_millis("ts"))
         .groupBy("ts_ms")
         .transformWithStateInPandas(
-            statefulProcessor=_Assembler(expected, timeout_hours * 3_600_000),
+            statefulProcessor=_Assembler(expected),
             outputStructType=OUTPUT,
             outputMode="append",
             timeMode="EventTime",

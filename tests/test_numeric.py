@@ -1,12 +1,23 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.numeric import human_size, log_table, psnr_from_mse, ratio_to_db, size_in, with_erfc
+from fieldloom.functions.numeric import clamp, human_size, log_table, psnr_from_mse, ratio_to_db, size_in, with_erfc
 from fieldloom.operators import quantise as qz
-from fieldloom.operators.likelihood import erfc_library, gaussian_likelihood
+from fieldloom.operators.likelihood import gaussian_likelihood
+
+
+def erfc_library(x):
+    """The C library's erfc, to check the column expression against."""
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(math.erfc)
+
+    return run(x)
 
 
 def test_erfc_matches_library(spark):
@@ -75,3 +86,9 @@ def test_infinite_scores(spark):
     assert df.select(psnr_from_mse(F.lit(0.0), 255.0)).first()[0] == math.inf
     assert df.select(ratio_to_db(F.lit(1.0))).first()[0] == math.inf
     assert df.select(ratio_to_db(F.lit(0.99))).first()[0] == pytest.approx(20.0)
+
+
+def test_clamp_keeps_missing_values(spark):
+    df = spark.createDataFrame([(None,), (-1.0,), (0.5,), (9.0,)], "x double")
+    assert [r.y for r in df.select(clamp(F.col("x"), 0.0, 1.0).alias("y")).collect()] == [None, 0.0, 0.5, 1.0]
+    assert [r.y for r in df.select(clamp(F.col("x"), high=1.0).alias("y")).collect()] == [None, -1.0, 0.5, 1.0]

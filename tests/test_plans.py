@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from fieldloom.plans import load_queries
 
-QUERIES = entry.queries()
+QUERIES = load_queries()[0]
 
 # Sequential steps and stencils; streams run while the query is built.
 PYTHON = {
@@ -33,17 +33,33 @@ NARROW = [
     "g06_regrid_nearest", "g07_regrid_bilinear", "g08_gaussian_blur", "g09_space_to_depth", "g10_rgb_to_ycbcr",
     "n04_standardize", "n05_destandardize", "n06_minmax_quantize", "n07_minmax_dequantize", "q01_quantize_dequantize",
     "q04_quantize_noise", "q05_scale_index", "s01_field_manifest", "s06_container_catalog", "s07_container_pack",
-    "s13_tuplet_expand", "s14_video_name_metadata", "e05_spatial_context", "e14_gaussian_likelihood",
+    "s13_tuplet_expand", "s14_video_name_metadata", "e14_gaussian_likelihood",
 ]
 
 
+def outside_cache(text):
+    """The plan's lines without those of summaries that are computed once and kept."""
+    depth = None
+    for line in text.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            continue
+        depth = at if "InMemoryRelation" in line else None
+        yield line
+
+
 @pytest.mark.parametrize("name", NARROW)
 def test_cells_are_not_shuffled(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
-    exchanges = [x for x in text.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+    exchanges = [x for x in outside_cache(text) if "Exchange" in x and "BroadcastExchange" not in x]
     assert len(exchanges) == (1 if name == "s01_field_manifest" else 0), exchanges  # its input is a distinct
 
 
+def test_contexts_shuffle_summaries_only(spark, sf):
+    text = plan(QUERIES["e05_spatial_context"](spark, sf))
+    assert not [x for x in outside_cache(text) if "Exchange hashpartitioning(sample" in x]
+
+
 def test_only_needed_columns_are_read(spark, sf):
     text = plan(QUERIES["t05_date_split"](spark, sf))
     schema = text[text.index("ReadSchema"):].split(">")[0]

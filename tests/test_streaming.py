@@ -42,7 +42,8 @@ def test_assembly(spark, tmp_path, rocksdb):
     feed.add([(t[0], "a"), (t[0], "a"), (t[0], "b"), (t[1], "a")])  # duplicates; nothing complete yet
     feed.add([(t[0], "c"), (t[1], "c"), (t[1], "c"), (t[2], "b")])  # t0 complete, in any order
     feed.add([(t[0], "b"), (t[1], "b"), (t[3], "a")])  # a late copy of t0; t1 complete
-    feed.add([(t[12], "a")])  # far ahead: t2 and t3 time out
+    feed.add([(t[12], "a")])  # far ahead: t2 and t3 time out in the next batch
+    feed.add([(t[12], "a")])
     feed.add([(t[2], "a"), (t[2], "c"), (t[13], "a")])  # too late for t2
     feed.add([(t[13], "b"), (t[13], "c")])
     out = ss.drain(un.assemble_stream(feed.stream(), 3, 2)).collect()
@@ -50,6 +51,21 @@ def test_assembly(spark, tmp_path, rocksdb):
     assert got == [(0, 3, True), (1, 3, True), (2, 1, False), (3, 1, False), (13, 3, True)]
 
 
+def test_units_count_until_the_deadline(spark, tmp_path, rocksdb):
+    """The watermark passes a sample's timestamp long before its deadline."""
+    feed = Feed(spark, str(tmp_path / "in"), "ts timestamp, unit string")
+    t = [T0 + k * HOUR for k in range(20)]
+    feed.add([(t[0], "a"), (t[0], "b")])
+    feed.add([(t[2], "a")])
+    feed.add([(t[3], "a")])
+    feed.add([(t[0], "c")])  # three hours late, within the six allowed
+    feed.add([(t[19], "a")])
+    feed.add([(t[19], "b")])
+    out = ss.drain(un.assemble_stream(feed.stream(), 3, 6)).collect()
+    got = sorted((round((r.ts.astimezone(dt.timezone.utc) - T0) / HOUR), r.arrived, r.complete) for r in out)
+    assert got[:3] == [(0, 3, True), (2, 1, False), (3, 1, False)]
+
+
 def test_running_statistics_equal_the_batch(spark, tmp_path):
     feed = Feed(spark, str(tmp_path / "in"), "channel_idx int, value double")
     batches = [[(0, 1.0), (1, 5.0), (0, None)], [(0, 2.0), (0, float("nan"))], [(1, 9.0), (0, 7.0)]]

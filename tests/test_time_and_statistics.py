@@ -10,7 +10,8 @@ from fieldloom.operators import channels as ch
 from fieldloom.operators import scoring as sc
 from fieldloom.operators import statistics as st
 from fieldloom.operators import timeaxis as tx
-from fieldloom.sizing import bounded_rows, fetch_small, running_sums, settle, settle_derived, small_side
+from fieldloom.operators.layout import cells_to_field
+from fieldloom.sizing import reused, running_sums
 
 T0 = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -254,18 +255,49 @@ def test_psnr_of_equal_images_is_infinite(spark):
     assert got[1] == pytest.approx(20 * math.log10(255) - 10 * math.log10(127**2))
 
 
-def test_size_checks(spark):
-    df = spark.range(10)
-    assert fetch_small(df, 9) is None and fetch_small(df, 10).count() == 10
-    assert small_side(df, 9) is df
-    with pytest.raises(ValueError):
-        bounded_rows(df, 9, "rows")
+def test_reused_summaries_are_lazy_and_whole(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    kept = reused(df)
+    assert {(r.k, r["count"]) for r in kept.collect()} == {(r.k, r["count"]) for r in df.collect()}
+    assert kept.storageLevel.useDisk and kept.storageLevel.useMemory
+    kept.unpersist()
+
+
+def test_missing_cells_never_count(spark):
+    nan = float("nan")
+    pairs = spark.createDataFrame([(0, None, 0.0), (0, nan, 1.0), (0, 0.5, 0.5), (1, None, nan)], "k int, orig double, recon double")
+    got = {r.k: r for r in sc.channel_error_table(pairs, ["k"]).collect()}
+    assert (got[0].rmse, got[0].n, got[0].n_null) == (0.0, 1, 2) and (got[1].rmse, got[1].n, got[1].n_null) == (None, 0, 1)
+    assert {r.k: r.mse for r in sc.psnr(pairs, ["k"]).collect()} == {0: 0.0, 1: None}
+    rows = [(t, i, float(t + i), float(t + i) if i else None, 1.0) for t in range(2) for i in range(3)]
+    acc = sc.anomaly_correlation(spark.createDataFrame(rows, "valid_ts int, i int, pred double, truth double, clim double"), 5, []).first()
+    assert acc.acc == pytest.approx(1.0) and acc.n_times == 2
+
+
+def test_packed_fields_with_missing_cells(spark):
+    nan = float("nan")
+    fields = spark.createDataFrame([(0, [1.0, nan, 3.0, None]), (0, [None, nan]), (1, [2.0, 2.0])], "c int, values array<double>")
+    got = [r["values"] for r in st.minmax_quantize(fields, 10).collect()]
+    assert got == [[0, None, 10, None], [None, None], [0, 0]]
+    assert {r.c: r["mean"] for r in st.latent_channel_means(fields).collect()} == {0: 2.0, 1: 2.0}
+
+
+def test_statistics_keep_all_channels_and_cells(spark):
+    cells = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, None), (2, 5.0)], "channel_idx int, value double")
+    stats = st.channel_stats(cells.where("channel_idx < 2"))
+    merged = {r.channel_idx: (r.n, r["mean"], r["std"], r.n_null) for r in st.merge_stats(stats).collect()}
+    assert merged == {0: (2, 2.0, 1.0, 0), 1: (0, None, None, 1)}
+    scaled = st.standardize(cells, stats)
+    assert sorted((r.channel_idx, r.value or 0) for r in scaled.collect()) == [(0, -1.0), (0, 1.0), (1, 0), (2, 0)]
 
 
-def test_large_summaries_are_checkpointed_whole(spark):
-    df = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
-    for keep in (settle, settle_derived):
-        for limit in (3, 100):
-            kept = keep(df, max_rows=limit)
-            assert {(r.k, r["count"]) for r in kept.collect()} == {(r.k, r["count"]) for r in df.collect()}
-            assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+def test_sweep_average_of_the_file_set(spark):
+    runs = spark.createDataFrame([("x", 1, "m", k, 2.0) for k in range(5)], "codec string, qp int, metric string, item int, value double")
+    files = spark.createDataFrame([(0,), (1,)], "item int")
+    assert [r.value for r in sc.sweep_average(runs, files).collect()] == [2.0]
+
+
+def test_repeated_cells_are_an_error(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 9.0), (0, 0, 1, 2.0), (0, 1, 1, 3.0)], "k int, i int, j int, value double")
+    with pytest.raises(Exception, match="repeated"):
+        cells_to_field(cells, ["k"], 2, 2).collect()
