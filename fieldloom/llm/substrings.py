@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -147,7 +148,7 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 def probes(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
     """Rolling hashes by hash range: ``range``, ``chunk``, ``keys`` (ascending; hash bits and whether it
-    is an index block) and ``cells``.  Rows without a range hold ``cells`` hit inside the chunk."""
+    is an index block) and ``cells``.  Rows without keys hold ``cells`` hit inside the chunk."""
     names = ["range", "chunk", "keys", "cells"]
 
     def cut(batches):
@@ -172,7 +173,7 @@ def probes(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
                 range_ = range_of(key, ranges)
                 cuts = np.append(np.flatnonzero(np.append(True, range_[1:] != range_[:-1])), len(key))
                 code = (key >> U64(64 - bits) << U64(1)) | index
-                out = [(None, c.chunk, None, to_bytes(hit, True))] if len(hit) else []
+                out = [(int(range_[0]), c.chunk, None, to_bytes(hit, True))] if len(hit) else []
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     out.append((int(range_[a]), c.chunk, to_bytes(code[a:b], True), to_bytes(place[a:b] // CELL)))
                 yield _batch(out, names, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
@@ -186,21 +187,29 @@ def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
 
 
 def _by_range(rows: DataFrame, resolve, result: str) -> DataFrame:
-    """Run ``resolve`` on all rows of one hash range at a time; gives ``chunk`` and a block of numbers."""
+    """Run ``resolve`` on all rows of one hash range at a time; gives ``chunk`` and a block of numbers.
+
+    Rows without keys are passed on: making them in a branch of their own would read the
+    texts twice.
+    """
 
     def each(batches):
         for table in runs(batches, ["range"], 1):
             starts = run_starts(table, ["range"])
             for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
                 part = table.slice(int(a), int(b - a))
-                chunk, value = resolve(part)
-                order = np.lexsort((value, chunk))
-                chunk, value = chunk[order], value[order]
-                cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
-                out = [(int(chunk[x]), to_bytes(value[x:y], True)) for x, y in zip(cuts, [*cuts[1:], len(chunk)])]
+                inside = part.column("keys").is_null()
+                out = list(zip(*(part.filter(inside).column(c).to_pylist() for c in ("chunk", result))))
+                part = part.filter(pc.invert(inside))
+                if part.num_rows:
+                    chunk, value = resolve(part)
+                    order = np.lexsort((value, chunk))
+                    chunk, value = chunk[order], value[order]
+                    cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
+                    out += [(int(chunk[x]), to_bytes(value[x:y], True)) for x, y in zip(cuts, [*cuts[1:], len(chunk)])]
                 yield _batch(out, ["chunk", result], [pa.int64(), pa.binary()])
 
-    rows = rows.where("range IS NOT NULL").repartition("range").sortWithinPartitions("range")
+    rows = rows.repartition("range").sortWithinPartitions("range")
     return rows.mapInArrow(each, f"chunk long, {result} binary")
 
 
@@ -229,7 +238,7 @@ def _hit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def windows(chunks: DataFrame, ranges: int) -> DataFrame:
     """The windows around hits (``cells``, per chunk) by hash range: ``range``, ``chunk``, ``keys``
     (ascending), ``places`` and ``docs`` (document ids), one entry per distinct window of a chunk.
-    Rows without a range hold the ``places`` of windows that repeat an earlier one of the chunk."""
+    Rows without keys hold the ``places`` of windows that repeat an earlier one of the chunk."""
     names = ["range", "chunk", "keys", "places", "docs"]
 
     def cut(batches):
@@ -259,7 +268,7 @@ def windows(chunks: DataFrame, ranges: int) -> DataFrame:
                 again = np.sort(place[~new])
                 place, key, range_ = place[new], key[new], range_[new]
                 ids = np.array([LAST if i is None else i for i in c.ids], np.int64)[c.doc[place]]
-                out = [(None, c.chunk, None, to_bytes(again, True), None)] if len(again) else []
+                out = [(int(range_[0]), c.chunk, None, to_bytes(again, True), None)] if len(again) else []
                 cuts = np.append(np.flatnonzero(np.append(True, range_[1:] != range_[:-1])), len(key))
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     blocks = to_bytes(key[a:b], True), to_bytes(place[a:b]), to_bytes(ids[a:b].view(np.uint64))
@@ -300,11 +309,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bits = min(62, (size // WORD_BYTES + 1).bit_length() + 10)  # under one probe in a thousand meets a wrong block
     chunks = chunked(docs, max(CHUNK_BYTES, size // CHUNKS)).repartition("chunk")
 
-    probed = probes(chunks, ranges, bits)
-    hits = probed.where("range IS NULL").select("chunk", "cells").union(_by_range(probed, _hit, "cells"))
+    # Left joins only: an inner one would add a filter below the shuffle of the chunks, and
+    # Spark could not read that shuffle's files again for the other uses.
+    hits = _by_range(probes(chunks, ranges, bits), _hit, "cells")
     hits = hits.groupBy("chunk").agg(F.collect_list("cells").alias("cells"))  # a bounded chunk's places
-    cut = windows(chunks.join(hits, "chunk"), ranges)
-    again = cut.where("range IS NULL").select("chunk", "places").union(_by_range(cut, _again, "places"))
+    again = _by_range(windows(chunks.join(hits, "chunk", "left"), ranges), _again, "places")
     again = again.groupBy("chunk").agg(F.collect_list("places").alias("places"))
 
     def keep(batches):
