@@ -36,11 +36,11 @@ WINDOW, BLOCK = 20, 10
 #: Bytes of text gathered in a chunk at least, and chunks that a corpus is cut into at most.
 CHUNK_BYTES, CHUNKS = 3 << 19, 500_000
 #: Bytes of text whose probes meet in one hash range, and bytes that a word takes about.
-RANGE_BYTES, WORD_BYTES = 16 << 20, 6
+RANGE_BYTES, WORD_BYTES = 8 << 20, 6
 #: Neighbouring places that a hit stands for; smaller numbers travel as fewer bytes.
 CELL = 4
 #: Distinct words whose hashes a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 LAST = np.iinfo(np.int64).max  # a NULL doc_id sorts after all others
 U64 = np.uint64
 MULTIPLY, OTHER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
