@@ -82,6 +82,12 @@ def clamp(x: Column, low=None, high=None) -> Column:
     return F.when(x.isNotNull(), y)
 
 
+def hash_number(seed: int, *keys: str) -> Column:
+    """A whole number in [0, 2^52) that depends only on the seed and the row's key."""
+    text = F.concat_ws(",", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def psnr_from_mse(mse: Column, peak: float) -> Column:
     """``20 log10(peak) - 10 log10(mse)``; a perfect match gives infinity."""
     value = F.lit(20.0 * math.log10(peak)) - F.lit(10.0) * F.log10(mse)

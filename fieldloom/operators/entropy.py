@@ -199,9 +199,11 @@ def threshold_entropy(fields: DataFrame, modes: DataFrame, support: DataFrame,
                       keys: Sequence[str] = ("sample", "c")) -> DataFrame:
     """Bits per symbol of every channel under every candidate threshold.
 
-    Cells are first counted by (channel, symbol, deviations), with deviations beyond
-    the largest candidate put together, since they behave alike.  Only those counts are
-    repeated per threshold: the data is read once, whatever the number of candidates.
+    A context only asks how many of the two neighbours deviate by more than the threshold: the
+    larger deviation tells whether any does, the smaller one whether both do.  So cells are
+    counted by (channel, symbol, deviation) for either, and running sums over the
+    deviation give the counts of all thresholds.  The data is read once, and the counts
+    grow with the square of the symbol range.
     """
     limits = support.join(modes, "c").select(
         "c",
@@ -211,22 +213,27 @@ def threshold_entropy(fields: DataFrame, modes: DataFrame, support: DataFrame,
             F.least(F.abs(F.col("lo") - F.col("mode")), F.abs(F.col("hi") - F.col("mode"))),
         ).alias("th_max"),
     )
-    counted = (
+    up, left = F.col("up_dev"), F.col("left_dev")
+    either = F.array(
+        F.struct(F.least(up, left, "th_max").alias("dev"), F.lit(1).alias("small"), F.lit(0).alias("large")),
+        F.struct(F.least(F.greatest(up, left), "th_max").alias("dev"), F.lit(0).alias("small"), F.lit(1).alias("large")),
+    )
+    counted = reused(
         neighbour_deviation(fields, limits, keys)
-        .groupBy(
-            "c", "sym", "th_max",
-            F.least("up_dev", "th_max").alias("up_dev"),
-            F.least("left_dev", "th_max").alias("left_dev"),
-        )
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("c", "sym", "th_max", F.explode(either).alias("_d"))
+        .groupBy("c", "sym", "th_max", F.col("_d.dev").alias("th"))
+        .agg(F.sum("_d.small").alias("_small"), F.sum("_d.large").alias("_large"))
     )
-    hist = (
-        counted.withColumn("th", F.explode(F.sequence(F.lit(0), F.col("th_max") - 1)))
-        .withColumn("ctx", _context(F.col("th")))
-        .groupBy("c", "th", "ctx", "sym")
-        .agg(F.sum("_n").alias("n"))
+    every = counted.groupBy("c", "sym", "th_max").agg(F.sum("_small").alias("_all"))
+    every = every.withColumn("th", F.explode(F.sequence(F.lit(-1), F.col("th_max") - 1)))
+    upto = W.partitionBy("c", "sym").orderBy("th").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = every.join(counted.drop("th_max"), ["c", "sym", "th"], "left").withColumns(
+        {"_small": F.sum(F.coalesce("_small", F.lit(0))).over(upto), "_large": F.sum(F.coalesce("_large", F.lit(0))).over(upto)}
+    )
+    per_context = F.array(F.col("_large"), F.col("_small") - F.col("_large"), F.col("_all") - F.col("_small"))
+    hist = reused(
+        near.where("th >= 0").select("c", "th", "sym", F.posexplode(per_context).alias("ctx", "n")).where("n > 0")
     )
-    hist = reused(hist)
     # Contexts without symbols are never looked up, so they need no table here.
     cdf = symbol_cdf(hist, ["c", "th", "ctx"], support, channel=["c"])
     return weighted_bits(hist, cdf, ["c", "th", "ctx"], ["c", "th"])
@@ -361,36 +368,24 @@ def channel_order(support: DataFrame, gains: DataFrame) -> DataFrame:
 
     Start at the widest channel; keep appending the wide channel that gains most from
     the one just placed (first on ties, gain above -1); wide channels left over when no
-    gain qualifies follow by index, narrow ones come last.  The input is the summary
-    table of one row per channel pair, never data.
-    """
-    rows = support.select(
-        F.lit(0).alias("one"), F.lit(None).cast("int").alias("prev"), "c",
-        (F.col("hi") - F.col("lo")).cast("double").alias("x"),
-    ).unionByName(
-        gains.select(F.lit(0).alias("one"), F.col("prev").cast("int").alias("prev"), "c", F.col("gain").alias("x"))
-    )
+    gain qualifies follow by index, narrow ones come last.
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["prev"].isna()
-        width = dict(sorted(zip(pdf.loc[own, "c"], pdf.loc[own, "x"])))
-        gain: dict = {}
-        for p, c, g in zip(pdf.loc[~own, "prev"], pdf.loc[~own, "c"], pdf.loc[~own, "x"]):
-            gain.setdefault(int(p), []).append((-round(g, 9), int(c)))
-        placed = [max(width, key=lambda c: (width[c], -c))]
-        seen = set(placed)
-        while True:
-            options = [g for g in gain.get(placed[-1], []) if g[1] not in seen and g[0] < 1.0]
-            if not options:
-                break
-            placed.append(min(options)[1])
-            seen.add(placed[-1])
-        rest = [c for c in width if c not in seen]
-        placed += [c for c in rest if width[c] > NARROW_RANGE]
-        placed += [c for c in rest if width[c] <= NARROW_RANGE]
-        return pd.DataFrame({"pos": range(len(placed)), "c": placed})
-
-    return rows.groupBy("one").applyInPandas(greedy, "pos int, c int")
+    Every choice is one distributed minimum over the table of channel pairs; only the chosen
+    channel reaches the driver.  The steps depend on each other, so there is a job for each.
+    """
+    gains = reused(gains.select("prev", "c", F.round("gain", 9).alias("gain")))
+    width = F.col("hi") - F.col("lo")
+    wide = reused(support.select("c", (width > NARROW_RANGE).alias("wide"), width.alias("width")))
+    placed = [wide.agg(F.max_by("c", F.struct("width", -F.col("c")))).first()[0]]
+    while placed[-1] is not None:
+        options = gains.where((F.col("prev") == placed[-1]) & ~F.col("c").isin(placed) & (F.col("gain") > -1))
+        placed.append(options.agg(F.min_by("c", F.struct(-F.col("gain"), F.col("c")))).first()[0])
+    placed.pop()
+    at = F.array_position(F.array(*[F.lit(c) for c in placed]), F.col("c")) - 1
+    order = F.when(at >= 0, at).when(F.col("wide"), len(placed)).otherwise(len(placed) + 1)
+    # One row per channel is numbered, never data.
+    position = (F.row_number().over(W.orderBy(order, "c")) - 1).alias("pos")
+    return wide.select(position, "c")
 
 
 def channel_activation(fields: DataFrame, modes: DataFrame) -> DataFrame:

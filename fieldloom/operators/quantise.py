@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, log_table, present
+from ..functions.numeric import clamp, hash_number, log_table, present
 from ..sizing import as_column
 
 # Bounds and size of the scale table, and the smallest scale used.
@@ -37,8 +37,7 @@ def dequantize(sym: Column, mean=0.0) -> Column:
 
 def hash_uniform(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that depends only on the seed and the row's key."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), 11)
-    return bits.cast("double") / float(2**53)
+    return hash_number(seed, *keys).cast("double") / float(2**52)
 
 
 def quantize_noise(y: Column, seed: int, keys: Sequence[str] = ()) -> Column:

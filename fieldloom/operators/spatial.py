@@ -11,7 +11,7 @@ arithmetic they run 5 to 20 times faster.  Spark bounds a batch by bytes.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sizing import as_column
-from .layout import div
+from .layout import div, field_to_cells
 
 
 def crop_origin(h: int, w: int, th: int, tw: int, seed: int, *keys: str) -> tuple[Column, Column]:
@@ -44,28 +44,22 @@ def crop(cells: DataFrame, y, x, th: int, tw: int) -> DataFrame:
     return cells.where(inside).withColumns({"i": F.col("i") - y, "j": F.col("j") - x})
 
 
-def _pad(cells: DataFrame, h: int, w: int, top: int, left: int, h2: int, w2: int, value: str) -> DataFrame:
-    """Shift a field into a larger frame; its first cell also emits the zero border.
+def _pad(fields: DataFrame, h: int, w: int, top: int, left: int, h2: int, w2: int) -> DataFrame:
+    """Put every packed field into a larger frame of zeros, row by row inside its own array.
 
-    Every cell is repeated once, the first one once more per cell of the frame, of which
-    the interior is dropped again.  Plain arithmetic, so it all stays in generated code.
+    Nothing is shuffled, and a missing cell stays missing without taking the border with it.
     """
-    first = (F.col("i") == 0) & (F.col("j") == 0)
-    copies = F.sequence(F.lit(0), F.when(first, F.lit(h2 * w2)).otherwise(F.lit(0)))
-    keep = [c for c in cells.columns if c not in ("i", "j", value)]
-    at = F.col("_k") - 1
-    is_own, row, col = F.col("_k") == 0, div(at, w2).cast("int"), at % w2
-    inside = row.between(top, top + h - 1) & col.between(left, left + w - 1)
-    return (
-        cells.select(*keep, "i", "j", value, F.explode(copies).alias("_k"))
-        .where(is_own | ~inside)
-        .select(
-            *keep,
-            F.when(is_own, F.col("i") + top).otherwise(row).alias("i"),
-            F.when(is_own, F.col("j") + left).otherwise(col).alias("j"),
-            F.when(is_own, F.col(value)).otherwise(F.lit(0).cast(cells.schema[value].dataType)).alias(value),
-        )
+    whole = F.when(F.size("values") == h * w, F.col("values")).otherwise(
+        F.raise_error(F.lit(f"every field must have {h} x {w} cells"))
+    )
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    rows = F.transform(
+        F.sequence(F.lit(0), F.lit(h - 1)),
+        lambda r: F.concat(zeros(left), F.slice(F.col("_v"), r * w + 1, F.lit(w)), zeros(w2 - w - left)),
     )
+    framed = F.concat(zeros(top * w2), F.flatten(rows), zeros((h2 - h - top) * w2))
+    out = fields.withColumn("_v", whole.cast("array<double>")).withColumn("values", framed).drop("_v")
+    return out.withColumns({"h": F.lit(h2), "w": F.lit(w2)})
 
 
 def padding(size: int, min_div: int) -> tuple[int, int, int]:
@@ -75,30 +69,41 @@ def padding(size: int, min_div: int) -> tuple[int, int, int]:
     return padded, front, padded - size - front
 
 
-def pad_center(cells: DataFrame, h: int, w: int, min_div: int, value: str = "value") -> DataFrame:
-    """Pad both sides with zeros to the next multiple of ``min_div``.
+def _frame(size: int, min_div: int | None, wanted: int | None) -> tuple[int, int]:
+    """Padded size and amount in front, for a multiple or for a given size."""
+    if (min_div is None) == (wanted is None):
+        raise ValueError("give either a divisor or an output size")
+    if wanted is None:
+        return padding(size, min_div)[:2]
+    if wanted < size:
+        raise ValueError("the output must not be smaller than the field")
+    return wanted, (wanted - size) // 2
 
-    Fields are complete, so the border is emitted by each field's first cell; the data is
-    read once and not shuffled.
-    """
-    h2, top, _ = padding(h, min_div)
-    w2, left, _ = padding(w, min_div)
-    return _pad(cells, h, w, top, left, h2, w2, value)
+
+def pad_center(fields: DataFrame, h: int, w: int, min_div: int | None = None, out_h: int | None = None,
+               out_w: int | None = None) -> DataFrame:
+    """Pad both sides of packed fields with zeros, to the next multiple of ``min_div`` or to
+    ``out_h`` by ``out_w``; the smaller half goes in front."""
+    h2, top = _frame(h, min_div, out_h)
+    w2, left = _frame(w, min_div, out_w)
+    return _pad(fields, h, w, top, left, h2, w2)
 
 
-def unpad(cells: DataFrame, h: int, w: int, min_div: int) -> DataFrame:
-    """Remove the padding of :func:`pad_center`."""
-    return crop(cells, padding(h, min_div)[1], padding(w, min_div)[1], h, w)
+def unpad(cells: DataFrame, h: int, w: int, min_div: int | None = None, out_h: int | None = None,
+          out_w: int | None = None) -> DataFrame:
+    """Remove the padding of :func:`pad_center`, given the same sizes."""
+    return crop(cells, _frame(h, min_div, out_h)[1], _frame(w, min_div, out_w)[1], h, w)
 
 
-def tile(cells: DataFrame, h: int, w: int, wh: int, ww: int, value: str = "value") -> DataFrame:
-    """Zero-pad at the bottom and right to whole tiles, then number the tiles.
+def tile(fields: DataFrame, keys: Sequence[str], h: int, w: int, wh: int, ww: int,
+         value: str = "value") -> DataFrame:
+    """Zero-pad packed fields at the bottom and right to whole tiles, then number the tiles.
 
-    ``i`` and ``j`` become positions inside the tile.
+    One row per cell; ``i`` and ``j`` are positions inside the tile.
     """
     h2, w2 = -(-h // wh) * wh, -(-w // ww) * ww
     across = w2 // ww
-    padded = _pad(cells, h, w, 0, 0, h2, w2, value)
+    padded = field_to_cells(_pad(fields, h, w, 0, 0, h2, w2), keys, value)
     number = F.floor(F.col("i") / wh) * across + F.floor(F.col("j") / ww)
     return padded.withColumn("tile", number.cast("int")).withColumns(
         {"i": F.col("i") % wh, "j": F.col("j") % ww}

@@ -426,10 +426,14 @@ def q03(spark, sf):
     )
 
 
-@query("q04_quantize_noise")
+@query(
+    "q04_quantize_noise",
+    f"""{with_views("latent")} SELECT sample, c, i, j, {q6('y')} AS y,
+ {q6("y + CAST('0x' || substr(md5(concat_ws(',', '7', sample, c, i, j)), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) - 0.5")} AS y_noisy FROM latent""",
+)
 def q04(spark, sf):
     noisy = qz.quantize_noise(F.col("y"), 7, ["sample", "c", "i", "j"])
-    return v.latent(spark, sf).select("sample", "c", "i", "j", "y", noisy.alias("y_noisy"))
+    return v.latent(spark, sf).select("sample", "c", "i", "j", r6("y").alias("y"), r6(noisy).alias("y_noisy"))
 
 
 @query(

@@ -11,6 +11,7 @@ from ..operators import channels as ch
 from ..operators import entropy as en
 from ..operators import likelihood as lk
 from ..operators import scoring as sc
+from ..session import checkpointed
 from ..sizing import reused
 from . import views as v
 from .registry import q6, query, r6
@@ -74,17 +75,24 @@ class Model(NamedTuple):
     modes: DataFrame
 
 
+def _histogram(spark, sf) -> DataFrame:
+    """Counts per channel and symbol, both limited by configuration whatever the data: one partition
+    holds them, so that the steps built on them need no shuffles."""
+    return reused(en.symbol_histogram(v.symbols(spark, sf)).coalesce(1))
+
+
 def _model(spark, sf) -> Model:
     """Two passes' worth of state: the histogram and its CDF are reused, the rest is cheap to derive."""
     fields = v.symbol_fields(spark, sf)
-    hist = reused(en.symbol_histogram(v.symbols(spark, sf)))
-    support = en.symbol_support(hist)
+    hist = _histogram(spark, sf)
+    support = checkpointed(en.symbol_support(hist))
     cdf = reused(en.symbol_cdf(hist, support=support))
-    return Model(fields, hist, support, cdf, en.most_probable_symbol(cdf))
+    return Model(fields, hist, support, cdf, checkpointed(en.most_probable_symbol(cdf)))
 
 
 def _thresholds(m: Model) -> DataFrame:
-    return reused(en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support)))
+    found = en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support))
+    return checkpointed(found.coalesce(1))  # a row per channel, at the end of a long plan
 
 
 @query("e01_symbol_histogram", f"{SYMBOLS}, {HIST} SELECT c, sym, n FROM hist")
@@ -94,17 +102,17 @@ def e01(spark, sf):
 
 @query("e02_symbol_cdf", f"{PLAIN} SELECT c, k, sym, cproba, step FROM cdf")
 def e02(spark, sf):
-    return en.symbol_cdf(reused(en.symbol_histogram(v.symbols(spark, sf))))
+    return en.symbol_cdf(_histogram(spark, sf))
 
 
 @query("e03_most_probable_symbol", f"{MODE} SELECT c, mode, step FROM mode")
 def e03(spark, sf):
-    return en.most_probable_symbol(en.symbol_cdf(reused(en.symbol_histogram(v.symbols(spark, sf)))))
+    return en.most_probable_symbol(en.symbol_cdf(_histogram(spark, sf)))
 
 
 @query("e04_cross_entropy", f"{PLAIN}, {bits_sql('b', 'hist', 'cdf', 'c', 'c')} SELECT c, {q6('bits')} AS bits, n, CAST(0 AS BIGINT) AS n_unpriced FROM b")
 def e04(spark, sf):
-    hist = reused(en.symbol_histogram(v.symbols(spark, sf)))
+    hist = _histogram(spark, sf)
     return en.cross_entropy(hist, en.symbol_cdf(hist)).select("c", r6("bits").alias("bits"), "n", "n_unpriced")
 
 
@@ -224,7 +232,22 @@ def e12(spark, sf):
     return en.channel_activation(m.fields, m.modes)
 
 
-@query("e13_pmf_to_cdf")
+@query(
+    "e13_pmf_to_cdf",
+    f"""{f"{SYMBOLS}, {HIST}".replace("WITH ", "WITH RECURSIVE ", 1)},
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY sym) - 1 AS k,
+  CAST(floor(n / CAST(sum(n) OVER (PARTITION BY c) AS DOUBLE) * 65536 + 0.5) AS BIGINT) AS freq FROM hist),
+s AS (SELECT c, k, freq * 65536 // CAST(sum(freq) OVER (PARTITION BY c) AS BIGINT) AS w FROM p),
+l AS (SELECT c, list(w ORDER BY k) AS w, sum(w) AS total FROM s GROUP BY c),
+steal AS (SELECT c, 0 AS step, list_concat(w[:-2], [w[-1] + 65536 - CAST(total AS BIGINT)]) AS w FROM l
+  UNION ALL
+  SELECT c, step + 1, [CASE WHEN i = list_position(w, 0) THEN 1
+      WHEN i = list_position(w, list_min([x FOR x IN w IF x > 1])) THEN w[i] - 1 ELSE w[i] END FOR i IN range(1, len(w) + 1)]
+  FROM steal WHERE list_contains(w, 0)),
+done AS (SELECT c, w FROM steal WHERE NOT list_contains(w, 0))
+SELECT c, CAST(k AS INTEGER) AS k, CAST(coalesce(list_sum(w[:k]), 0) AS BIGINT) AS cproba
+FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS k FROM done)""",
+)
 def e13(spark, sf):
     m = _model(spark, sf)
     total = m.hist.groupBy("c").agg(F.sum("n").alias("_t"))

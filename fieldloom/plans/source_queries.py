@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import human_size, size_in
 from ..operators import scoring as sc
+from ..operators.layout import field_to_cells
 from ..sources import containers as ct
 from ..sources import files as fl
 from ..sources import manifests as mf
@@ -61,6 +62,18 @@ def s02(spark, sf):
     )
 
 
+@query(
+    "s02_request_single_level",
+    """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)
+SELECT year, CAST(m AS INTEGER) AS month, CAST(d AS INTEGER) AS day, hour, variable FROM y, (SELECT unnest([1, 2, 4]) AS m), range(28, 32) r(d),
+ (SELECT unnest([0, 12])::INTEGER AS hour), (SELECT unnest(['msl', 'tcc']) AS variable)
+WHERE try_strptime(concat(year, '-', m, '-', d), '%Y-%m-%d') IS NOT NULL""",
+)
+def s02_single(spark, sf):
+    years = v.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return mf.request_manifest(years, [1, 2, 4], [28, 29, 30, 31], [0, 12], ["msl", "tcc"])
+
+
 @query(
     "s02_request_for_times",
     f"""WITH {HOURS} SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H:%M:%S') AS "time",
@@ -88,6 +101,40 @@ def s03(spark, sf):
     return mf.completeness_check(expected, actual)
 
 
+# Arrays of whole numbers as .npy bytes: prefix, header of 118 characters, little-endian data.
+NPY_HEADER = "{'descr': '<i4', 'fortran_order': False, 'shape': (8, 8), }".ljust(117) + "\n"
+
+
+def _npy_files(spark, sf):
+    def little(x):
+        digits = F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8))
+        return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+
+    data = F.array_join(F.transform("embedding", lambda x: little(F.round(x.cast("double") * 1e6).cast("long"))), "")
+    name = F.concat(
+        F.lit("2020/2020-01-01/00:"), F.lpad(F.expr("cast(vec_id div 60 % 60 as string)"), 2, "0"), F.lit(":"),
+        F.lpad(F.expr("cast(vec_id % 60 as string)"), 2, "0"), F.lit("-v"), F.col("label"), F.lit("-500.0.npy"),
+    )
+    head = F.concat(F.lit("934E554D5059010076" + "00"), F.hex(F.lit(NPY_HEADER)))
+    return v.table(spark, sf, "embeddings").select(name.alias("path"), F.unhex(F.concat(head, data)).alias("content"))
+
+
+@query(
+    "s04_decode_npy",
+    f"""SELECT {qstamp("TIMESTAMP '2020-01-01' + to_seconds(vec_id % 3600)")} AS ts, CASE WHEN label < 5 THEN label END AS channel_idx,
+ CAST(pos // 8 AS INTEGER) AS i, CAST(pos % 8 AS INTEGER) AS j, CAST(round(CAST(x AS DOUBLE) * CAST(1000000 AS DOUBLE)) AS DOUBLE) AS value
+FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings)""",
+)
+def s04(spark, sf):
+    """Channels from the sixth on are unknown to the dimension; their fields stay."""
+    dim = v.table(spark, sf, "embeddings").select("label").distinct().where("label < 5").select(
+        F.col("label").alias("channel_idx"), F.concat(F.lit("v"), "label").alias("variable"), F.lit(500.0).alias("level")
+    )
+    fields = fl.decode_npy(_npy_files(spark, sf), dim, (8, 8))
+    cells = field_to_cells(fields, ["ts", "channel_idx"])
+    return cells.select(stamp("ts").alias("ts"), "channel_idx", "i", "j", "value")
+
+
 @query(
     "s05_list_files",
     f"""{with_views("blobs")}, named AS (SELECT CASE WHEN size % 7 = 0 THEN replace(path, '/', '/.') ELSE path END AS path, size FROM blobs)
@@ -208,6 +255,23 @@ def s12(spark, sf):
     return md.clip_frame_sampler(frames, interval=2).select("clip", "frame", "stride")
 
 
+@query(
+    "s12_clip_frame_draw",
+    """WITH f AS (SELECT conv_id AS clip, turn AS frame, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn,
+  count(*) OVER (PARTITION BY conv_id) AS n, CAST('0x' || substr(md5(concat('3,', conv_id)), 1, 13) AS BIGINT) AS draw
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+s AS (SELECT *, draw % greatest(1, (n + 2) // 3) + 1 AS stride FROM f),
+t AS (SELECT *, (rn - 1) // stride AS ahead, least(3, CAST(ceil(n / CAST(stride AS DOUBLE)) AS BIGINT)) AS taken FROM s
+  WHERE (rn - 1) % stride = 0 AND rn <= 3 * stride)
+SELECT clip, frame, CAST(stride AS BIGINT) AS stride, CAST(CASE WHEN draw % 2 = 1 THEN taken - 1 - ahead ELSE ahead END AS INTEGER) AS position FROM t""",
+)
+def s12_draw(spark, sf):
+    frames = v.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("clip"), F.col("turn").alias("frame")
+    ).distinct()
+    return md.clip_frame_draw(frames, 3).select("clip", "frame", "stride", "position")
+
+
 @query(
     "s13_tuplet_expand",
     """WITH l AS (SELECT CASE WHEN n_chars % 10 = 0 THEN '  ' ELSE concat(lang, '/', doc_id, ' ') END AS line FROM documents)

@@ -39,12 +39,24 @@ padded AS (SELECT f.sample, f.channel, f.i, f.j, coalesce(value, 0) AS value FRO
 
 @query("g02_pad_center", f"{PLANE}, {PADDED} SELECT sample, channel, i, j, {q6('value')} AS value FROM padded")
 def g02(spark, sf):
-    return _out(sp.pad_center(v.plane(spark, sf), 8, 8, 6))
+    return _out(field_to_cells(sp.pad_center(v.plane_fields(spark, sf), 8, 8, 6), KEYS))
+
+
+@query(
+    "g02_pad_to_size",
+    f"""{PLANE}, k AS (SELECT DISTINCT sample, channel FROM plane),
+frame AS (SELECT sample, channel, CAST(p // 15 AS INTEGER) AS i, CAST(p % 15 AS INTEGER) AS j FROM k, range(0, 135) r(p))
+SELECT f.sample, f.channel, f.i, f.j, {q6("coalesce(value, 0)")} AS value FROM frame f
+LEFT JOIN plane p ON p.sample = f.sample AND p.channel = f.channel AND p.i = f.i AND p.j = f.j - 3""",
+)
+def g02_size(spark, sf):
+    return _out(field_to_cells(sp.pad_center(v.plane_fields(spark, sf), 8, 8, out_h=9, out_w=15), KEYS))
 
 
 @query("g03_unpad", f"{PLANE} SELECT sample, channel, i, j, {q6('value')} AS value FROM plane")
 def g03(spark, sf):
-    return _out(sp.unpad(sp.pad_center(v.plane(spark, sf), 8, 8, 6), 8, 8, 6))
+    padded = field_to_cells(sp.pad_center(v.plane_fields(spark, sf), 8, 8, 6), KEYS)
+    return _out(sp.unpad(padded, 8, 8, 6))
 
 
 @query(
@@ -56,12 +68,12 @@ SELECT f.sample, f.channel, CAST((f.i // 3) * 2 + f.j // 5 AS INTEGER) AS tile,
 FROM frame f LEFT JOIN plane p ON p.sample = f.sample AND p.channel = f.channel AND p.i = f.i AND p.j = f.j""",
 )
 def g04(spark, sf):
-    return _out(sp.tile(v.plane(spark, sf), 8, 8, 3, 5), "tile")
+    return _out(sp.tile(v.plane_fields(spark, sf), KEYS, 8, 8, 3, 5), "tile")
 
 
 @query("g04_untile", f"{PLANE} SELECT sample, channel, i, j, {q6('value')} AS value FROM plane")
 def g04_inverse(spark, sf):
-    return _out(sp.untile(sp.tile(v.plane(spark, sf), 8, 8, 3, 5), 8, 8, 3, 5))
+    return _out(sp.untile(sp.tile(v.plane_fields(spark, sf), KEYS, 8, 8, 3, 5), 8, 8, 3, 5))
 
 
 @query(

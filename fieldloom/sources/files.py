@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Per-channel ``.npy`` files as packed fields at their channel's index.
-
-    ``channels`` has (channel_idx, variable, level).  Paths follow the ``arrays`` layout
-    of the field manifest, with any character between hours, minutes and seconds (Hadoop's
-    local file system cannot open names with colons; object stores can).  One file is one
-    row in and one packed row out; a file whose shape differs from ``shape`` is an error,
-    never resized.
+def decode_npy(files: DataFrame, channels: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Per-channel ``.npy`` contents as packed fields at their channel's index.
+
+    ``files`` has (path, content), ``channels`` (channel_idx, variable, level).  Paths follow the
+    ``arrays`` layout of the field manifest, with any character between hours, minutes and
+    seconds.  One file is one row in and one packed row out; a file whose shape differs
+    from ``shape`` is an error, never resized.  A channel that ``channels`` lacks has a NULL
+    index.
     """
     h, w = shape
 
@@ -34,14 +34,7 @@ def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape:
                 fields.append(a.astype(np.float64).ravel())
             yield pd.DataFrame({"path": pdf["path"], "values": fields})
 
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.npy")
-        .load(path)
-        .select("path", "content")
-    )
-    decoded = files.mapInPandas(decode, "path string, values array<double>")
+    decoded = files.select("path", "content").mapInPandas(decode, "path string, values array<double>")
     name = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}/[^/]+)\.npy$", 1)
     stamp = F.regexp_replace(F.substring(name, 1, 19), r"^(.{10}).(..).(..).(..)$", "$1 $2:$3:$4")
     level = F.regexp_extract(name, r"-([0-9.]+)$", 1)
@@ -53,11 +46,25 @@ def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape:
     )
     dim = channels.select("channel_idx", F.col("variable").alias("_v"), F.col("level").alias("_l"))
     match = (F.col("variable") == F.col("_v")) & F.col("level").eqNullSafe(F.col("_l"))
-    return parsed.join(dim, match).select(
+    return parsed.join(dim, match, "left").select(
         "ts", "channel_idx", F.lit(h).alias("h"), F.lit(w).alias("w"), "values"
     )
 
 
+def scan_npy_fields(spark: SparkSession, path: str, channels: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """:func:`decode_npy` of all ``.npy`` files under a folder.
+
+    Hadoop's local file system cannot open names with colons; object stores can.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.npy")
+        .load(path)
+    )
+    return decode_npy(files, channels, shape)
+
+
 def filter_listing(files: DataFrame, suffixes: Sequence[str] = (), recursive: bool = False,
                    case_sensitive: bool = True, path: str = "path") -> DataFrame:
     """Relative paths with one of the suffixes, hidden files left out, sorted."""

@@ -60,26 +60,37 @@ def field_manifest(times: DataFrame, channels: Sequence[Channel], layout: str =
 
 
 def request_manifest(years: DataFrame, months: Sequence[int], days: Sequence[int], hours: Sequence[int],
-                     variables: Sequence[str], levels: Sequence[int], year: str = "year") -> DataFrame:
+                     variables: Sequence[str], levels: Sequence[int] | None = None, year: str = "year") -> DataFrame:
     """Every combination of the request's dimensions, dates that do not exist left out.
 
+    Without ``levels`` the request is for single-level variables and has no level dimension.
+
     ``years`` is a table; the other dimensions are configuration and are exploded from
     literals, valid days before hours, variables and levels.
     """
     y, m, d = F.col(year), F.col("month"), F.col("day")
-    return (
+    rows = (
         years.withColumn("month", F.explode(_literal([int(x) for x in months])))
         .withColumn("day", F.explode(_literal([int(x) for x in days])))
         .where(d <= F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1)))))
         .withColumn("hour", F.explode(_literal([int(x) for x in hours])))
         .withColumn("variable", F.explode(_literal(list(variables))))
-        .withColumn("level", F.explode(_literal([int(x) for x in levels])))
     )
+    return _with_levels(rows, levels)
+
 
+def _with_levels(rows: DataFrame, levels: Sequence[int] | None) -> DataFrame:
+    if levels is None:
+        return rows
+    if not levels:
+        raise ValueError("no levels given; leave them out for single-level variables")
+    return rows.withColumn("level", F.explode(_literal([int(x) for x in levels])))
 
-def request_for_times(times: DataFrame, variables: Sequence[str], levels: Sequence[int], ts: str = "ts") -> DataFrame:
+
+def request_for_times(times: DataFrame, variables: Sequence[str], levels: Sequence[int] | None = None,
+                      ts: str = "ts") -> DataFrame:
     """S02 override: the request with its year, month, day and time taken from a timestamp."""
-    return (
+    rows = (
         times.withColumns(
             {
                 "year": F.date_format(ts, "yyyy"),
@@ -89,8 +100,8 @@ def request_for_times(times: DataFrame, variables: Sequence[str], levels: Sequen
             }
         )
         .withColumn("variable", F.explode(_literal(list(variables))))
-        .withColumn("level", F.explode(_literal([int(x) for x in levels])))
     )
+    return _with_levels(rows, levels)
 
 
 def completeness_check(expected: DataFrame, actual: DataFrame, path: str = "path", size: str = "size") -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.numeric import hash_number
+from ..operators.layout import div
+
 # Pixel format names and the layout each stands for, in matching order.
 VIDEO_FORMATS = {
     "yuv400": "yuv400",
@@ -34,27 +37,46 @@ FRACTIONS = {
 }
 
 
-def clip_frame_sampler(frames: DataFrame, interval: int = 1, max_frames: int = 3, seed: int | None = None,
-                       clip: str = "clip", frame: str = "frame") -> DataFrame:
-    """From each clip's sorted frames take the first ``max_frames`` at a stride.
+def clip_frame_sampler(frames: DataFrame, interval: int = 1, max_frames: int = 3, clip: str = "clip",
+                       frame: str = "frame") -> DataFrame:
+    """S12, fixed stride: from each clip's sorted frames take the first ``max_frames`` at a stride.
 
-    The stride is ``interval``, but at most ``(n + 2) // max_frames`` for a clip of
-    ``n`` frames; with ``seed`` it is drawn from 1 to that bound by clip.  Only the
-    leading ``max_frames * interval`` frames of a clip can matter, and that literal
+    The stride is ``interval``, but at most ``(n + 2) // max_frames`` for a clip of ``n`` frames.
+    Only the leading ``max_frames * interval`` frames of a clip can matter, and that literal
     bound lets Spark cut every clip down before the shuffle.
     """
     rank = F.row_number().over(W.partitionBy(clip).orderBy(frame))
     lead = frames.withColumn("_rn", rank).where(F.col("_rn") <= max_frames * interval)
     counts = frames.groupBy(clip).agg(F.count(F.lit(1)).alias("_n"))
-    bound = F.least(F.lit(interval).cast("long"), F.expr(f"(_n + 2) DIV {max_frames}"))
-    bound = F.greatest(bound, F.lit(1).cast("long"))
-    stride = bound if seed is None else F.pmod(F.xxhash64(F.lit(seed), F.col(clip)), bound) + 1
-    return (
-        lead.join(counts, clip)
-        .withColumn("stride", stride)
-        .where(((F.col("_rn") - 1) % F.col("stride") == 0) & (F.col("_rn") <= max_frames * F.col("stride")))
-        .drop("_rn", "_n")
-    )
+    stride = F.greatest(F.least(F.lit(interval).cast("long"), _widest(max_frames)), F.lit(1).cast("long"))
+    return _strided(lead.join(counts, clip).withColumn("stride", stride), max_frames).drop("_rn", "_n")
+
+
+def clip_frame_draw(frames: DataFrame, seed: int, max_frames: int = 3, clip: str = "clip",
+                    frame: str = "frame") -> DataFrame:
+    """S12, random stride and direction: both are drawn by a hash of the seed and the clip.
+
+    The stride is drawn from 1 to ``(n + 2) // max_frames``, whatever that is; ``position`` is the
+    place in the sample, from the last frame back for half of the clips.
+    """
+    widest = F.greatest(_widest(max_frames), F.lit(1).cast("long"))
+    draw = hash_number(seed, clip)
+    rank = F.row_number().over(W.partitionBy(clip).orderBy(frame))
+    rows = frames.withColumns({"_rn": rank, "_n": F.count(F.lit(1)).over(W.partitionBy(clip))})
+    rows = rows.withColumns({"stride": draw % widest + 1, "reverse": draw % 2 == 1})
+    taken = F.least(F.lit(max_frames), F.ceil(F.col("_n") / F.col("stride")))
+    ahead = div(F.col("_rn") - 1, F.col("stride"))
+    place = F.when(F.col("reverse"), taken - 1 - ahead).otherwise(ahead).cast("int")
+    return _strided(rows, max_frames).withColumn("position", place).drop("_rn", "_n")
+
+
+def _widest(max_frames: int) -> Column:
+    return F.expr(f"(_n + 2) DIV {max_frames}")
+
+
+def _strided(rows: DataFrame, max_frames: int) -> DataFrame:
+    at, stride = F.col("_rn"), F.col("stride")
+    return rows.where(((at - 1) % stride == 0) & (at <= max_frames * stride))
 
 
 def tuplet_expand(lines: DataFrame, tuplet: int, line: str = "line", root: str = "") -> DataFrame:

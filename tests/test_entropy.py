@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import entropy as en
+from fieldloom.session import checkpointed
 from fieldloom.operators.layout import field_to_cells
 
 TOTAL = 65536
@@ -112,10 +113,10 @@ def brute(tensor):
 @pytest.fixture(scope="module")
 def model(spark, fields):
     hist = en.reused(en.symbol_histogram(field_to_cells(fields, ["sample", "c"], "sym")))
-    support = en.reused(en.symbol_support(hist))
+    support = checkpointed(en.symbol_support(hist))
     cdf = en.reused(en.symbol_cdf(hist, support=support))
     modes = en.reused(en.most_probable_symbol(cdf))
-    thresholds = en.reused(en.best_threshold(en.threshold_entropy(fields, modes, support)))
+    thresholds = checkpointed(en.best_threshold(en.threshold_entropy(fields, modes, support)))
     return hist, support, cdf, modes, thresholds
 
 
@@ -216,7 +217,7 @@ def test_gains_and_order(fields, model, brute):
     # More than 63 wide channels, so the flags need two words.
     wide = [c for c in range(brute.channels) if brute.hi[c] - brute.lo[c] > 4]
     assert len(wide) > 63
-    gains = en.reused(en.channel_gains(fields, modes, thresholds, support, en.cross_entropy(hist, cdf)))
+    gains = checkpointed(en.channel_gains(fields, modes, thresholds, support, en.cross_entropy(hist, cdf)))
     got = {(r.prev, r.c): r.gain for r in gains.collect()}
     assert len(got) == len(wide) * (len(wide) - 1)
     rng = np.random.default_rng(3)

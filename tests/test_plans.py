@@ -8,7 +8,7 @@ QUERIES = load_queries()[0]
 
 # Sequential steps and stencils; streams run while the query is built.
 PYTHON = {
-    "n11_ema", "n11_ema_plain", "e11_channel_order", "e13_pmf_to_cdf",
+    "n11_ema", "n11_ema_plain", "e13_pmf_to_cdf", "s04_decode_npy",
     "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur",
 }
 STREAMS = {n for n in QUERIES if n.startswith("w0")}

@@ -74,6 +74,21 @@ def test_scan_npy(spark, tmp_path):
         fl.scan_npy_fields(spark, str(tmp_path), dim, (4, 3)).collect()
 
 
+def test_relative_paths_take_the_root_off_once(spark):
+    rows = [("file:/data/x/data/f.bin",), ("file:///data/y.bin",), ("hdfs://host:1/data/z",), ("/other/f",)]
+    df = spark.createDataFrame(rows, "path string")
+    for root in ("/data", "file:/data/", "hdfs://host:1/data"):
+        got = [r[0] for r in df.select(fl.relative_path(F.col("path"), root)).collect()]
+        assert got == ["x/data/f.bin", "y.bin", "z", "/other/f"]
+
+
+def test_requests_without_levels(spark):
+    years = spark.createDataFrame([(2020,)], "year int")
+    assert mf.request_manifest(years, [2], [29, 30], [0], ["msl"]).columns == ["year", "month", "day", "hour", "variable"]
+    with pytest.raises(ValueError):
+        mf.request_manifest(years, [2], [29], [0], ["t"], [])
+
+
 def test_list_files(spark, tmp_path):
     for name in ("a.TXT", "b.txt", ".hidden.txt", "c.bin", "sub/d.txt", "sub/e.Bin"):
         p = tmp_path / name
@@ -142,8 +157,13 @@ def test_clip_frames(spark):
         got.setdefault(r.clip, []).append(int(r.frame))
     # Stride 5 for 50 frames, (4 + 2) // 3 = 2 for four, 1 for one.
     assert got == {"long": [0, 5, 10], "short": [0, 2], "one": [0]}
-    strides = {r.clip: r.stride for r in md.clip_frame_sampler(df, interval=5, seed=1).collect()}
-    assert 1 <= strides["long"] <= 5 and 1 <= strides["short"] <= 2
+    wide = spark.createDataFrame([(f"c{c}", f) for c in range(60) for f in range(30)], "clip string, frame int")
+    drawn = {}
+    for r in md.clip_frame_draw(wide, 3).orderBy("position").collect():
+        drawn.setdefault((r.clip, r.stride, r.reverse), []).append(r.frame)
+    assert len(drawn) == 60 and {s for _, s, _ in drawn} == set(range(1, 11)) and {r for _, _, r in drawn} == {True, False}
+    for (_, stride, reverse), frames in drawn.items():
+        assert frames == [0, stride, 2 * stride][:: -1 if reverse else 1]
 
 
 def test_tuplets(spark):

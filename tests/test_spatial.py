@@ -77,16 +77,25 @@ def test_crop_origin_depends_on_the_key_only(spark):
 
 
 @pytest.mark.parametrize("div", [1, 4, 6])
-def test_pad_and_unpad(cells, arrays, div):
+def test_pad_and_unpad(fields, arrays, div):
     h2, top, bottom = sp.padding(H, div)
     w2, left, right = sp.padding(W, div)
-    padded = sp.pad_center(cells, H, W, div)
+    padded = field_to_cells(sp.pad_center(fields, H, W, div), ["k"])
     same(grids(padded, h2, w2), {k: np.pad(a, ((top, bottom), (left, right))) for k, a in arrays.items()})
     same(grids(sp.unpad(padded, H, W, div), H, W), arrays)
 
 
-def test_tile_and_untile(cells, arrays):
-    tiles = sp.tile(cells, H, W, 2, 3)
+def test_padding_with_a_missing_first_cell(spark):
+    df = spark.createDataFrame([(1, 2, 2, [None, 2.0, 3.0, 4.0])], "k int, h int, w int, values array<double>")
+    got = sp.pad_center(df, 2, 2, out_h=3, out_w=4).first()
+    assert (got.h, got.w, list(got["values"])) == (3, 4, [0, None, 2, 0, 0, 3, 4, 0, 0, 0, 0, 0])
+    for bad in ({}, {"min_div": 2, "out_h": 3, "out_w": 3}, {"out_h": 1, "out_w": 3}):
+        with pytest.raises(ValueError):
+            sp.pad_center(df, 2, 2, **bad)
+
+
+def test_tile_and_untile(fields, arrays):
+    tiles = sp.tile(fields, ["k"], H, W, 2, 3)
     for k, a in arrays.items():
         full = np.pad(a, ((0, 1), (0, 2)))
         for r in tiles.where(F.col("k") == k).collect():
