@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, present
+from ..functions.numeric import clamp, hash_number, present
 from .layout import div, positions
 
 # The pressure axis in hPa, from the ground up.
@@ -242,3 +243,17 @@ def with_spread(moments: DataFrame) -> DataFrame:
     return moments.withColumn("logvar", clamp(present("logvar"), -30.0, 20.0)).withColumns(
         {"var": F.exp("logvar"), "std": F.exp(F.col("logvar") * 0.5)}
     )
+
+
+def posterior_sample(moments: DataFrame, seed: int, keys: Sequence[str], deterministic: bool = False,
+                     out: str = "sample_value") -> DataFrame:
+    """A draw ``mean + std * noise``; without spread (``deterministic``) the mean itself.
+
+    The Gaussian noise comes from two hashes of the row's key (Box-Muller), so a task that runs
+    again draws the same numbers.  A missing moment gives NULL.
+    """
+    if deterministic:
+        return moments.withColumn(out, present("mean"))
+    u1, u2 = ((hash_number(seed + k, *keys) + 0.5) / float(2**52) for k in (0, 1))
+    noise = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    return moments.withColumn(out, present("mean") + F.exp(present("logvar") * 0.5) * noise)

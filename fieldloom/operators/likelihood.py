@@ -72,12 +72,15 @@ def logvar_distortion(cells: DataFrame, logvars: DataFrame, keys: Sequence[str]
     )
 
 
-def gaussian_kl(moments: DataFrame, keys: Sequence[str] = ("sample",), other: bool = False) -> DataFrame:
+def gaussian_kl(moments: DataFrame, keys: Sequence[str] = ("sample",), other: bool = False,
+                deterministic: bool = False) -> DataFrame:
     """Divergence per sample from the unit Gaussian, a mean over cells.
 
     With ``other``, the second Gaussian is in ``mean2`` and ``logvar2``.  Cells with a missing
-    moment do not count.
+    moment do not count.  A deterministic posterior has no spread, and by definition 0.
     """
+    if deterministic:
+        return moments.groupBy(*keys).agg(F.lit(0.0).alias("kl"))
     mu, lv = present("mean"), present("logvar")
     var = F.exp(lv)
     if other:
@@ -91,8 +94,12 @@ def gaussian_kl(moments: DataFrame, keys: Sequence[str] = ("sample",), other: bo
     return moments.groupBy(*keys).agg(value.alias("kl"))
 
 
-def gaussian_nll(moments: DataFrame, sample: str, keys: Sequence[str] = ("sample",)) -> DataFrame:
-    """``0.5 * sum(ln 2pi + logvar + (x - mean)^2 / var)`` per sample, over complete cells."""
+def gaussian_nll(moments: DataFrame, sample: str, keys: Sequence[str] = ("sample",),
+                 deterministic: bool = False) -> DataFrame:
+    """``0.5 * sum(ln 2pi + logvar + (x - mean)^2 / var)`` per sample, over complete cells; 0 by
+    definition for a deterministic posterior."""
+    if deterministic:
+        return moments.groupBy(*keys).agg(F.lit(0.0).alias("nll"))
     gap = present(sample) - present("mean")
     term = math.log(2.0 * math.pi) + present("logvar") + gap * gap / F.exp(present("logvar"))
     return moments.groupBy(*keys).agg((0.5 * F.sum(term)).alias("nll"))

@@ -208,6 +208,24 @@ def c09_cells(spark, sf):
     return _rounded_moments(ch.split_moments(v.latent(spark, sf), 2))
 
 
+def _uniform(seed: int) -> str:
+    digits = f"substr(md5(concat_ws(',', '{seed}', sample, c, i, j)), 1, 13)"
+    return f"((CAST('0x' || {digits} AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE))"
+
+
+@query(
+    "c09_posterior_sample",
+    f"""{with_views("latent", "moments")}
+SELECT sample, c, i, j, {q6("mean")} AS certain,
+ {q6(f"mean + exp(logvar / 2) * sqrt(-2 * ln({_uniform(5)})) * cos(2 * pi() * {_uniform(6)})")} AS drawn FROM moments""",
+)
+def c09_sample(spark, sf):
+    moments = ch.split_moments_packed(v.moments_tensor(spark, sf), ["sample"], 4, 4, 4)
+    out = ch.posterior_sample(moments, 5, ["sample", "c", "i", "j"], out="drawn")
+    out = ch.posterior_sample(out, 5, ["sample", "c", "i", "j"], deterministic=True, out="certain")
+    return out.select("sample", "c", "i", "j", r6("certain").alias("certain"), r6("drawn").alias("drawn"))
+
+
 # --- statistics and normalisation -------------------------------------------
 
 STATS = """stats AS (SELECT c, count(y) AS n, avg(y) AS mean, stddev_pop(y) AS std FROM latent GROUP BY c)"""
@@ -477,6 +495,18 @@ def layout_cells(spark, sf):
     return packed.select("sample", "c", F.array_join(micro, ",").alias("micro"))
 
 
+@query(
+    "layout_cells_to_dense_field",
+    f"""{with_views("latent")}
+SELECT sample, c, string_agg(CAST(CAST(round(y * CAST(1000000 AS DOUBLE)) AS BIGINT) AS VARCHAR), ',' ORDER BY i, j) AS micro
+FROM latent GROUP BY ALL""",
+)
+def layout_dense(spark, sf):
+    packed = cells_to_field(v.latent(spark, sf), ["sample", "c"], 4, 4, "y")
+    micro = F.transform("values", lambda y: F.round(y * 1e6).cast("long").cast("string"))
+    return packed.select("sample", "c", F.array_join(micro, ",").alias("micro"))
+
+
 # --- statistics documents -----------------------------------------------------
 
 def _stats_doc(spark, sf):
@@ -498,7 +528,7 @@ def _stats_doc(spark, sf):
 STATS_DIM = """lv AS (SELECT channel, i, avg(value) AS mean, stddev_pop(value) AS std FROM climate GROUP BY ALL),
 ov AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM climate GROUP BY 1),
 dim AS (SELECT channel AS variable, i, CAST(100 * (i + 1) AS DOUBLE) AS level,
-  CAST(row_number() OVER (ORDER BY channel, i) - 1 AS INTEGER) AS channel_idx FROM lv WHERE i < 3)"""
+  CAST(row_number() OVER (ORDER BY channel, i) - 1 AS INTEGER) AS channel_idx FROM lv)"""
 
 
 def _documented(spark, sf, norm_type):
@@ -506,7 +536,7 @@ def _documented(spark, sf, norm_type):
 
     climate = v.climate(spark, sf)
     config = climate.agg(F.array_sort(F.collect_set("channel")).alias("pressure")).select(
-        "pressure", F.array(*[F.lit(100.0 * k) for k in (1, 2, 3)]).alias("levels"),
+        "pressure", F.array(*[F.lit(100.0 * (k + 1)) for k in range(v.CLIMATE_ROWS)]).alias("levels"),
         F.array().cast("array<string>").alias("single"),
     )
     levels = [100.0 * (k + 1) for k in range(v.CLIMATE_ROWS)]
