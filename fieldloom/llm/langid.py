@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .samples import lowest_hashes
 
 #: Labelled documents that each language is learned from, at most.
 ROWS_PER_LANGUAGE = 300
@@ -141,10 +142,9 @@ def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     At most ``rows_per_language`` documents of each language count: those whose ``doc_id`` and
     text hash lowest, each as a whole.  Four-byte counts are summed on the executors.
     """
-    rows = labelled.select("lang", F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = labelled.select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    rows = rows.withColumn("nth", first).where(F.col("nth") <= rows_per_language).select("lang", "text")
+    rows = lowest_hashes(rows, "lang", rows_per_language, ["doc_id", "text"]).select("lang", "text")
 
     def count(batches):
         for batch in batches:

@@ -117,3 +117,14 @@ def test_quality_of_edges(edges, nothing):
     assert len(rows) == len(EDGES)
     assert all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] == 0)
     assert judge(nothing).count() == 0
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    from fieldloom.llm.samples import lowest_hashes
+
+    df = spark.range(5000).selectExpr("id AS k", "CASE WHEN id % 50 = 0 THEN 'rare' ELSE 'hot' END AS g", "0 AS _at")
+    got = lowest_hashes(df, "g", 120, ["k"])
+    rows = sorted((r.g, r.k) for r in got.collect())
+    assert got.columns == df.columns
+    assert [g for g, _ in rows] == ["hot"] * 120 + ["rare"] * 100
+    assert rows == sorted((r.g, r.k) for r in lowest_hashes(df.repartition(7), "g", 120, ["k"]).collect())
