@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from .bigru import BiGru, sigmoid, trigrams
+from .samples import lowest_hashes
 
 #: Words per window, and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -160,9 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     documents those of at most ``sample_bytes`` bytes.  A label other than 0 and 1 is ignored.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.where(~held_out()).distinct()
-    first = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = known.withColumn("nth", first).where(F.col("nth") <= sample).drop("nth")
+    known = lowest_hashes(known.where(~held_out()).distinct(), "toxic", sample, ["doc_id"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") <= sample_bytes)
     rows = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "toxic"])  # 2 x sample small rows at most
