@@ -338,6 +338,18 @@ def s15(spark, sf):
     return md.frame_count(md.video_name_metadata(_names(spark, sf))).select("doc_id", "frames", "frames_correct")
 
 
+@query(
+    "s15_plane_shapes",
+    f"""WITH {META}, k AS (SELECT unnest(['y', 'u', 'v']) AS plane)
+SELECT doc_id, plane, CAST(CASE WHEN format IS NULL OR format NOT IN ('yuv400', 'yuv420', 'yuv422', 'yuv444') THEN NULL WHEN plane = 'y' THEN height
+  WHEN format = 'yuv400' THEN 0 WHEN format = 'yuv420' THEN (height + 1) // 2 ELSE height END AS INTEGER) AS "rows",
+ CAST(CASE WHEN format IS NULL OR format NOT IN ('yuv400', 'yuv420', 'yuv422', 'yuv444') THEN NULL WHEN plane = 'y' THEN width
+  WHEN format = 'yuv400' THEN 0 WHEN format IN ('yuv420', 'yuv422') THEN (width + 1) // 2 ELSE width END AS INTEGER) AS columns FROM meta, k""",
+)
+def s15_planes(spark, sf):
+    return md.plane_shapes(md.video_name_metadata(_names(spark, sf))).select("doc_id", "plane", "rows", "columns")
+
+
 @query(
     "f01_human_size",
     f"""WITH s AS (SELECT doc_id, CAST(octet_length(encode(text)) AS DOUBLE) * power(1000, doc_id % 5) AS n FROM documents),

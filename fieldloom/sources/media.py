@@ -174,3 +174,27 @@ def frame_count(meta: DataFrame, size: str = "size") -> DataFrame:
     correct = (luma + 2 * cw * ch) * item
     whole = lambda f: F.when(f > 0, F.floor(F.col(size) / f).cast("long"))
     return meta.withColumns({"frames": whole(frame), "frames_correct": whole(correct)})
+
+
+def plane_shapes(meta: DataFrame) -> DataFrame:
+    """The planes of one frame, a row each: ``plane`` (y, u, v), ``rows`` and ``columns``.
+
+    Half a chroma side of odd length is rounded up, unlike in the frame count, which rounds half
+    to even.  4:0:0 has chroma planes without samples; an unknown format has NULL shapes.
+    """
+    across = F.create_map(*[F.lit(x) for k, (a, _) in SUBSAMPLING.items() for x in (k, a)])
+    down = F.create_map(*[F.lit(x) for k, (_, b) in SUBSAMPLING.items() for x in (k, b)])
+    known = F.col("format").isin(sorted(set(VIDEO_FORMATS.values())))
+
+    def side(size: str, by: Column) -> Column:
+        step = F.try_element_at(by, F.col("format"))
+        part = F.when(F.col("format") == "yuv400", 0).otherwise(div(F.col(size) + step - 1, step))
+        return F.when(known, part).cast("int")
+
+    shape = lambda plane, rows, columns: F.struct(F.lit(plane).alias("plane"), rows.alias("rows"), columns.alias("columns"))
+    luma = [F.when(known, F.col(c)).cast("int") for c in ("height", "width")]
+    chroma = [side("height", down), side("width", across)]
+    planes = F.array(shape("y", *luma), shape("u", *chroma), shape("v", *chroma))
+    return meta.withColumn("_p", F.explode(planes)).withColumns(
+        {c: F.col("_p")[c] for c in ("plane", "rows", "columns")}
+    ).drop("_p")
