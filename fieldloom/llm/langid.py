@@ -34,6 +34,14 @@ FOLD = bytes(
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals such as superscripts, which also match, are none."""
+    found = LETTER.search(text)
+    while found and not found.group().isalpha():
+        found = LETTER.search(text, found.end())
+    return found is not None
+
+
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Every byte with the three before it as one number, and where each text's bytes start."""
     pad = b" " * ORDER
@@ -177,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             lang = np.full(len(texts), UNDETERMINED, object)
             share = np.zeros(len(texts))
-            rows = [] if model is None else [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            rows = [] if model is None else [i for i, t in enumerate(texts) if t and has_letter(t)]
             at = 0
             while at < len(rows):
                 part, size = [], 0

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from fieldloom.llm.langid import FOLD, Contexts, Model, identify, keys_of, predict
+from fieldloom.llm.langid import FOLD, Contexts, Model, has_letter, identify, keys_of, predict
 from fieldloom.llm.quality import bin_of, bin_start, counts_of, judge, repeat_words
 from pyspark.sql import functions as F
 from tests.llm.conftest import EDGES
@@ -77,6 +77,10 @@ def test_language_of_edges(spark, edges, nothing):
     assert {(r["lang_pred"], r["score"]) for r in unlearned.collect()} == {("und", 0.0)}
 
 
+def test_letters():
+    assert [has_letter(t) for t in ("1 ² ½ _ 12", "²½é", "漢", " ", "Ⅷx")] == [False, True, True, False, True]
+
+
 def test_labels_held_out_are_not_learned_from(spark):
     ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 == 1]
     df = spark.createDataFrame([(k, "some words here", "xx") for k in ids], "doc_id long, text string, lang string")
