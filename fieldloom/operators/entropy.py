@@ -7,6 +7,7 @@ the number of channels and symbols but not on the number of samples.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -429,11 +430,13 @@ def pmf_to_cdf(pmf: DataFrame, keys: Sequence[str] = ("c",), k: str = "k", p: st
         width = np.diff(np.concatenate(([0], np.cumsum(freq * total // freq.sum()))))
         # The last edge is pinned to the total, so the last bin takes what is left.
         width[-1] += total - width.sum()
-        for at in range(len(width)):
-            if width[at] == 0:
-                donors = np.where(width > 1, width, np.iinfo(np.int64).max)
-                width[int(np.argmin(donors))] -= 1
-                width[at] += 1
+        donors = [(int(n), at) for at, n in enumerate(width) if n > 1]
+        heapq.heapify(donors)  # the narrowest first, then the first
+        for at in np.flatnonzero(width == 0):
+            n, donor = heapq.heappop(donors)
+            width[donor], width[at] = n - 1, 1
+            if n > 2:
+                heapq.heappush(donors, (n - 1, donor))
         edges = np.concatenate(([0], np.cumsum(width)))
         head = {c: [pdf[c].iat[0]] * len(edges) for c in keys}
         return pd.DataFrame({**head, "k": np.arange(len(edges), dtype=np.int32), "cproba": edges})
