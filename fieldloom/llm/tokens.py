@@ -10,7 +10,7 @@ import numpy as np
 from .batches import once_per_worker
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 
 # The split rule of byte-level BPE, for texts of the characters in PLAIN only. Words come
