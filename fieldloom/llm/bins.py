@@ -51,20 +51,23 @@ def _use(counts: np.ndarray, filling: Filling) -> tuple[int, Filling]:
     return times, filling
 
 
-def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[Filling]:
+def fillings(counts: np.ndarray, largest: int, capacity: int, whole: bool = True) -> list[Filling]:
     """Undominated fillings of a bin around its largest item, least waste first.
 
     A filling is dominated by one that fills the same space with fewer and so longer items:
-    one item that fits exactly leaves nothing else to try, and so does a pair.
+    one item that fits exactly leaves nothing else to try, and pairs that do leave other pairs.
+    Where no few items fill the space exactly, fillings of any number of items come from :func:`tightest`.
+    Without ``whole``, neither other pairs nor these are looked for.
     """
     free = counts.copy()
     free[largest] -= 1
     found: list[tuple[int, int, tuple[int, ...]]] = []  # (waste, items, the items), the best few
 
     def note(waste: int, items: tuple[int, ...]) -> None:
-        found.append((waste, len(items), items))
-        found.sort()
-        del found[BRANCHES:]
+        if not whole or (waste, len(items), items) not in found:
+            found.append((waste, len(items), items))
+            found.sort(key=(lambda f: (f[0], f[1], [-x for x in f[2]])) if whole else None)
+            del found[BRANCHES:]
 
     def search(space: int, most: int, chosen: tuple[int, ...], depth: int) -> bool:
         """Whether the space could be filled exactly."""
@@ -79,8 +82,8 @@ def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[Filling]:
         first = first[(first > 0) & (first < space)]
         pairs = (free[first] > 0) & (free[space - first] > (2 * first == space))
         if pairs.any():
-            item = int(first[np.argmax(pairs)])
-            note(0, (*chosen, item, space - item))
+            for item in first[pairs][: BRANCHES if whole else 1].tolist():
+                note(0, (*chosen, item, space - item))
             return True
         choice = np.flatnonzero(free[: top + 1])[::-1][:WIDTH].tolist()
         if not choice:
@@ -96,7 +99,9 @@ def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[Filling]:
                 return True
         return False
 
-    search(capacity - largest, largest, (), DEPTH)
+    if not search(capacity - largest, largest, (), DEPTH) and whole:
+        for items in tightest(free, capacity - largest):
+            note(capacity - largest - sum(items), items)
     out = []
     for _, _, items in found:
         many: dict[int, int] = {largest: 1}
@@ -106,13 +111,48 @@ def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[Filling]:
     return out
 
 
+def tightest(free: np.ndarray, space: int) -> list[tuple[int, ...]]:
+    """Items that leave the least of a space, however many it takes: subset sums within the counts.
+
+    Longest items first; up to ``BRANCHES`` ways, each with a shorter longest item than the one before.
+    """
+    lengths = np.flatnonzero(free[: space + 1]).tolist()
+    within = (1 << space + 1) - 1
+    sums = [1]  # bit s of sums[k]: the first k lengths can make s
+    for length in lengths:
+        made, left, step = sums[-1], min(int(free[length]), space // length), 1
+        while left:  # 1, 2, 4, ... items and the rest, so that every number up to the count is made
+            step = min(step, left)
+            made |= made << step * length & within
+            left, step = left - step, 2 * step
+        sums.append(made)
+    goal = sums[-1].bit_length() - 1
+    out: list[tuple[int, ...]] = []
+    top = len(lengths)
+    while goal and top and len(out) < BRANCHES and sums[top] >> goal & 1:
+        items: list[int] = []
+        rest = goal
+        for k in range(top, 0, -1):
+            length, left = lengths[k - 1], int(free[lengths[k - 1]])
+            many = min(left, rest // length)
+            while many and not sums[k - 1] >> (rest - many * length) & 1:
+                many -= 1
+            items += [length] * many
+            rest -= many * length
+            if not rest:
+                break
+        out.append(tuple(items))
+        top = lengths.index(items[0])
+    return out
+
+
 def pack(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
     """Pack ``counts[length]`` items of every length into few bins: ``(times, filling)`` pairs.
 
     Branch and bound: fillings around the largest item are tried in order of waste; a branch is
     left when its waste so far can no longer beat the best packing known, which starts as
-    best-fit decreasing.  The search ends when the lower bound is met or after ``STEPS`` steps,
-    with the best packing found; every item is packed in any case.
+    best-fit decreasing.  The search ends when the lower bound is met or ``STEPS`` steps after
+    the first packing or cut branch, with the best packing found; every item is packed in any case.
     """
     counts = np.asarray(counts, np.int64)
     lengths = np.arange(len(counts))
@@ -121,21 +161,30 @@ def pack(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
         return []
     least = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
     best = best_fit(counts, capacity)
+    for whole in (False, True):  # few items first: with fewer branches, the steps reach further up
+        if sum(t for t, _ in best) > least:
+            best = _searched(counts, capacity, least, best, whole)
+    return best
+
+
+def _searched(counts: np.ndarray, capacity: int, least: int, best: list, whole: bool) -> list:
+    total = int((counts * np.arange(len(counts))).sum())
     bins = sum(t for t, _ in best)
-    steps = 0
+    steps, turned = 0, not whole
     stack: deque[tuple] = deque(maxlen=OPEN)
     state, used, waste = counts.copy(), None, 0  # used: (times, filling) and what was used before
     while bins > least and steps < STEPS:
-        steps += 1
+        steps += turned
         options: list[Filling] = []
         if waste < bins * capacity - total:  # else it cannot use fewer bins than the best
             if state.any():
-                options = fillings(state, int(np.flatnonzero(state)[-1]), capacity)
+                options = fillings(state, int(np.flatnonzero(state)[-1]), capacity, whole)
             else:
                 now = _listed(used)
                 if sum(t for t, _ in now) < bins:
                     best, bins = now, sum(t for t, _ in now)
         if not options:
+            turned = True
             if not stack:
                 break
             state, used, waste, options = stack.pop()
