@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .langid import identify
+from .middles import SQL as MIDDLES_SQL
+from .middles import fill_in_middle
 from .packing import pack_documents
 from .pii import detect, summarize
 from .pii_sql import SQL as PII_SQL
@@ -18,7 +20,10 @@ from .simhash import near_duplicates
 from .substrings import SQL as SUBSTRINGS_SQL
 from .substrings import remove_repeats
 from .tokencounts import count_tokens
+from .tokenfiles import token_files
 from .toxicity import classify
+from .vectorcodes import SQL as VECTORS_SQL
+from .vectorcodes import compress
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -78,3 +83,18 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 @query("op9_sharding")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return assign_shards(table(spark, sf, "documents").select("doc_id"), SHARDS)
+
+
+@query("op11_middles", MIDDLES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf, "documents"))
+
+
+@query("op12_vectorcodes", VECTORS_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return compress(table(spark, sf, "embeddings"))
+
+
+@query("op13_tokenfiles")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files(table(spark, sf, "documents"))

@@ -24,5 +24,5 @@ def test_runs(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert "pipeline" in names
