@@ -12,6 +12,8 @@ from .batches import once_per_worker
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
 REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
+#: New pre-tokens given to the library as one text.
+CHAINED = 64
 
 # The split rule of byte-level BPE, for texts of the characters in PLAIN only. Words come
 # first, as most parts are words and no other alternative can start like one.
@@ -48,13 +50,29 @@ class Encoder:
         ids = list(map(known.get, parts))
         if None in ids:
             new = list({part for part, got in zip(parts, ids) if got is None})
-            found = dict(zip(new, self._ids(new)))
+            found = self._learned(new)
             ids = [found[part] if got is None else got for part, got in zip(parts, ids)]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
             known.update(found if max(map(len, new)) <= LONGEST_REMEMBERED else _short(found))
         return b"".join(ids)
 
+    def _learned(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens.  Those that begin with a blank and go on with anything else stay apart
+        when written one after another, so the library takes many of them as one text."""
+        spaced = [p for p in parts if len(p) > 1 and p[0] == " " and p[1] not in BLANKS]
+        found = {}
+        groups = [spaced[at : at + CHAINED] for at in range(0, len(spaced), CHAINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            raw = np.array(e.ids, "<u4").tobytes()
+            cuts = (np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1) * 4
+            bounds = [0, *cuts.tolist(), len(raw)]
+            if len(bounds) == len(group) + 1:
+                found.update(zip(group, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, self._ids(rest)))
+        return found
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
