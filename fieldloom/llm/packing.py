@@ -40,13 +40,14 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def cut(batches):
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    raw = memoryview(encode(text or "") + END)
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
+                    raw = memoryview(ids + END)
                     n = len(raw) // 4
                     stop, start, piece = (n % size or size) if n > size else n, 0, 0
                     while start < n:

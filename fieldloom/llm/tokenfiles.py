@@ -33,6 +33,8 @@ WORDS = BLOCK // 64
 #: Bytes of a Parquet row group: what one task reads at a time.
 ROW_GROUP = 1 << 23
 END = b"\0\0\0\0"
+#: Texts encoded together.
+TEXTS = 1024
 
 # The segment's head (magic, levels, documents, ids) and a level's head (chunks).
 MAGIC = b"DAC1"
@@ -173,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, size:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def write(batches):
-        encode, part = encoder(tokens).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokens).encode_all, TaskContext.get().partitionId()
         doc_ids, held, n, first, nth = [], [], 0, 0, 0
 
         def closed():
@@ -181,14 +183,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, size:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + END
-                if held and n + len(ids) // 4 > size:
-                    yield closed()
-                    doc_ids, held, n, first, nth = [], [], 0, first + n, nth + 1
-                doc_ids.append(doc)
-                held.append(ids)
-                n += len(ids) // 4
+            for at in range(0, batch.num_rows, TEXTS):
+                texts = [text or "" for text in batch.column("text").slice(at, TEXTS).to_pylist()]
+                for doc, ids in zip(batch.column("doc_id").slice(at, TEXTS).to_pylist(), encode(texts)):
+                    ids += END
+                    if held and n + len(ids) // 4 > size:
+                        yield closed()
+                        doc_ids, held, n, first, nth = [], [], 0, first + n, nth + 1
+                    doc_ids.append(doc)
+                    held.append(ids)
+                    n += len(ids) // 4
         if held:
             yield closed()
 
