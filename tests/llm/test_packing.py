@@ -8,10 +8,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fieldloom.llm import packing
+from fieldloom.llm import packing, tokens
 from fieldloom.llm.bins import best_fit, pack, tightest
 from fieldloom.llm.packing import numbered, pack_documents, pieces
-from fieldloom.llm.tokens import Encoder
+from fieldloom.llm.tokens import SPLIT, Encoder, cut, starts_of
 from tests.llm.conftest import EDGES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,23 @@ def test_encoder_agrees_with_the_library(tokenizer, texts):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1]
 
 
+def test_bulk_split_matches_the_rule():
+    rng = np.random.default_rng(2)
+    signs = list("ab's'\"'tdmrelv  \n\t.,!19é€–Ñ")
+    for n in rng.integers(1, 15, 20_000).tolist():
+        text = "".join(rng.choice(signs, n))
+        assert starts_of(text)[0].tolist() == [m.start() for m in SPLIT.finditer(text)], text
+
+
+def test_bulk_encoding(tokenizer, texts, monkeypatch):
+    """Small bulks, cut texts and a short memory give the same ids."""
+    monkeypatch.setattr(tokens, "CHARACTERS", 100)
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    some = [*texts.values()][:60] + ["", "x" * 5000, "  " * 500, "a b " * 300, "日本語 " * 90, "it's " * 99]
+    assert [np.frombuffer(i, "<u4").tolist() for i in Encoder(PATH).encode_all(some)] == [ids_of(tokenizer, t)[:-1] for t in some]
+    assert "".join(cut("one two  three  four " * 20, 7)) == "one two  three  four " * 20
+
+
 def check(rows, docs, tokenizer, size=2048):
     """Pieces hold every document's ids; sequences have no gaps; returns how many there are."""
     cut = defaultdict(list)
