@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, present, psnr_from_mse, ratio_to_db  # noqa: F401  (M09 lives with the expressions)
+from .packed import matrix
 from .spatial import latitude_weight
+from .statistics import merge_stats
 
 
 def _gap(a: str, b: str) -> Column:
@@ -88,6 +92,95 @@ def bias_activity(pairs: DataFrame, keys: Sequence[str], pred: str = "pred", tru
     )
 
 
+def _row_weights(h: int, w: int) -> np.ndarray:
+    """The latitude weights of all cells of a packed field."""
+    lat = np.radians(90.0 - np.arange(h) * 180.0 / (h - 1))
+    area = np.where((np.arange(h) > 0) & (np.arange(h) < h - 1), np.cos(lat), 0.0)
+    return np.repeat(area / area.mean(), w)
+
+
+def _field_sums(names: Sequence[str], h: int, w: int, kernel):
+    """An Arrow function of packed fields whose ``kernel`` gives one number per field for each name."""
+    schema = "struct<" + ", ".join(f"{n}: double" for n in names) + ">"
+
+    @F.arrow_udf(schema)
+    def run(*columns: pa.Array) -> pa.Array:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = kernel(*[matrix(c, h * w) for c in columns])
+        return pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in out], names=list(names))
+
+    return lambda *columns: run(*[F.col(c).cast("array<double>") for c in columns])
+
+
+def _per_field(a: np.ndarray, good: np.ndarray) -> np.ndarray:
+    return np.where(good, a, 0.0).sum(axis=1)
+
+
+def weighted_rmse_fields(pairs: DataFrame, h: int, w: int, keys: Sequence[str], pred: str = "pred",
+                         truth: str = "truth") -> DataFrame:
+    """M03 on packed pairs, one row per (``keys``, time): scored inside the row, one number per field is shuffled."""
+    wt = _row_weights(h, w)
+
+    def kernel(p, t):
+        gap = p - t
+        good = ~np.isnan(gap)
+        weight = good @ wt
+        return (np.where(weight > 0, np.sqrt(_per_field(wt * gap * gap, good) / weight), np.nan),)
+
+    score = _field_sums(["r"], h, w, kernel)
+    rows = pairs.select(*keys, score(pred, truth).alias("_f")).select(*keys, F.col("_f.r").alias("_r"))
+    return rows.groupBy(*keys).agg(F.avg("_r").alias("wrmse"), F.count("_r").alias("n_times"))
+
+
+def anomaly_correlation_fields(pairs: DataFrame, h: int, w: int, keys: Sequence[str], pred: str = "pred",
+                               truth: str = "truth", clim: str = "clim") -> DataFrame:
+    """M04 on packed pairs with their climate: one correlation per row, then the mean over the times that have one."""
+    wt = _row_weights(h, w)
+
+    def kernel(p, t, c):
+        a, b = p - c, t - c
+        good = ~np.isnan(a * b)
+        norm = np.sqrt(_per_field(wt * a * a, good) * _per_field(wt * b * b, good))
+        return (np.where(norm > 0, _per_field(wt * a * b, good) / norm, np.nan),)
+
+    score = _field_sums(["acc"], h, w, kernel)
+    rows = pairs.select(*keys, score(pred, truth, clim).alias("_f")).select(*keys, F.col("_f.acc").alias("_acc"))
+    return rows.groupBy(*keys).agg(F.avg("_acc").alias("acc"), F.count("_acc").alias("n_times"))
+
+
+def bias_activity_fields(pairs: DataFrame, h: int, w: int, keys: Sequence[str], pred: str = "pred",
+                         truth: str = "truth", clim: str = "clim") -> DataFrame:
+    """M05 on packed pairs with their climate.
+
+    Every field gives its count, mean gap, and mean and spread of both anomalies; these merge
+    around the common means, which do not cancel.
+    """
+    def kernel(p, t, c):
+        a, b = p - c, t - c
+        good = ~np.isnan(a * b)
+        n = good.sum(axis=1)
+        mean = lambda x: _per_field(x, good) / n
+        spread = lambda x, m: np.sqrt(_per_field((x - m[:, None]) ** 2, good) / n)
+        ma, mb = mean(a), mean(b)
+        return n.astype(float), mean(p - t), ma, spread(a, ma), mb, spread(b, mb)
+
+    names = ["n", "gap", "ma", "sa", "mb", "sb"]
+    score = _field_sums(names, h, w, kernel)
+    rows = pairs.select(*keys, score(pred, truth, clim).alias("_f")).select(*keys, "_f.*")
+    part = lambda which, m, s: F.struct(F.lit(which).alias("which"), F.col(m).alias("mean"), F.col(s).alias("std"))
+    zero = F.lit(0.0).alias("_zero")
+    parts = rows.withColumn("_zero", zero).select(
+        *keys, F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("n_null"),
+        F.explode(F.array(part("gap", "gap", "_zero"), part("pred", "ma", "sa"), part("truth", "mb", "sb"))).alias("_p"),
+    ).select(*keys, "n", "n_null", "_p.*").where("n > 0")
+    merged = merge_stats(parts, [*keys, "which"])
+    pick = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    scored = merged.groupBy(*keys).agg(
+        pick("gap", "mean").alias("bias"), pick("pred", "std").alias("activity_pred"), pick("truth", "std").alias("activity_truth")
+    )
+    return scored
+
+
 def _to_pixels(value: Column, peak: float) -> Column:
     """Scale to [0, peak], clamp and round half to even; a missing value stays missing."""
     return F.rint(clamp(present(value) * peak, 0.0, float(peak)))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions.numeric import present
 from .channels import pair_fields
 from .layout import div
+from .packed import field_means
 
 # The date ranges of the training, validation and test splits.
 SPLIT_RANGES = {
@@ -135,6 +136,28 @@ def climatology_lookup(rows: DataFrame, clim: DataFrame, keys: Sequence[str], ts
     return rows.withColumn("md", month_day(F.col(ts))).join(clim, ["md", *keys], "left")
 
 
+def daily_climatology_fields(fields: DataFrame, first_year: int, last_year: int, keys: Sequence[str],
+                             ts: str = "ts") -> DataFrame:
+    """T07 on packed fields: one row per calendar day and ``keys`` (channel) with ``clim``, the means of all cells.
+
+    At most one shuffle record per field.
+    """
+    base = fields.where(
+        (F.col(ts) >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
+        & (F.col(ts) < F.lit(f"{last_year + 1}-01-01").cast("timestamp_ntz"))
+    )
+    means = field_means(base.withColumn("md", month_day(F.col(ts))), ["md", *keys])
+    return means.withColumnRenamed("values", "clim")
+
+
+def climatology_fields(fields: DataFrame, clim: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """T06 on packed fields: attach the climate field of each field's calendar day, one record per field.
+
+    A day without climate gives NULL; Spark joins by size.
+    """
+    return fields.withColumn("md", month_day(F.col(ts))).join(clim.select("md", *keys, "clim"), ["md", *keys], "left")
+
+
 def accumulate_hours(cells: DataFrame, hours: int, keys: Sequence[str], ts: str = "ts",
                      value: str = "value", chunk_hours: int = 720) -> DataFrame:
     """Sum of the last ``hours`` hourly values; NULL unless all are present.
@@ -200,6 +223,13 @@ def forecast_truth_fields(pred: DataFrame, truth: DataFrame, keys: Sequence[str]
     return rows.withColumnsRenamed({"orig": "pred", "recon": "truth"})
 
 
+def forecast_fields(pred: DataFrame, truth: DataFrame, keys: Sequence[str], valid_ts: str = "valid_ts",
+                    ts: str = "ts") -> DataFrame:
+    """T10 left packed: every forecast field with the true field of its valid time, as ``pred`` and ``truth``."""
+    t = truth.select(F.col(ts).alias(valid_ts), *keys, F.col("values").alias("truth"))
+    return pred.withColumnRenamed("values", "pred").join(t, [valid_ts, *keys])
+
+
 def lead_curriculum(iterations: DataFrame, interval: int, n_targets: int, window: int,
                     iteration: str = "iteration") -> DataFrame:
     """Iteration number (from 1) -> target positions ``[first, last)`` trained on.

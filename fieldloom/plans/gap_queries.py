@@ -232,6 +232,11 @@ def _scored(spark, sf):
     return _pairs(spark, sf).withColumnsRenamed({"orig": "truth", "recon": "pred"}).withColumn("clim", clim)
 
 
+def _scored_fields(spark, sf):
+    clim = F.array(*[F.lit(0.01 * (k // 4 - k % 4)) for k in range(16)])
+    return _fields(spark, sf).withColumnsRenamed({"values": "truth", "recon": "pred"}).withColumn("clim", clim)
+
+
 @query(
     "m03_weighted_rmse_gaps",
     f"""{SCORED}, t AS (SELECT sample, c, sqrt(sum(weight * (pred - truth) * (pred - truth)) / nullif(sum(CASE WHEN pred IS NULL OR truth IS NULL THEN 0 ELSE weight END), 0)) AS r
@@ -243,6 +248,17 @@ def m03(spark, sf):
     return out.select("c", r6("wrmse").alias("wrmse"), "n_times")
 
 
+@query(
+    "m03_weighted_rmse_fields_gaps",
+    f"""{SCORED}, t AS (SELECT sample, c, sqrt(sum(weight * (pred - truth) * (pred - truth)) / nullif(sum(CASE WHEN pred IS NULL OR truth IS NULL THEN 0 ELSE weight END), 0)) AS r
+  FROM p GROUP BY ALL)
+SELECT c, {q6("avg(r)")} AS wrmse, count(r) AS n_times FROM t GROUP BY c""",
+)
+def m03_fields(spark, sf):
+    out = sc.weighted_rmse_fields(_scored_fields(spark, sf), 4, 4, ["c"])
+    return out.select("c", r6("wrmse").alias("wrmse"), "n_times")
+
+
 @query(
     "m04_anomaly_correlation_gaps",
     f"""{SCORED}, t AS (SELECT sample, c, sum(weight * (pred - clim) * (truth - clim)) AS ab,
@@ -255,6 +271,18 @@ def m04(spark, sf):
     return out.select("c", r6("acc").alias("acc"), "n_times")
 
 
+@query(
+    "m04_anomaly_correlation_fields_gaps",
+    f"""{SCORED}, t AS (SELECT sample, c, sum(weight * (pred - clim) * (truth - clim)) AS ab,
+  sqrt(sum(weight * (pred - clim) * (pred - clim)) * sum(weight * (truth - clim) * (truth - clim))) AS norm
+  FROM p WHERE pred IS NOT NULL AND truth IS NOT NULL GROUP BY ALL)
+SELECT c, {q6("avg(CASE WHEN norm > 0 THEN ab / norm END)")} AS acc, count(CASE WHEN norm > 0 THEN 1 END) AS n_times FROM t GROUP BY c""",
+)
+def m04_fields(spark, sf):
+    out = sc.anomaly_correlation_fields(_scored_fields(spark, sf), 4, 4, ["c"])
+    return out.select("c", r6("acc").alias("acc"), "n_times")
+
+
 @query(
     "m05_bias_activity_gaps",
     f"""{SCORED} SELECT c, {q6("avg(pred - truth)")} AS bias, {q6("stddev_pop(pred - clim)")} AS activity_pred, {q6("stddev_pop(truth - clim)")} AS activity_truth
@@ -265,6 +293,16 @@ def m05(spark, sf):
     return out.select("c", *[r6(x).alias(x) for x in ("bias", "activity_pred", "activity_truth")])
 
 
+@query(
+    "m05_bias_activity_fields_gaps",
+    f"""{SCORED} SELECT c, {q6("avg(pred - truth)")} AS bias, {q6("stddev_pop(pred - clim)")} AS activity_pred, {q6("stddev_pop(truth - clim)")} AS activity_truth
+FROM p WHERE pred IS NOT NULL AND truth IS NOT NULL GROUP BY c""",
+)
+def m05_fields(spark, sf):
+    out = sc.bias_activity_fields(_scored_fields(spark, sf), 4, 4, ["c"])
+    return out.select("c", *[r6(x).alias(x) for x in ("bias", "activity_pred", "activity_truth")])
+
+
 # --- time -------------------------------------------------------------------------------
 
 HOURS = f"""{with_views("hourly")}, g AS (SELECT ts, channel, CASE WHEN datepart('hour', ts) % 5 = 0 OR datepart('hour', ts) % 7 = 3 THEN NULL ELSE value END AS value FROM hourly)"""

@@ -101,7 +101,14 @@ CLIM = """clim AS (SELECT strftime(ts, '%m-%d') AS md, channel, i, avg(value) AS
 
 
 def _clim(spark, sf):
-    return tx.daily_climatology(v.climate(spark, sf), 1996, 2000, ["channel", "i"])
+    return tx.daily_climatology_fields(v.climate_fields(spark, sf), 1996, 2000, ["channel"])
+
+
+def _rows(fields, *keys):
+    """One row per cell of packed columns ``values``, ``pred``, ``truth`` or ``clim``."""
+    arrays = [c for c in ("values", "pred", "truth", "clim") if c in fields.columns]
+    zipped = F.posexplode(F.arrays_zip(*[F.coalesce(c, F.array().cast("array<double>")).alias(c) for c in arrays])).alias("i", "_z")
+    return fields.select(*keys, zipped).select(*keys, "i", *[F.col(f"_z.{c}").alias("value" if c == "values" else c) for c in arrays])
 
 
 @query(
@@ -111,7 +118,8 @@ SELECT strftime(t.ts, '%m-%d') AS md, {qstamp("t.ts")} AS ts, t.channel, t.i, {q
 FROM climate t LEFT JOIN clim k ON k.md = strftime(t.ts, '%m-%d') AND k.channel = t.channel AND k.i = t.i""",
 )
 def t06(spark, sf):
-    out = tx.climatology_lookup(v.climate(spark, sf), _clim(spark, sf), ["channel", "i"])
+    fields = tx.climatology_fields(v.climate_fields(spark, sf), _clim(spark, sf), ["channel"])
+    out = _rows(fields, "md", "ts", "channel").where("value IS NOT NULL")
     return out.select(
         "md", stamp("ts").alias("ts"), "channel", "i", r6("value").alias("value"), r6("clim").alias("clim")
     )
@@ -119,7 +127,7 @@ def t06(spark, sf):
 
 @query("t07_daily_climatology", f"""{with_views("climate")}, {CLIM} SELECT md, channel, i, {q6("clim")} AS clim FROM clim""")
 def t07(spark, sf):
-    return _clim(spark, sf).select("md", "channel", "i", r6("clim").alias("clim"))
+    return _rows(_clim(spark, sf), "md", "channel").where("clim IS NOT NULL").select("md", "channel", "i", r6("clim").alias("clim"))
 
 
 @query(
@@ -171,6 +179,18 @@ def _forecast(spark, sf):
     return tx.forecast_truth_pairs(pred, truth, ["channel", "i"])
 
 
+def _persisted(truth):
+    """Every field as its own forecast for the next three days."""
+    return truth.withColumn("lead", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
+        "valid_ts", F.col("ts") + F.make_dt_interval(F.col("lead"))
+    )
+
+
+def _forecast_fields(spark, sf):
+    truth = v.climate_fields(spark, sf)
+    return tx.forecast_fields(_persisted(truth).drop("ts"), truth, ["channel"])
+
+
 @query(
     "t10_forecast_truth_pairs",
     f"""{with_views("climate")}, {FORECAST}
@@ -190,10 +210,7 @@ SELECT {qstamp("valid_ts")} AS valid_ts, lead, channel, i, {q6("pred")} AS pred,
 def t10_fields(spark, sf):
     columns = v.climate(spark, sf).withColumn("j", F.lit(0))
     truth = cells_to_field(columns, ["ts", "channel"], v.CLIMATE_ROWS, 1)
-    pred = truth.withColumn("lead", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
-        "valid_ts", F.col("ts") + F.make_dt_interval(F.col("lead"))
-    )
-    pairs = tx.forecast_truth_fields(pred, truth, ["channel"]).dropna(subset=["pred", "truth"])
+    pairs = tx.forecast_truth_fields(_persisted(truth), truth, ["channel"]).dropna(subset=["pred", "truth"])
     return pairs.select(
         stamp("valid_ts").alias("valid_ts"), "lead", "channel", "i", r6("pred").alias("pred"), r6("truth").alias("truth")
     )
@@ -218,7 +235,7 @@ t AS (SELECT lead, channel, valid_ts, sqrt(sum(weight * (pred - truth) * (pred -
 SELECT lead, channel, {q6("avg(r)")} AS wrmse, count(r) AS n_times FROM t GROUP BY ALL""",
 )
 def m03(spark, sf):
-    out = sc.weighted_rmse(_forecast(spark, sf), v.CLIMATE_ROWS, ["lead", "channel"])
+    out = sc.weighted_rmse_fields(_forecast_fields(spark, sf), v.CLIMATE_ROWS, 1, ["lead", "channel"])
     return out.select("lead", "channel", r6("wrmse").alias("wrmse"), "n_times")
 
 
@@ -226,8 +243,7 @@ CENTRED = """centred AS (SELECT p.*, clim FROM pairs p JOIN clim k ON k.md = str
 
 
 def _centred(spark, sf):
-    rows = tx.climatology_lookup(_forecast(spark, sf), _clim(spark, sf), ["channel", "i"], ts="valid_ts")
-    return rows.where(F.col("clim").isNotNull())
+    return tx.climatology_fields(_forecast_fields(spark, sf), _clim(spark, sf), ["channel"], ts="valid_ts")
 
 
 @query(
@@ -239,7 +255,7 @@ t AS (SELECT lead, channel, valid_ts, sum(weight * (pred - clim) * (truth - clim
 SELECT lead, channel, {q6("avg(CASE WHEN norm > 0 THEN ab / norm END)")} AS acc, count(CASE WHEN norm > 0 THEN ab / norm END) AS n_times FROM t GROUP BY ALL""",
 )
 def m04(spark, sf):
-    out = sc.anomaly_correlation(_centred(spark, sf), v.CLIMATE_ROWS, ["lead", "channel"])
+    out = sc.anomaly_correlation_fields(_centred(spark, sf), v.CLIMATE_ROWS, 1, ["lead", "channel"])
     return out.select("lead", "channel", r6("acc").alias("acc"), "n_times")
 
 
@@ -250,7 +266,7 @@ SELECT lead, channel, {q6("avg(pred - truth)")} AS bias, {q6("stddev_pop(pred -
  {q6("stddev_pop(truth - clim)")} AS activity_truth FROM centred GROUP BY ALL""",
 )
 def m05(spark, sf):
-    out = sc.bias_activity(_centred(spark, sf), ["lead", "channel"])
+    out = sc.bias_activity_fields(_centred(spark, sf), v.CLIMATE_ROWS, 1, ["lead", "channel"])
     return out.select("lead", "channel", *[r6(x).alias(x) for x in ("bias", "activity_pred", "activity_truth")])
 
 

@@ -96,6 +96,18 @@ def climate(spark: SparkSession, sf: str) -> DataFrame:
 CLIMATE_ROWS = 7
 
 
+def climate_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as packed fields of one column; rows without a value are NULL."""
+    at = F.col("l_linenumber") - 1
+    values = [F.avg(F.when(at == k, F.col("l_extendedprice"))) for k in range(CLIMATE_ROWS)]
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy(F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("channel"))
+        .agg(F.array(*values).alias("values"))
+        .select("ts", "channel", F.lit(CLIMATE_ROWS).alias("h"), F.lit(1).alias("w"), "values")
+    )
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Codec runs: rate and quality per (codec, quality, item)."""
     return (
