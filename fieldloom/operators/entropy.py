@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..sizing import reused
+from .bands import band_rows, pair_counts
 from .layout import div, positions
 
 # CDF precision in bits; channels with a support this narrow or narrower
@@ -28,10 +29,6 @@ NARROW_RANGE = 4
 SPATIAL_CONTEXTS = 3
 CHANNEL_CONTEXTS = 4
 
-#: Flags per word, and per group of sum columns.
-WORD = 64
-LANE = 16
-
 
 def symbol_histogram(cells: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
     """Count per (channel, symbol)."""
@@ -301,49 +298,21 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
                   default_bits: DataFrame) -> DataFrame:
     """Bits saved on channel ``c`` when ``prev`` is coded right before it, for all wide pairs.
 
-    Every cell position carries one deviation flag per channel, packed into 64-bit words
-    and combined over the position's (at most one per channel) cells.  One grouped pass
-    then counts, per (channel, context, symbol), how often each bit is set.  No pair of
-    cells is ever emitted and the cells are shuffled once; only the counts grow with the
-    square of the number of channels.
-
-    The bits are summed in lanes of 16: more sum columns than that make one generated
-    method too long for the JVM to compile.
+    Bands of cells meet as bitmaps, one record per (sample, channel, band); masks and population
+    counts then give, per (channel, context, symbol), how many cells deviate in every other
+    channel, see :mod:`bands`.  No cell is shuffled; only the counts grow with the square of
+    the number of channels.
     """
-    wide = support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c")
-    k = F.col("_k")
+    wide = support.where(F.col("hi") - F.col("lo") > NARROW_RANGE).select("c", "lo")
     # One row per channel is numbered, never data.
-    bits = wide.select("c", (F.row_number().over(W.orderBy("c")) - 1).alias("_k")).select(
-        "c", div(k, WORD).alias("word"), (k % WORD).alias("bit"),
-        div(k, LANE).alias("lane"), (k % LANE).alias("slot"),
-    )
-    words = -(-wide.count() // WORD)
-
-    cells = spatial_context(fields, modes, thresholds).join(bits, "c")
-    flag = F.call_function("shiftleft", (F.col("own_dev") > F.col("th")).cast("long"), F.col("bit").cast("int"))
-    position = W.partitionBy("sample", "i", "j")
-    combined = [
-        F.bit_or(F.when(F.col("word") == k, flag).otherwise(F.lit(0).cast("long"))).over(position)
-        for k in range(words)
-    ]
-    rows = cells.select("c", "ctx", "sym", *[x.alias(f"_w{k}") for k, x in enumerate(combined)])
-    lanes = [
-        F.shiftrightunsigned(f"_w{k}", at).bitwiseAND(F.lit((1 << LANE) - 1).cast("long"))
-        for k in range(words) for at in range(0, WORD, LANE)
-    ]
-    lanes = F.array(*lanes) if lanes else F.array().cast("array<bigint>")
-    counts = (
-        rows.select("c", "ctx", "sym", F.posexplode(lanes).alias("lane", "_f"))
-        .groupBy("c", "ctx", "sym", "lane")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.sum(F.shiftright("_f", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"_s{b}") for b in range(LANE)],
-        )
-    )
-    hits = F.array(*[F.col(f"_s{b}") for b in range(LANE)])
+    numbers = reused(wide.select("c", "lo", (F.row_number().over(W.orderBy("c")) - 1).alias("k")))
+    side = numbers.join(modes.select("c", "mode"), "c").join(thresholds.select("c", "th"), "c")
+    counts = pair_counts(band_rows(fields, side), numbers.count())
     per_prev = (
-        counts.select("c", "ctx", "sym", "lane", "_n", F.posexplode(hits).alias("slot", "hit"))
-        .join(bits.select(F.col("c").alias("prev"), "lane", "slot"), ["lane", "slot"])
+        counts.join(numbers, "k")
+        .select("c", "ctx", (F.col("lo") + F.col("sym_at")).cast("int").alias("sym"), F.col("n").alias("_n"),
+                F.posexplode("hits").alias("_prev", "hit"))
+        .join(numbers.select(F.col("c").alias("prev"), F.col("k").alias("_prev")), "_prev")
         .where(F.col("prev") != F.col("c"))
     )
     after = F.array(

@@ -76,9 +76,7 @@ class Model(NamedTuple):
 
 
 def _histogram(spark, sf) -> DataFrame:
-    """Counts per channel and symbol, both limited by configuration whatever the data: one partition
-    holds them, so that the steps built on them need no shuffles."""
-    return reused(en.symbol_histogram(v.symbols(spark, sf)).coalesce(1))
+    return reused(en.symbol_histogram(v.symbols(spark, sf)))
 
 
 def _model(spark, sf) -> Model:
@@ -92,7 +90,7 @@ def _model(spark, sf) -> Model:
 
 def _thresholds(m: Model) -> DataFrame:
     found = en.best_threshold(en.threshold_entropy(m.fields, m.modes, m.support))
-    return checkpointed(found.coalesce(1))  # a row per channel, at the end of a long plan
+    return checkpointed(found)  # a row per channel, at the end of a long plan
 
 
 @query("e01_symbol_histogram", f"{SYMBOLS}, {HIST} SELECT c, sym, n FROM hist")
