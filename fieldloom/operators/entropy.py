@@ -60,7 +60,8 @@ def symbol_cdf(hist: DataFrame, keys: Sequence[str] = ("c",), support: DataFrame
     """
     keys = list(keys)
     support = symbol_support(hist, channel, sym) if support is None else support
-    totals = hist.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    # Missing symbols have no code: they are no part of the whole, and an entropy counts them as unpriced.
+    totals = hist.groupBy(*keys).agg(F.sum(F.when(F.col(sym).isNotNull(), F.col("n"))).alias("_n"))
     if groups is not None:
         totals = groups.join(totals, keys, "left")
     dense = totals.join(support, list(channel)).select(

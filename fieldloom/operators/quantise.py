@@ -26,8 +26,14 @@ def quantize_dequantize(y: Column, mean=0.0) -> Column:
 
 
 def quantize_symbols(y: Column, mean=0.0) -> Column:
-    """Q02: the rounded residual as an integer symbol."""
-    return F.rint(y - as_column(mean)).cast("int")
+    """Q02: the rounded residual as an integer symbol; NULL if it is missing or no integer can hold it."""
+    r = F.rint(present(y) - as_column(mean))
+    return F.when(fits_symbol(y, mean), r).cast("int")
+
+
+def fits_symbol(y: Column, mean=0.0) -> Column:
+    """Whether Q02 has a symbol for a value that is there; NULL for a missing one."""
+    return F.rint(present(y) - as_column(mean)).between(-(2**31), 2**31 - 1)
 
 
 def dequantize(sym: Column, mean=0.0) -> Column:

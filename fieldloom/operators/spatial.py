@@ -126,7 +126,9 @@ def _per_field(fields: DataFrame, h: int, w: int, h2: int, w2: int,
                fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Replace every ``h*w`` field by the ``h2*w2`` field that ``fn`` makes of it.
 
-    ``fn`` maps (fields, h, w) to (fields, h2, w2).  Missing cells are NaN inside.
+    ``fn`` maps (fields, h, w) to (fields, h2, w2) and is a weighted mean of cells.  Missing cells (NULL
+    or NaN) take no part: the weights are scaled up over those that are present, and a cell is
+    NULL only where none is.
     """
 
     @F.arrow_udf("array<double>")
@@ -134,9 +136,20 @@ def _per_field(fields: DataFrame, h: int, w: int, h2: int, w2: int,
         if batch.null_count or any(n != h * w for n in batch.value_lengths().unique().to_pylist()):
             raise ValueError(f"every field must have {h} x {w} cells")
         flat = batch.flatten().to_numpy(zero_copy_only=False)
-        out = fn(flat.reshape(-1, h, w))
-        offsets = np.arange(len(batch) + 1, dtype=np.int32) * (h2 * w2)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1)))
+        x = flat.reshape(-1, h, w)
+        offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (h2 * w2))
+        missing = np.isnan(x)
+        holed = missing.any(axis=(1, 2))
+        if not holed.any():
+            return pa.ListArray.from_arrays(offsets, pa.array(fn(x).reshape(-1)))
+        out = np.empty((len(x), h2, w2))
+        weight = np.ones((len(x), h2, w2))
+        out[~holed] = fn(x[~holed])
+        weight[holed] = fn((~missing[holed]).astype(np.float64))
+        some = weight > 0
+        summed = fn(np.where(missing[holed], 0.0, x[holed]))
+        out[holed] = np.divide(summed, weight[holed], out=np.zeros_like(summed), where=some[holed])
+        return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1), mask=~some.reshape(-1)))
 
     values = run(F.col("values").cast("array<double>"))
     return fields.withColumns({"values": values, "h": F.lit(h2), "w": F.lit(w2)})

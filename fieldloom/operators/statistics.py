@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.numeric import present
-from ..sizing import BLOCK, running_sums
+from ..sizing import BLOCK, reused
 from .layout import let
+from .packed import rows_of
+from .scan import carried, placed, with_carried
 
 
 def channel_stats(cells: DataFrame, keys: Sequence[str] = ("channel_idx",), value: str = "value") -> DataFrame:
@@ -99,15 +101,32 @@ def minmax_quantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
     ``values`` become integers, truncated as an unsigned store truncates.  Missing cells
     (NULL or NaN) become NULL.  A constant field becomes all zeros.
     """
-    there = F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))
-    out = fields.withColumn("_there", there).withColumns(
-        {"shift": F.array_min("_there"), "scale": F.array_max("_there") - F.array_min("_there")}
-    ).drop("_there")
-    bounds = F.struct(F.col("shift").alias("lo"), F.col("scale").alias("by"))
-    code = lambda x, m: F.when(
-        m["by"] > 0, F.floor((x - m["lo"]) / m["by"] * levels)
-    ).otherwise(F.when(x.isNotNull(), F.lit(0))).cast("int")
-    return out.withColumn("values", let(bounds, lambda m: F.transform("values", lambda x: code(present(x), m))))
+
+    @F.arrow_udf("struct<values: array<int>, shift: double, scale: double>")
+    def store(batch: pa.Array) -> pa.Array:
+        flat, ends, there = rows_of(batch)
+        sizes = np.diff(ends, prepend=0)
+        filled = np.flatnonzero(sizes > 0)
+        missing = np.isnan(flat)
+        low, high = np.full(len(sizes), np.nan), np.full(len(sizes), np.nan)
+        if len(filled):
+            starts = (ends - sizes)[filled]
+            low[filled] = np.fmin.reduceat(flat, starts)
+            high[filled] = np.fmax.reduceat(flat, starts)
+        scale = high - low
+        codes = np.zeros(len(flat), np.int32)
+        for start, end, lo, by in zip((ends - sizes)[filled], ends[filled], low[filled], scale[filled]):
+            if by > 0:
+                x = (flat[start:end] - lo) / by * levels
+                codes[start:end] = np.floor(np.where(missing[start:end], 0.0, x))
+        values = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(~there, False)), pa.array(codes, mask=missing)
+        )
+        bounds = [pa.array(x, from_pandas=True) for x in (low, scale)]
+        return pa.StructArray.from_arrays([values, *bounds], names=["values", "shift", "scale"])
+
+    out = fields.withColumn("_stored", store(F.col("values").cast("array<double>")))
+    return out.withColumns({c: F.col(f"_stored.{c}") for c in ("values", "shift", "scale")}).drop("_stored")
 
 
 def minmax_dequantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
@@ -121,15 +140,25 @@ def minmax_dequantize(fields: DataFrame, levels: int = 65535) -> DataFrame:
 
 def cumulative_mse(files: DataFrame, order: str, mse: str = "mse", keys: Sequence[str] = (),
                    block: int = BLOCK) -> DataFrame:
-    """Running mean of per-file errors in file order.
+    """Running mean of per-file errors in file order; ``order`` is unique per ``keys``.
 
-    ``order`` is an integer, unique per ``keys``.  Files without an error (NULL) do not
-    count, as a file that cannot be read does not.
+    Files without an error (NULL or NaN) do not count, as a file that cannot be read does not; the
+    mean is 0 before the first one that does.  A parallel scan, see :mod:`scan`: blocks of at
+    most ``block`` rows, whatever the gaps between the order values.
     """
-    sums = {"_sum": F.coalesce(F.col(mse), F.lit(0.0)), "_cnt": F.col(mse).isNotNull().cast("long")}
-    out = running_sums(files, keys, order, sums, block)
-    mean = F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).otherwise(F.lit(0.0))
-    return out.withColumn("running_mse", mean).drop("_sum", "_cnt")
+    keys = list(keys)
+    rows, steps = placed(files, keys, order, block)
+    known = present(mse)
+    summary = F.struct(F.coalesce(F.sum(known), F.lit(0.0)).alias("s"), F.count(known).alias("n"))
+    parts = rows.groupBy(*keys, "_block").agg(summary.alias("_m"))
+    add = lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n"))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    upto = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = with_carried(rows, carried(parts, keys, none, add, steps), keys).withColumns(
+        {"_s": F.coalesce(F.sum(known).over(upto), F.lit(0.0)) + F.col("_before.s"), "_n": F.count(known).over(upto) + F.col("_before.n")}
+    )
+    mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.lit(0.0))
+    return out.withColumn("running_mse", mean).select(*files.columns, "running_mse")
 
 
 def latent_channel_means(fields: DataFrame, channel: str = "c") -> DataFrame:
@@ -148,73 +177,54 @@ def channel_range(cells: DataFrame, channel: str = "c", value: str = "sym") -> D
     return cells.groupBy(channel).agg(F.min(value).alias("min"), F.max(value).alias("max"))
 
 
-def _decay_at(n: int, decay: float, warmup: bool) -> float:
-    """Decay used at update ``n``; update 1 follows the first value."""
-    return min(decay, (1 + n) / (10 + n)) if warmup else decay
-
-
 def ema(series: DataFrame, decay: float, warmup: bool = True, keys: Sequence[str] = ("key",),
-        order: str = "seq", value: str = "value", block: int = BLOCK) -> DataFrame:
+        order: str = "seq", value: str = "value", block: int = 1024) -> DataFrame:
     """Exponential moving average ``s -= (1 - d) * (s - x)``, started at the first value.
 
     With ``warmup``, update ``n`` uses ``d = min(decay, (1 + n) / (10 + n))``, counting
-    from 1 at the second value.  ``order`` is an integer, unique per key.
+    from 1 at the second value.  ``order`` is unique per key.  A missing value (NULL or NaN) is no
+    update: the average stays, and is NULL before the first value.
 
-    An update is the affine map ``s -> d*s + (1-d)*x``, and maps compose.  So every block
-    of the order column is folded to one map on its own, the short list of maps is
-    carried across blocks, and each block is then run from its carried-in state.  A long
-    series is never gathered into one task.
+    An update is the affine map ``s -> d*s + (1-d)*x``, and maps compose.  So every block of at
+    most ``block`` rows is folded to one map, the maps are combined by a parallel scan (see
+    :mod:`scan`), and each block is then run from its carried-in state.
     """
     keys = list(keys)
-    rows = series.select(*keys, order, F.col(value).cast("double").alias("_x")).withColumn(
-        "_block", F.floor(F.col(order) / block).cast("long")
-    )
-    counts = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_len"))
-    before = running_sums(counts, keys, "_block", {"_upto": F.col("_len")}, block, depth=1)
-    starts = before.select(*keys, "_block", (F.col("_upto") - F.col("_len")).alias("_start"))
-    placed = rows.join(starts, [*keys, "_block"])
-
-    key_fields = [f for f in placed.schema.fields if f.name in keys]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = 1.0, 0.0
-        for n, x in enumerate(pdf["_x"].tolist(), int(pdf["_start"].iat[0])):
-            d = _decay_at(n, decay, warmup) if n else 0.0
-            a, b = a * d, b * d + (1.0 - d) * x
-        row = {k: [pdf[k].iat[0]] for k in [*keys, "_block"]}
-        return pd.DataFrame({**row, "_a": [a], "_b": [b]})
-
-    fold_schema = T.StructType(
-        [*key_fields, T.StructField("_block", T.LongType()),
-         T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())]
-    )
-    maps = placed.groupBy(*keys, "_block").applyInPandas(fold, fold_schema)
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One entry per block of the key: the state each block starts from.
-        pdf = pdf.sort_values("_block")
-        s, states = 0.0, []
-        for a, b in zip(pdf["_a"], pdf["_b"]):
-            states.append(s)
-            s = a * s + b
-        return pdf[[*keys, "_block"]].assign(_state=states)
-
-    carry_schema = T.StructType(
-        [*key_fields, T.StructField("_block", T.LongType()), T.StructField("_state", T.DoubleType())]
-    )
-    carried = maps.groupBy(*keys).applyInPandas(carry, carry_schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        s, out = float(pdf["_state"].iat[0]), []
-        for n, x in enumerate(pdf["_x"].tolist(), int(pdf["_start"].iat[0])):
-            d = _decay_at(n, decay, warmup) if n else 0.0
-            s -= (1.0 - d) * (s - x)
-            out.append(s)
-        return pdf[[*keys, order]].assign(ema=out)
-
-    run_schema = T.StructType(
-        [*key_fields, series.schema[order], T.StructField("ema", T.DoubleType())]
-    )
-    return placed.join(carried, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(run, run_schema)
+    rows, steps = placed(series.select(*keys, order, present(value).cast("double").alias("_x")), keys, order, block)
+    item = F.struct(F.col(order).alias("o"), F.col("_x").alias("x"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(item)).alias("_rows"))
+
+    counts = blocks.select(*keys, "_block", F.size(F.filter("_rows", lambda r: r["x"].isNotNull())).cast("long").alias("_m"))
+    zero = F.lit(0).cast("long")
+    starts = carried(counts, keys, zero, lambda a, b: a + b, steps)
+    blocks = reused(with_carried(blocks, starts, keys).withColumnRenamed("_before", "_start"))
+
+    def rate(n: Column) -> Column:
+        """The decay of the value after ``n`` others."""
+        later = F.least(F.lit(decay), (n + 1) / (n + 10)) if warmup else F.lit(float(decay))
+        return F.when(n == 0, F.lit(0.0)).otherwise(later)
+
+    def fold(acc: Column, r: Column) -> Column:
+        d = rate(acc["n"])
+        moved = F.struct((acc["n"] + 1).alias("n"), (acc["a"] * d).alias("a"), (acc["b"] * d + (F.lit(1.0) - d) * r["x"]).alias("b"))
+        return F.when(r["x"].isNull(), acc).otherwise(moved)
+
+    same = lambda n: F.struct(n.alias("n"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    as_map = lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"))
+    maps = blocks.select(*keys, "_block", F.aggregate("_rows", same(F.col("_start")), fold, as_map).alias("_m"))
+    after = lambda m, k: F.struct((m["a"] * k["a"]).alias("a"), (m["b"] * k["a"] + k["b"]).alias("b"))
+    neutral = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    states = with_carried(blocks, carried(maps, keys, neutral, after, steps), keys)
+
+    done = F.slice(F.array(F.struct(F.col("_rows")[0]["o"].alias("o"), F.lit(None).cast("double").alias("s"))), 1, 0)
+    begin = F.struct(F.col("_start").alias("n"), F.col("_before.b").alias("s"), done.alias("out"))
+
+    def run(acc: Column, r: Column) -> Column:
+        there = r["x"].isNotNull()
+        s = F.when(there, acc["s"] - (F.lit(1.0) - rate(acc["n"])) * (acc["s"] - r["x"])).otherwise(acc["s"])
+        n = acc["n"] + there.cast("long")
+        shown = F.struct(r["o"].alias("o"), F.when(n > 0, s).alias("s"))
+        return F.struct(n.alias("n"), s.alias("s"), F.concat(acc["out"], F.array(shown)).alias("out"))
+
+    results = F.explode(F.aggregate("_rows", begin, run, lambda acc: acc["out"])).alias("_z")
+    return states.select(*keys, results).select(*keys, F.col("_z.o").alias(order), F.col("_z.s").alias("ema"))

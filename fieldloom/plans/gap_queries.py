@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import channels as ch
+from ..operators import entropy as en
 from ..operators import likelihood as lk
 from ..operators import quantise as qz
 from ..operators import scoring as sc
+from ..operators import spatial as sp
 from ..operators import statistics as st
 from ..operators import timeaxis as tx
 from ..operators.layout import field_to_cells
 from ..streaming import scores as ss
 from . import views as v
-from .entropy_queries import erfc_sql
+from .entropy_queries import bits_sql, cdf_sql, erfc_sql
 from .registry import q6, qstamp, query, r6, stamp
 from .stream_queries import as_wall, event_stream
 from .views import with_views
@@ -155,13 +157,13 @@ def e18(spark, sf):
 
 
 LIK = f"""{GAPS},
-a AS (SELECT sample, c, i, j, (abs(y * 20) - 0.5) / ((0.05 + 1.5 * i) * sqrt(2)) AS x1, (abs(y * 20) + 0.5) / ((0.05 + 1.5 * i) * sqrt(2)) AS x2
-  FROM holes WHERE i > 0),
+a AS (SELECT sample, c, i, j, (abs(y * 20) - 0.5) / (greatest(0.05 + 1.5 * i, 0.11) * sqrt(2)) AS x1,
+  (abs(y * 20) + 0.5) / (greatest(0.05 + 1.5 * i, 0.11) * sqrt(2)) AS x2 FROM holes),
 lik AS (SELECT sample, c, i, j, CASE WHEN x1 IS NULL THEN NULL ELSE greatest(0.5 * {erfc_sql("x1")} - 0.5 * {erfc_sql("x2")}, CAST(1e-9 AS DOUBLE)) END AS likelihood FROM a)"""
 
 
 def _likelihoods(spark, sf):
-    cells = _cells(spark, sf).where("i > 0").withColumns({"y": F.col("y") * 20.0, "scale": 0.05 + 1.5 * F.col("i")})
+    cells = _cells(spark, sf).withColumns({"y": F.col("y") * 20.0, "scale": 0.05 + 1.5 * F.col("i")})
     return lk.gaussian_likelihood(cells)
 
 
@@ -179,6 +181,130 @@ def e15(spark, sf):
     return out.select("sample", F.round("bits", 3).alias("bits"), "n_null")
 
 
+# --- grids and series -----------------------------------------------------------------
+
+KEYS = ["sample", "c"]
+
+
+def _shown(fields):
+    return field_to_cells(fields, KEYS, "y").select("sample", "c", "i", "j", r6("y").alias("y"))
+
+
+@query(
+    "g05_downsample_avg_gaps",
+    f"""{GAPS} SELECT sample, c, CAST(i // 2 AS INTEGER) AS i, CAST(j // 2 AS INTEGER) AS j, {q6("avg(y)")} AS y FROM holes GROUP BY ALL""",
+)
+def g05(spark, sf):
+    return _shown(sp.downsample_avg(_fields(spark, sf).drop("recon"), 4, 4))
+
+
+# The weights of the cells that are present, scaled up to one.
+MEAN = "sum(CASE WHEN y IS NULL THEN NULL ELSE y * a.w * b.w END) / nullif(sum(CASE WHEN y IS NULL THEN 0 ELSE a.w * b.w END), 0)"
+
+
+@query(
+    "g07_regrid_bilinear_gaps",
+    f"""{GAPS},
+ti AS (SELECT t, greatest((t + 0.5) * CAST(4 AS DOUBLE) / 3 - 0.5, 0) AS p FROM range(0, 3) r(t)),
+tj AS (SELECT t, greatest((t + 0.5) * CAST(4 AS DOUBLE) / 7 - 0.5, 0) AS p FROM range(0, 7) r(t)),
+wi AS (SELECT t, least(floor(p), 3) AS s, 1 - (p - floor(p)) AS w FROM ti UNION ALL SELECT t, least(floor(p) + 1, 3), p - floor(p) FROM ti),
+wj AS (SELECT t, least(floor(p), 3) AS s, 1 - (p - floor(p)) AS w FROM tj UNION ALL SELECT t, least(floor(p) + 1, 3), p - floor(p) FROM tj)
+SELECT sample, c, CAST(a.t AS INTEGER) AS i, CAST(b.t AS INTEGER) AS j, {q6(MEAN)} AS y
+FROM holes JOIN wi a ON a.s = holes.i JOIN wj b ON b.s = holes.j GROUP BY ALL""",
+)
+def g07(spark, sf):
+    return _shown(sp.regrid_bilinear(_fields(spark, sf).drop("recon"), 4, 4, 3, 7))
+
+
+@query(
+    "g08_gaussian_blur_gaps",
+    f"""{GAPS}, raw AS (SELECT d, exp(-0.5 * power(d / CAST(0.8 AS DOUBLE), 2)) AS e FROM range(-1, 2) r(d)),
+k AS (SELECT d, e / (SELECT sum(e) FROM raw) AS w FROM raw),
+t AS (SELECT o, least(greatest(o + d, 0), 3) AS s, sum(w) AS w FROM range(0, 4) x(o), k GROUP BY ALL)
+SELECT sample, c, CAST(a.o AS INTEGER) AS i, CAST(b.o AS INTEGER) AS j, {q6(MEAN)} AS y
+FROM holes JOIN t a ON a.s = holes.i JOIN t b ON b.s = holes.j GROUP BY ALL""",
+)
+def g08(spark, sf):
+    return _shown(sp.gaussian_blur(_fields(spark, sf).drop("recon"), 4, 4, 3, 0.8))
+
+
+def _first_cells(spark, sf):
+    """One value a sample, some missing, with a sparse order column."""
+    first = F.get("values", F.lit(0))
+    return _fields(spark, sf).where("c = 0").select((F.col("sample") * 100_003 % 1_000_000_007).alias("seq"), F.lit("x").alias("key"), first.alias("value"))
+
+
+FIRST = f"""{GAPS}, first_cells AS (SELECT sample * 100003 % 1000000007 AS seq, 'x' AS key, y AS value FROM holes WHERE c = 0 AND i = 0 AND j = 0)"""
+
+
+@query(
+    "n08_cumulative_mse_gaps",
+    f"""{FIRST} SELECT seq, round(coalesce(avg(value * value) OVER (ORDER BY seq), 0), 9) AS running_mse FROM first_cells""",
+)
+def n08(spark, sf):
+    files = _first_cells(spark, sf).withColumn("mse", F.col("value") * F.col("value"))
+    return st.cumulative_mse(files, "seq", block=16).select("seq", F.round("running_mse", 9).alias("running_mse"))
+
+
+@query(
+    "n11_ema_gaps",
+    f"""{FIRST.replace("WITH ", "WITH RECURSIVE ", 1)},
+known AS (SELECT seq, value, row_number() OVER (ORDER BY seq) - 1 AS n FROM first_cells WHERE value IS NOT NULL),
+run AS (SELECT seq, n, value AS s FROM known WHERE n = 0
+  UNION ALL
+  SELECT k.seq, k.n, r.s - (1 - least(CAST(0.99 AS DOUBLE), CAST(1 + k.n AS DOUBLE) / CAST(10 + k.n AS DOUBLE))) * (r.s - k.value)
+  FROM run r JOIN known k ON k.n = r.n + 1)
+SELECT f.seq, {q6("last_value(r.s IGNORE NULLS) OVER (ORDER BY f.seq)")} AS ema FROM first_cells f LEFT JOIN run r ON r.seq = f.seq""",
+)
+def n11(spark, sf):
+    return st.ema(_first_cells(spark, sf), 0.99, block=32).select("seq", r6("ema").alias("ema"))
+
+
+SYMBOL_GAPS = f"""{GAPS}, symbols AS (SELECT sample, c, i, j, CAST(round_even(y * CAST(20 AS DOUBLE), 0) AS INTEGER) AS sym FROM holes),
+hist AS (SELECT c, sym, count(*) AS n FROM symbols WHERE sym IS NOT NULL GROUP BY ALL),
+support AS (SELECT c, min(sym) - 1 AS lo, max(sym) + 1 AS hi FROM symbols GROUP BY c)"""
+
+
+def _symbols(spark, sf):
+    return _cells(spark, sf).select("sample", "c", "i", "j", qz.quantize_symbols(F.col("y") * 20.0).alias("sym"))
+
+
+@query("e02_symbol_cdf_gaps", f"{SYMBOL_GAPS}, {cdf_sql('cdf', 'c', 'hist', '(SELECT c FROM support)')} SELECT c, k, sym, cproba, step FROM cdf")
+def e02(spark, sf):
+    return en.symbol_cdf(en.symbol_histogram(_symbols(spark, sf)))
+
+
+@query(
+    "e06_context_cdf_gaps",
+    f"""{SYMBOL_GAPS}, ctx_hist AS (SELECT c, CAST(i % 3 AS INTEGER) AS ctx, sym, count(*) AS n FROM symbols WHERE sym IS NOT NULL GROUP BY ALL),
+{cdf_sql('ctx_cdf', 'c, ctx', 'ctx_hist', '(SELECT c, unnest([0, 1, 2]) AS ctx FROM support)')} SELECT c, ctx, k, sym, cproba, step FROM ctx_cdf""",
+)
+def e06(spark, sf):
+    return en.context_cdf(en.context_histogram(_symbols(spark, sf).withColumn("ctx", F.col("i") % 3)))
+
+
+@query(
+    "e04_cross_entropy_gaps",
+    f"""{SYMBOL_GAPS}, {cdf_sql('cdf', 'c', 'hist', '(SELECT c FROM support)')}, {bits_sql('b', 'hist', 'cdf', 'c', 'c')},
+lost AS (SELECT c, count(*) - count(sym) AS n_unpriced FROM symbols GROUP BY c)
+SELECT c, {q6("bits")} AS bits, n, n_unpriced FROM b JOIN lost USING (c)""",
+)
+def e04(spark, sf):
+    hist = en.symbol_histogram(_symbols(spark, sf))
+    return en.cross_entropy(hist, en.symbol_cdf(hist)).select("c", r6("bits").alias("bits"), "n", "n_unpriced")
+
+
+@query(
+    "q02_quantize_symbols_gaps",
+    f"""{GAPS}, big AS (SELECT sample, c, i, j, CASE WHEN sample % 7 = 0 THEN y * 1e12 ELSE y * 20 END AS y FROM holes)
+SELECT sample, c, i, j, CASE WHEN abs(round_even(y, 0)) < 2147483648 THEN CAST(round_even(y, 0) AS INTEGER) END AS sym,
+ abs(round_even(y, 0)) < 2147483648 AS fits FROM big""",
+)
+def q02(spark, sf):
+    y = F.when(F.col("sample") % 7 == 0, F.col("y") * 1e12).otherwise(F.col("y") * 20.0)
+    return _cells(spark, sf).select("sample", "c", "i", "j", qz.quantize_symbols(y).alias("sym"), qz.fits_symbol(y).alias("fits"))
+
+
 # --- scores -----------------------------------------------------------------------------
 
 @query(

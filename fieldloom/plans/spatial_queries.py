@@ -135,32 +135,34 @@ def g09_inverse(spark, sf):
     return back.select("sample", "c", "i", "j", r6("y").alias("y"))
 
 
-RGB = f"""{with_views("latent")}, rgb AS (SELECT r.sample, r.i, r.j, r.y AS r, g.y AS g, b.y AS b FROM latent r
-  JOIN latent g ON g.sample = r.sample AND g.i = r.i AND g.j = r.j AND g.c = 1
-  JOIN latent b ON b.sample = r.sample AND b.i = r.i AND b.j = r.j AND b.c = 2 WHERE r.c = 0)"""
+# Every value is red once: green and blue are those one and two planes on, around the vector's end.
+RGB = f"""{with_views("latent")}, rgb AS (SELECT r.sample, r.c, r.i, r.j, r.y AS r, g.y AS g, b.y AS b FROM latent r
+  JOIN latent g ON g.sample = r.sample AND g.i = r.i AND g.j = r.j AND g.c = (r.c + 1) % 4
+  JOIN latent b ON b.sample = r.sample AND b.i = r.i AND b.j = r.j AND b.c = (r.c + 2) % 4)"""
 
 
 def _rgb(spark, sf):
     tensors = v.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("x")
     )
-    planes = F.arrays_zip(*[F.slice("x", 16 * k + 1, 16).alias(n) for k, n in enumerate("rgb")])
+    turned = lambda k: F.concat(F.slice("x", 16 * k + 1, 64), F.slice("x", 1, 16 * k)) if k else F.col("x")
+    planes = F.arrays_zip(*[turned(k).alias(n) for k, n in enumerate("rgb")])
     return tensors.select("sample", F.posexplode(planes).alias("_p", "_z")).select(
-        "sample", F.expr("CAST(_p DIV 4 AS INT)").alias("i"), F.expr("CAST(_p % 4 AS INT)").alias("j"),
-        *[F.col("_z")[n].alias(n) for n in "rgb"],
+        "sample", F.expr("CAST(_p DIV 16 AS INT)").alias("c"), F.expr("CAST(_p % 16 DIV 4 AS INT)").alias("i"),
+        F.expr("CAST(_p % 4 AS INT)").alias("j"), *[F.col("_z")[n].alias(n) for n in "rgb"],
     )
 
 
 @query(
     "g10_rgb_to_ycbcr",
     f"""{RGB}, y AS (SELECT *, CAST(0.2126 AS DOUBLE) * r + CAST(0.7152 AS DOUBLE) * g + CAST(0.0722 AS DOUBLE) * b AS y FROM rgb)
-SELECT sample, i, j, {q6("y")} AS y, {q6("0.5 * (b - y) / (1 - 0.0722) + 0.5")} AS cb, {q6("0.5 * (r - y) / (1 - 0.2126) + 0.5")} AS cr FROM y""",
+SELECT sample, c, i, j, {q6("y")} AS y, {q6("0.5 * (b - y) / (1 - 0.0722) + 0.5")} AS cb, {q6("0.5 * (r - y) / (1 - 0.2126) + 0.5")} AS cr FROM y""",
 )
 def g10(spark, sf):
-    return rgb_to_ycbcr(_rgb(spark, sf)).select("sample", "i", "j", *[r6(x).alias(x) for x in ("y", "cb", "cr")])
+    return rgb_to_ycbcr(_rgb(spark, sf)).select("sample", "c", "i", "j", *[r6(x).alias(x) for x in ("y", "cb", "cr")])
 
 
-@query("g10_ycbcr_to_rgb", f"{RGB} SELECT sample, i, j, {q6('r')} AS r, {q6('g')} AS g, {q6('b')} AS b FROM rgb")
+@query("g10_ycbcr_to_rgb", f"{RGB} SELECT sample, c, i, j, {q6('r')} AS r, {q6('g')} AS g, {q6('b')} AS b FROM rgb")
 def g10_inverse(spark, sf):
-    ycc = rgb_to_ycbcr(_rgb(spark, sf)).select("sample", "i", "j", "y", "cb", "cr")
-    return ycbcr_to_rgb(ycc).select("sample", "i", "j", *[r6(x).alias(x) for x in "rgb"])
+    ycc = rgb_to_ycbcr(_rgb(spark, sf)).select("sample", "c", "i", "j", "y", "cb", "cr")
+    return ycbcr_to_rgb(ycc).select("sample", "c", "i", "j", *[r6(x).alias(x) for x in "rgb"])

@@ -6,10 +6,13 @@ from fieldloom.plans import load_queries
 
 QUERIES = load_queries()[0]
 
-# Sequential steps and stencils; streams run while the query is built.
+# Sequential steps, stencils and array arithmetic on packed fields; streams run while the query is built.
 PYTHON = {
-    "n11_ema", "n11_ema_plain", "e13_pmf_to_cdf", "s04_decode_npy",
-    "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur",
+    "e13_pmf_to_cdf", "s04_decode_npy", "e11_channel_gains",
+    "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur", "n06_minmax_quantize", "n07_minmax_dequantize",
+    "g05_downsample_avg_gaps", "g07_regrid_bilinear_gaps", "g08_gaussian_blur_gaps", "n06_minmax_quantize_gaps",
+    "t06_climatology_lookup", "t07_daily_climatology", "m03_weighted_rmse", "m04_anomaly_correlation", "m05_bias_activity",
+    "m03_weighted_rmse_fields_gaps", "m04_anomaly_correlation_fields_gaps", "m05_bias_activity_fields_gaps",
 }
 STREAMS = {n for n in QUERIES if n.startswith("w0")}
 
@@ -55,6 +58,24 @@ def test_cells_are_not_shuffled(spark, sf, name):
     assert len(exchanges) == (1 if name == "s01_field_manifest" else 0), exchanges  # its input is a distinct
 
 
+@pytest.mark.parametrize("name", ["n08_cumulative_mse", "n08_cumulative_mse_gaps", "n11_ema", "n11_ema_gaps", "e02_symbol_cdf", "e10_channel_context_entropy"])
+def test_no_single_task(spark, sf, name):
+    assert "SinglePartition" not in plan(QUERIES[name](spark, sf))
+
+
+def test_gains_shuffle_bands_and_counts_only(spark, sf):
+    text = "\n".join(outside_cache(plan(QUERIES["e11_channel_gains"](spark, sf))))
+    assert "Exchange hashpartitioning(sample" not in text.replace("band#", "") or "band#" in text
+    assert not [x for x in text.splitlines() if "Exchange" in x and "sample#" in x and "band#" not in x]
+
+
+@pytest.mark.parametrize("name", ["t07_daily_climatology", "m03_weighted_rmse"])
+def test_fields_are_shuffled_whole(spark, sf, name):
+    """What is exchanged is keyed by time and channel, never by a cell."""
+    text = plan(QUERIES[name](spark, sf))
+    assert not [x for x in text.splitlines() if "Exchange hashpartitioning" in x and (" i#" in x or "(i#" in x)]
+
+
 def test_contexts_shuffle_summaries_only(spark, sf):
     text = plan(QUERIES["e05_spatial_context"](spark, sf))
     assert not [x for x in outside_cache(text) if "Exchange hashpartitioning(sample" in x]

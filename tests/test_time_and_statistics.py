@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import channels as ch
 from fieldloom.operators import scoring as sc
+from fieldloom.operators import packed, scan
 from fieldloom.operators import statistics as st
 from fieldloom.operators import timeaxis as tx
 from fieldloom.operators.layout import cells_to_field
@@ -142,6 +143,50 @@ def test_ema_matches_the_loop(spark, warmup):
         assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_scan_over_many_levels(spark, monkeypatch):
+    """Blocks of two rows in groups of four, NULL keys, gaps in the order, missing values."""
+    monkeypatch.setattr(scan, "LEVEL", 2)
+    rng = np.random.default_rng(4)
+    rows = [(k, int(o) ** 3, None if o % 5 == 0 else float("nan") if o % 7 == 0 else float(o % 11)) for k in ("a", None) for o in rng.choice(400, 150, replace=False)]
+    df = spark.createDataFrame(rows, "key string, seq long, value double").repartition(3)
+    sums, state = {}, {}
+    for key in ("a", None):
+        s = n = 0
+        ema = None
+        for _, o, x in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if x is not None and x == x:
+                d = min(0.99, (1 + n) / (10 + n)) if n else 0.0
+                ema = x if ema is None else ema - (1 - d) * (ema - x)
+                s, n = s + x, n + 1
+            sums[key, o] = s / n if n else 0.0
+            state[key, o] = ema
+    got = {(r.key, r.seq): r.running_mse for r in st.cumulative_mse(df, "seq", "value", ["key"], block=2).collect()}
+    assert got == pytest.approx(sums, abs=1e-12)
+    got = {(r.key, r.seq): r.ema for r in st.ema(df, 0.99, block=2).collect()}
+    assert got.keys() == state.keys()
+    assert all(got[k] is None if s is None else got[k] == pytest.approx(s, abs=1e-12) for k, s in state.items())
+    assert st.ema(df.limit(0), 0.99).count() == 0 and st.cumulative_mse(df.limit(0), "seq", "value").count() == 0
+
+
+def test_field_means_in_parts(spark, monkeypatch):
+    """Many keys, few held at a time, missing cells, NULL fields."""
+    monkeypatch.setattr(packed, "HELD", 2)
+    monkeypatch.setattr(packed, "BYTES", 100)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(7)) or None, [None if rng.random() < 0.3 else float("nan") if rng.random() < 0.1 else float(x) for x in rng.normal(size=5)]) for _ in range(200)]
+    df = spark.createDataFrame([*rows, (99, None), (3, None)], "k int, values array<double>").repartition(4)
+    want = {}
+    for key in {k for k, _ in rows}:
+        cells = zip(*(v for k, v in rows if k == key))
+        there = [[x for x in c if x is not None and x == x] for c in cells]
+        want[key] = [sum(c) / len(c) if c else None for c in there]
+    got = {r["k"]: r["values"] for r in packed.field_means(df, ["k"]).collect()}
+    assert got.keys() == want.keys()
+    assert all(g == pytest.approx(w, abs=1e-12) for k in want for g, w in zip(got[k], want[k]))
+    with pytest.raises(Exception, match="differ in size"):
+        packed.field_means(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], df.schema), ["k"]).collect()
+
+
 def test_statistics_skip_missing_cells(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (0, None), (0, float("nan"))], "channel_idx int, value double")
     r = st.channel_stats(df).first()
