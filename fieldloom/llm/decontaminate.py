@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask keeps six positions of a short run of words and ignores the others, so a seed hash
-survives substitutions at ignored positions.  Seeds of benchmark items and of documents are
+survives substitutions at ignored positions.  The five masks are chosen together: wherever three
+of 13 words in a row are substituted, one of them keeps clear of all three.  Seeds of benchmark items and of documents are
 joined on their hash; each pair of texts and each shift between them that shares a seed is then
 verified word by word around the hit, allowing substitutions.
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Positions of a run of words that a seed looks at ("1") and ignores ("0").
-MASKS = ("111111", "11011011", "110010111", "1011001101", "1100110011")
+#: Positions of a run of words that a seed looks at ("1") and ignores ("0").  Found by search: together they
+#: hit all 286 ways to substitute three of 13 words, two of 11 or 12, and one of 9 or 10; of items of 8 words, 5 of 8 ways.
+MASKS = ("1101111", "111001011", "1101000111", "11010111", "11110000101")
 #: Words in a row that are held against an item (all of a shorter item), and the percentage that must agree.
 WINDOW, AGREE = 13, 75
 #: Items with fewer words are no evidence.
@@ -187,7 +189,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document's text), ``item_id`` (the smallest with the item's text), ``doc_start``,
     ``item_start``, ``n_words`` and ``n_agree`` of the largest overlap.
 
-    NULL and empty texts match nothing.  Items of fewer than ``MIN_ITEM`` words are left out.
+    Every document that agrees so far with an item of at least ``WINDOW`` words is found.  Items of
+    fewer words are found for certain verbatim, and with the substitutions listed at ``MASKS``.
+    NULL and empty texts match nothing.  Items of fewer than ``MIN_ITEM`` words are left out: such
+    runs of words are common in texts that hold no benchmark.
     Repeated documents each get their rows; documents with the same words are compared once.
     Empty tables give an empty result.
     """

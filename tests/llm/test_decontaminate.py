@@ -1,8 +1,11 @@
 """Spaced seeds: verbatim and changed passages are found, other texts are left alone."""
 
+from itertools import combinations
+
 import numpy as np
+import pytest
 
-from fieldloom.llm.decontaminate import contaminated, is_set, bits_of, overlap, seeds
+from fieldloom.llm.decontaminate import MASKS, contaminated, is_set, bits_of, overlap, seeds
 from tests.llm.conftest import EDGES
 
 RNG = np.random.default_rng(5)
@@ -68,6 +71,27 @@ def test_repeats_and_edges(spark, edges, nothing):
     assert len(EDGES) == edges.count()
 
 
+@pytest.mark.parametrize("n, changed", [(13, 3), (14, 3), (12, 2), (11, 2), (10, 1), (9, 1), (8, 0)])
+def test_masks_hit_every_pattern(n, changed):
+    """All ways to substitute some of n words leave a seed that sees none of them."""
+    for gone in combinations(range(n), changed):
+        assert any(
+            not {at + k for k, look in enumerate(mask) if look == "1"} & set(gone) for mask in MASKS for at in range(n - len(mask) + 1)
+        ), gone
+
+
+def test_all_substitutions_in_a_passage(spark):
+    """A 13-word passage with every triple of words changed, each in a document of its own."""
+    item = [f"q{k}" for k in range(13)]
+    docs = []
+    for n, gone in enumerate(combinations(range(13), 3)):
+        said = [f"x{n}" if k in gone else w for k, w in enumerate(item)]
+        docs.append((n, " ".join(words(5) + said + words(5))))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == set(range(286)) and {r["n_agree"] for r in rows} == {10}
+
+
 def test_overlap():
     item = np.arange(20)
     doc = np.concatenate([np.full(5, -1), item, np.full(3, -2)])
