@@ -14,6 +14,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+# The published lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers of exactly their country's length, with or without a blank between groups of four."""
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    return "(?:" + "|".join(forms) + ")"
+
+
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data.
@@ -42,7 +75,7 @@ KINDS = (
     Kind("ip", r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}", 0.6, ("ip", "host", "server"), "."),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", 0.8, ("card", "visa", "payment")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, ("phone", "call", "tel", "mobile"), "+"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", 0.7, ("iban", "account", "bank")),
+    Kind("iban", "(?=[A-Z]{2}[0-9]{2})" + iban_pattern(), 0.7, ("iban", "account", "bank")),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, ("ssn", "social", "security", "taxpayer"), "-"),
 )
 CONTEXT = 0.3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .pii import CONTEXT, KINDS, NEAR, THRESHOLD
+from .pii import CONTEXT, KINDS, NEAR, THRESHOLD, iban_pattern
 
 #: The same spans in plain form; DuckDB's engine needs no possessive quantifiers.
 PLAIN = {
@@ -10,7 +10,7 @@ PLAIN = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?",
+    "iban": iban_pattern(),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 DIGITS = "regexp_replace(match, '[^0-9]', '', 'g')"

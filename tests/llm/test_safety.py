@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm.bigru import BiGru, sigmoid
-from fieldloom.llm.pii import detect, mask, summarize
+from fieldloom.llm.pii import IBAN_LENGTHS, detect, mask, summarize
 from fieldloom.llm.toxicity import Corpus, classify, learn, score, score_texts, train, window_starts, windows_of, words_in
 from tests.llm.conftest import EDGES
 
@@ -86,6 +86,29 @@ def test_mask(spark):
     assert "<IBAN>, DE88" in texts[5] and "<SSN> but" in texts[6] and "987-65-4321" in texts[6]
 
 
+def account(country, length, seed):
+    """A number of that length that passes mod 97, in groups of four."""
+    rng = np.random.default_rng(seed)
+    body = "".join(rng.choice(list("0123456789"), length - 4))
+    said = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    whole = f"{country}{98 - said % 97:02d}{body}"
+    return whole, " ".join(whole[k : k + 4] for k in range(0, length, 4))
+
+
+def test_accounts_of_every_length(spark):
+    """Each country's number, before a capitalised word, digits and the end; with blanks and without."""
+    docs, want = [], {}
+    for n, (length, country) in enumerate((length, c) for length, cs in IBAN_LENGTHS.items() for c in cs.split()):
+        plain, spaced = account(country, length, n)
+        for k, said in enumerate((f"pay {spaced} In time", f"pay {spaced} in time", f"{plain} 12", f"{plain}", f"({spaced})")):
+            docs.append((10 * n + k, said))
+            want[10 * n + k] = spaced if spaced in said else plain
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["match"] for r in detect(df).collect() if r["kind"] == "iban"} == want
+    masked = {r["doc_id"]: r["text"] for r in mask(df).collect()}
+    assert all(masked[d] == t.replace(want[d], "<IBAN>") for d, t in docs)
+
+
 def test_pii_of_edges(edges, nothing):
     rows = summarize(detect(edges)).collect()
     assert len(rows) == len(EDGES)
