@@ -5,11 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import clamp, hash_number, present
+from .bands import BAND
 from .layout import div, positions
+from .packed import groups_of
 
 # The pressure axis in hPa, from the ground up.
 PRESSURE_LEVELS = (
@@ -100,14 +105,66 @@ def stack_channels(cells: DataFrame, keys: Sequence[str], channel: str = "channe
                    value: str = "value") -> DataFrame:
     """One row per ``keys`` with the values ordered by channel.
 
-    Input is unique per (keys, channel), so a group has at most one row per channel.
+    A group has at most one row per channel; a repeated cell is an error.
     """
     pairs = F.sort_array(F.collect_list(F.struct(channel, value)))
-    return cells.groupBy(*keys).agg(pairs.alias("_p")).select(
+    stacked = cells.groupBy(*keys).agg(pairs.alias("_p"))
+    once = F.size(F.array_distinct(F.transform("_p", lambda x: x[channel]))) == F.size("_p")
+    checked = F.when(once, F.col("_p")).otherwise(F.raise_error(F.lit("a cell is repeated")))
+    return stacked.withColumn("_p", checked).select(
         *keys, F.col(f"_p.{channel}").alias("channels"), F.col(f"_p.{value}").alias("values")
     )
 
 
+def stack_fields(fields: DataFrame, keys: Sequence[str], channel: str = "channel_idx", band: int = BAND) -> DataFrame:
+    """C03 on packed fields: one row per cell (``keys``, ``i``, ``j``) with ``channels`` and ``values`` ordered by channel.
+
+    Fields are cut into bands of ``band`` cells, the bands of one sample's channels meet in one task, and
+    each is transposed there: a shuffle record per (sample, channel, band) instead of one per cell.
+    A repeated channel and fields of different sizes are errors; missing cells stay missing.
+    """
+    keys = list(keys)
+    kind = fields.schema["values"].dataType
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.size("values") - 1, F.lit(0)), F.lit(band))).alias("_first")
+    rows = fields.where(F.size("values") > 0).select(*keys, channel, F.col("w").cast("int").alias("w"), "values", first)
+    rows = rows.select(*keys, "_first", channel, "w", F.slice("values", F.col("_first") + 1, F.lit(band)).alias("_part"))
+    rows = rows.repartition(*keys, "_first").sortWithinPartitions(*keys, "_first", channel)
+    schema = T.StructType(
+        [fields.schema[k] for k in keys]
+        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
+        + [T.StructField("channels", T.ArrayType(fields.schema[channel].dataType)), T.StructField("values", kind)]
+    )
+    names = schema.names
+
+    def transpose(batches):
+        for _, table in groups_of(batches, [*keys, "_first"]):
+            n = table.num_rows
+            parts = table.column("_part").combine_chunks()
+            sizes = parts.value_lengths().to_numpy(zero_copy_only=False)
+            numbers = table.column(channel).combine_chunks()
+            if len(set(numbers.to_pylist())) < n:
+                raise ValueError("a channel is repeated")
+            if (sizes != sizes[0]).any() or len(set(table.column("w").to_pylist())) > 1:
+                raise ValueError("fields of one sample differ in size")
+            cells, w = int(sizes[0]), table.column("w")[0].as_py()
+            by_cell = np.arange(n * cells).reshape(n, cells).T.ravel()
+            offsets = pa.array(np.arange(cells + 1, dtype=np.int32) * n)
+            at = np.arange(cells) + table.column("_first")[0].as_py()
+            once = pa.array(np.zeros(cells, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[table.column(k).combine_chunks().take(once) for k in keys],
+                    pa.array((at // w).astype(np.int32)),
+                    pa.array((at % w).astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, numbers.take(pa.array(np.tile(np.arange(n), cells)))),
+                    pa.ListArray.from_arrays(offsets, parts.flatten().take(pa.array(by_cell))),
+                ],
+                names,
+            )
+
+    return rows.mapInArrow(transpose, schema)
+
+
 def unstack_channels(stacked: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inverse of C03, with the channel's name, NULL if the dimension lacks it."""
     long = stacked.select(*keys, F.explode(F.arrays_zip("channels", "values")).alias("_z")).select(

@@ -156,3 +156,23 @@ def field_sums(fields: DataFrame, keys: Sequence[str], values: str = "values") -
     """As :func:`field_means`, but ``values`` are element-wise sums, 0 where nothing is present."""
     rows = _totals(fields, keys, values, means=False)
     return rows.select(*keys, F.col("_s").alias(values))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key, one key at a time, from batches sorted by ``keys``."""
+    key, held = None, []
+    for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        start = 0
+        for at, this in enumerate(rows):
+            if this == key:
+                continue
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            if held:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+            key, held, start = this, [], at
+        if len(rows) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()

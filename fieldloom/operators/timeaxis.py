@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.numeric import present
 from .channels import pair_fields
 from .layout import div
-from .packed import field_means
+from .packed import field_means, rows_of
 
 # The date ranges of the training, validation and test splits.
 SPLIT_RANGES = {
@@ -158,26 +162,78 @@ def climatology_fields(fields: DataFrame, clim: DataFrame, keys: Sequence[str],
     return fields.withColumn("md", month_day(F.col(ts))).join(clim.select("md", *keys, "clim"), ["md", *keys], "left")
 
 
-def accumulate_hours(cells: DataFrame, hours: int, keys: Sequence[str], ts: str = "ts",
-                     value: str = "value", chunk_hours: int = 720) -> DataFrame:
-    """Sum of the last ``hours`` hourly values; NULL unless all are present.
-
-    Input is unique per (keys, hour).  The axis is cut into chunks and the last
-    ``hours - 1`` hours of a chunk are copied into the next one, so a window holds at
-    most ``chunk_hours + hours - 1`` rows however long the series is.
-    """
+def _with_halo(rows: DataFrame, hours: int, chunk_hours: int, ts: str) -> DataFrame:
+    """Rows with their ``_hour`` and place ``_p`` (chunk ``at``, ``halo``); the last hours of a chunk are also the next one's halo."""
     if chunk_hours < hours:
         raise ValueError("chunk_hours must be at least hours")
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     hour = F.timestamp_diff("HOUR", epoch, F.col(ts)).cast("long")
-    rows = cells.withColumn("_hour", hour).withColumn("_chunk", F.floor(F.col("_hour") / chunk_hours))
+    rows = rows.withColumn("_hour", hour).withColumn("_chunk", F.floor(F.col("_hour") / chunk_hours))
     in_halo = (F.col("_hour") - F.col("_chunk") * chunk_hours) > chunk_hours - hours
     both = F.array(
         F.struct(F.col("_chunk").alias("at"), F.lit(False).alias("halo")),
         F.struct((F.col("_chunk") + 1).alias("at"), F.lit(True).alias("halo")),
     )
     own = F.slice(both, 1, 1)
-    placed = rows.withColumn("_p", F.explode(F.when(in_halo, both).otherwise(own)))
+    return rows.withColumn("_p", F.explode(F.when(in_halo, both).otherwise(own)))
+
+
+def accumulate_fields(fields: DataFrame, hours: int, keys: Sequence[str], ts: str = "ts", chunk_hours: int = 720) -> DataFrame:
+    """T08 on packed fields: ``accumulated``, the cell-wise sums of the last ``hours`` fields.
+
+    NULL unless all those hours are there; a cell that is missing in one of them is NULL.  Whole fields
+    are the halo between chunks of the time axis; a task streams a chunk in order and holds
+    ``hours`` fields.  A repeated hour and fields of different sizes are errors.
+    """
+    keys = list(keys)
+    placed = _with_halo(fields, hours, chunk_hours, ts)
+    rows = placed.select(*fields.columns, "_hour", F.col("_p.at").alias("_at"), F.col("_p.halo").alias("_halo"))
+    rows = rows.repartition(*keys, "_at").sortWithinPartitions(*keys, "_at", "_hour")
+    names = fields.columns
+    schema = T.StructType([*fields.schema.fields, T.StructField("accumulated", T.ArrayType(T.DoubleType()))])
+
+    def add_up(batches):
+        before, held = None, deque(maxlen=hours)
+        for batch in batches:
+            flat, ends, there = rows_of(batch.column("values"))
+            series = zip(*(batch.column(k).to_pylist() for k in [*keys, "_at"]))
+            kept, sums = [], []
+            halo = batch.column("_halo").to_pylist()
+            for row, (key, hour, start, end, ok) in enumerate(zip(series, batch.column("_hour").to_pylist(), [0, *ends[:-1]], ends, there)):
+                if key != before:
+                    held.clear()
+                    before = key
+                if held and held[-1][0] == hour:
+                    raise ValueError("an hour is repeated")
+                held.append((hour, flat[start:end] if ok else None))
+                if halo[row]:
+                    continue
+                kept.append(row)
+                whole = len(held) == hours and held[0][0] == hour - hours + 1 and all(x is not None for _, x in held)
+                if whole and len({len(x) for _, x in held}) > 1:
+                    raise ValueError("fields of one series differ in size")
+                sums.append(sum((x for _, x in held), 0.0) if whole else None)
+            offsets = np.concatenate([[0], np.cumsum([0 if s is None else len(s) for s in sums])]).astype(np.int32)
+            numbers = np.concatenate([np.zeros(0), *[s for s in sums if s is not None]])
+            absent = np.array([s is None for s in sums] + [False])
+            lists_ = pa.ListArray.from_arrays(pa.array(offsets, mask=absent), pa.array(numbers, mask=np.isnan(numbers)))
+            taken = [batch.column(c).take(pa.array(kept, pa.int64())) for c in names]
+            # A batch keeps nothing of its buffers alive but the fields still needed.
+            held = deque(((h, x if x is None else x.copy()) for h, x in held), maxlen=hours)
+            yield pa.RecordBatch.from_arrays([*taken, lists_], [*names, "accumulated"])
+
+    return rows.mapInArrow(add_up, schema)
+
+
+def accumulate_hours(cells: DataFrame, hours: int, keys: Sequence[str], ts: str = "ts",
+                     value: str = "value", chunk_hours: int = 720) -> DataFrame:
+    """Sum of the last ``hours`` hourly values; NULL unless all are present.
+
+    Input is unique per (keys, hour).  The axis is cut into chunks and the last
+    ``hours - 1`` hours of a chunk are copied into the next one, so a window holds at
+    most ``chunk_hours + hours - 1`` rows however long the series is.
+    """
+    placed = _with_halo(cells, hours, chunk_hours, ts)
     w = W.partitionBy(*keys, "_p.at").orderBy("_hour").rangeBetween(-(hours - 1), 0)
     return (
         placed.withColumns({"_n": F.count(present(value)).over(w), "_s": F.sum(present(value)).over(w)})

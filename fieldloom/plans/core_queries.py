@@ -82,7 +82,7 @@ FROM latent GROUP BY sample, i, j"""
 
 
 def _stacked(spark, sf):
-    return ch.stack_channels(v.latent(spark, sf), ["sample", "i", "j"], channel="c", value="y")
+    return ch.stack_fields(v.latent_fields(spark, sf), ["sample"], channel="c", band=8)
 
 
 @query("c03_stack_channels", STACK_SQL)
@@ -95,6 +95,17 @@ def c03(spark, sf):
     )
 
 
+@query("c03_stack_cells", STACK_SQL)
+def c03_cells(spark, sf):
+    stacked = ch.stack_channels(v.latent(spark, sf), ["sample", "i", "j"], channel="c", value="y")
+    micro = F.transform("values", lambda y: F.round(y * 1e6).cast("long").cast("string"))
+    return stacked.select(
+        "sample", "i", "j",
+        F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"),
+        F.array_join(micro, ",").alias("micro"),
+    )
+
+
 @query(
     "c04_unstack_channels",
     f"""{with_views("latent")}, {CHANNEL_DIM}

@@ -459,6 +459,18 @@ def t08(spark, sf):
     return out.select(stamp("ts").alias("ts"), "channel", r6("accumulated").alias("accumulated"))
 
 
+@query(
+    "t08_accumulate_fields_gaps",
+    f"""{HOURS}, a AS (SELECT ts, channel, count(value) OVER w AS n, sum(value) OVER w AS s FROM g
+  WINDOW w AS (PARTITION BY channel ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
+SELECT {qstamp("ts")} AS ts, channel, {q6("CASE WHEN n = 2 THEN s END")} AS accumulated FROM a""",
+)
+def t08_fields(spark, sf):
+    fields = _hours(spark, sf).select("ts", "channel", F.array("value").alias("values"))
+    out = tx.accumulate_fields(fields, 2, ["channel"], chunk_hours=48)
+    return out.select(stamp("ts").alias("ts"), "channel", r6(F.col("accumulated")[0]).alias("accumulated"))
+
+
 @query(
     "w04_windowed_error_stream_gaps",
     f"""WITH p AS (SELECT ts, event_type, CASE WHEN event_id % 17 = 0 OR event_id % 23 = 0 THEN NULL ELSE value END AS value, round_even(value, 0) AS recon FROM events),

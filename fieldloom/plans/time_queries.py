@@ -144,6 +144,23 @@ def t08(spark, sf):
     )
 
 
+@query(
+    "t08_accumulate_fields",
+    f"""{with_views("hourly")},
+a AS (SELECT ts, channel, value, count(value) OVER w AS n, sum(value) OVER w AS s FROM hourly
+  WINDOW w AS (PARTITION BY channel ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW))
+SELECT {qstamp("ts")} AS ts, channel, {q6("value")} AS value, {q6("CASE WHEN n = 6 THEN s END")} AS accumulated,
+ {q6("CASE WHEN n = 6 THEN 2 * s END")} AS twice FROM a""",
+)
+def t08_fields(spark, sf):
+    fields = v.hourly(spark, sf).select("ts", "channel", F.array("value", F.col("value") * 2).alias("values"))
+    out = tx.accumulate_fields(fields, 6, ["channel"], chunk_hours=48)
+    return out.select(
+        stamp("ts").alias("ts"), "channel", r6(F.col("values")[0]).alias("value"),
+        r6(F.col("accumulated")[0]).alias("accumulated"), r6(F.col("accumulated")[1]).alias("twice"),
+    )
+
+
 @query(
     "t09_every_kth_step",
     f"""{with_views("hourly")},

@@ -11,6 +11,7 @@ PYTHON = {
     "e13_pmf_to_cdf", "s04_decode_npy", "e11_channel_gains",
     "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur", "n06_minmax_quantize", "n07_minmax_dequantize",
     "g05_downsample_avg_gaps", "g07_regrid_bilinear_gaps", "g08_gaussian_blur_gaps", "n06_minmax_quantize_gaps",
+    "c03_stack_channels", "c04_unstack_channels", "t08_accumulate_fields", "t08_accumulate_fields_gaps",
     "t06_climatology_lookup", "t07_daily_climatology", "m03_weighted_rmse", "m04_anomaly_correlation", "m05_bias_activity",
     "m03_weighted_rmse_fields_gaps", "m04_anomaly_correlation_fields_gaps", "m05_bias_activity_fields_gaps",
 }
@@ -76,6 +77,11 @@ def test_fields_are_shuffled_whole(spark, sf, name):
     assert not [x for x in text.splitlines() if "Exchange hashpartitioning" in x and (" i#" in x or "(i#" in x)]
 
 
+def test_stacking_shuffles_bands(spark, sf):
+    exchanges = [x for x in plan(QUERIES["c03_stack_channels"](spark, sf)).splitlines() if "Exchange" in x]
+    assert len(exchanges) == 1 and "sample#" in exchanges[0] and "_first#" in exchanges[0]
+
+
 def test_contexts_shuffle_summaries_only(spark, sf):
     text = plan(QUERIES["e05_spatial_context"](spark, sf))
     assert not [x for x in outside_cache(text) if "Exchange hashpartitioning(sample" in x]

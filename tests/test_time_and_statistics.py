@@ -168,6 +168,48 @@ def test_scan_over_many_levels(spark, monkeypatch):
     assert st.ema(df.limit(0), 0.99).count() == 0 and st.cumulative_mse(df.limit(0), "seq", "value").count() == 0
 
 
+def test_accumulated_fields(spark):
+    """Chunks, halos, missing hours, fields and cells, against adding up each window."""
+    rng = np.random.default_rng(8)
+    start = datetime(2020, 1, 1)
+    series = {}
+    for key in ("a", None):
+        for h in range(60):
+            if h % 13 != 5:
+                cells = [None if rng.random() < 0.05 else float("nan") if rng.random() < 0.05 else float(x) for x in rng.normal(size=3)]
+                series[key, h] = None if h % 17 == 9 else cells
+    rows = [(k, start + dt.timedelta(hours=h), x) for (k, h), x in series.items()]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, values array<double>").repartition(4)
+    for chunk in (4, 7, 720):
+        got = {(r["key"], r["ts"]): r["accumulated"] for r in tx.accumulate_fields(df, 4, ["key"], chunk_hours=chunk).collect()}
+        assert len(got) == len(rows)
+        for key, ts, _ in rows:
+            h = int((ts - start).total_seconds() // 3600)
+            window = [series.get((key, h - d)) for d in range(4)]
+            if any(x is None for x in window):
+                assert got[key, ts] is None
+                continue
+            for cells, total in zip(zip(*window), got[key, ts]):
+                bad = any(x is None or x != x for x in cells)
+                assert total is None if bad else total == pytest.approx(sum(cells), abs=1e-12)
+
+
+def test_stacked_fields(spark):
+    rows = [(s, c, 2, 3, [float(100 * s + 10 * c + k) if k != s else None for k in range(6)]) for s in range(3) for c in (5, 1, 9) if (s, c) != (2, 9)]
+    df = spark.createDataFrame(rows, "sample int, channel_idx int, h int, w int, values array<double>").repartition(3)
+    for band in (1, 4, 1 << 14):
+        got = {(r["sample"], r["i"], r["j"]): (r["channels"], r["values"]) for r in ch.stack_fields(df, ["sample"], band=band).collect()}
+        assert len(got) == 18
+        for (s, i, j), (channels, values) in got.items():
+            assert channels == ([1, 5] if s == 2 else [1, 5, 9])
+            assert values == [None if 3 * i + j == s else 100.0 * s + 10 * c + 3 * i + j for c in channels]
+    with pytest.raises(Exception, match="repeated"):
+        ch.stack_fields(df.union(df.limit(1)), ["sample"]).collect()
+    cells = spark.createDataFrame([(0, 1, 2.0), (0, 1, 3.0)], "k int, channel_idx int, value double")
+    with pytest.raises(Exception, match="repeated"):
+        ch.stack_channels(cells, ["k"]).collect()
+
+
 def test_field_means_in_parts(spark, monkeypatch):
     """Many keys, few held at a time, missing cells, NULL fields."""
     monkeypatch.setattr(packed, "HELD", 2)
