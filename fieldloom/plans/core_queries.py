@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import channels as ch
 from ..operators import quantise as qz
 from ..operators import statistics as st
 from ..operators.layout import cells_to_field, field_to_cells
+from ..session import shared_dir
 from ..sizing import reused
+from ..sources.fieldstore import write_colocated
 from . import views as v
 from .registry import q6, qstamp, query, r6, stamp
 from .views import with_views
 
+#: Of the co-located store.
+STORE_BUCKETS = 16
+
 PAIRS_SQL = """SELECT sample, c, i, j, y FROM latent"""
 
 
@@ -172,6 +179,24 @@ def c07(spark, sf):
     )
 
 
+@query(
+    "c07_field_diff_colocated",
+    f"""{with_views("latent", "recon")}
+SELECT sample, c, i, j, {q6("orig")} AS orig, {q6("recon")} AS recon, {q6("abs(orig - recon)")} AS abs_diff FROM recon""",
+)
+def c07_colocated(spark, sf):
+    base, keys = shared_dir(spark, "store"), ["sample", "c"]
+    name = "fields_" + uuid.uuid4().hex
+    sides = [
+        write_colocated(fields, f"{name}_{side}", f"{base}/{side}", keys, STORE_BUCKETS)
+        for side, fields in (("orig", v.latent_fields(spark, sf)), ("recon", v.recon_fields(spark, sf)))
+    ]
+    out = ch.field_diff(*sides, keys, range(4), "c")
+    return out.select(
+        "sample", "c", "i", "j", r6("orig").alias("orig"), r6("recon").alias("recon"), r6("abs_diff").alias("abs_diff")
+    )
+
+
 def _units(spark, sf):
     return v.table(spark, sf, "events").select(
         F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("unit")

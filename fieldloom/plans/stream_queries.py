@@ -10,6 +10,7 @@ from ..operators import statistics as st
 from ..sizing import reused
 from ..streaming import scores as ss
 from ..streaming import units as un
+from ..session import shared_dir
 from . import views as v
 from .registry import q6, qstamp, query, r6, stamp
 
@@ -68,6 +69,17 @@ def w03(spark, sf):
     return out.select("event_type", "n", r6("mean").alias("mean"), r6("std").alias("std"), "n_null")
 
 
+@query(
+    "w03_stored_stats",
+    f"""SELECT event_type, count(*) AS n, {q6("avg(value)")} AS mean, {q6("stddev_pop(value)")} AS std, CAST(0 AS BIGINT) AS n_null FROM events GROUP BY 1""",
+)
+def w03_stored(spark, sf):
+    base = shared_dir(spark, "stats")
+    writer = ss.keep_partial_stats(event_stream(spark, sf), f"{base}/parts", f"{base}/progress", ["event_type"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return ss.stored_stats(spark, f"{base}/parts", ["event_type"]).select("event_type", "n", r6("mean").alias("mean"), r6("std").alias("std"), "n_null")
+
+
 @query(
     "w04_windowed_error_stream",
     f"""WITH p AS (SELECT ts, event_type, value, round_even(value, 0) AS recon FROM events),

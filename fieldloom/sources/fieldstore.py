@@ -1,4 +1,4 @@
-"""Packed fields on disk, partitioned by year and channel, and statistics documents."""
+"""Packed fields on disk, partitioned by year and channel or co-located by key, and statistics documents."""
 
 from __future__ import annotations
 
@@ -40,6 +40,28 @@ def read_fields(spark: SparkSession, path: str, first: str | None = None, last:
     return df
 
 
+def write_colocated(fields: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write packed fields as the bucketed table ``table`` at ``path`` and return it.
+
+    Rows are dealt out once, by ``keys``, so a bucket is one file.  Tables with the same keys and number
+    of buckets join on them without a shuffle: originals, reconstructions and truths that are
+    scored again and again are moved only when they are written.
+    """
+    keys = list(keys)
+    rows = fields.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    return fields.sparkSession.table(table)
+
+
+def open_colocated(spark: SparkSession, table: str, path: str, schema: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Name what :func:`write_colocated` left at ``path`` in a session that does not know it yet."""
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS `{table}` ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
 STATS_DOC = "mean map<string,string>, std map<string,string>, count bigint"
 
 

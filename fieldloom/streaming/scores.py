@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.numeric import present
-from ..operators.statistics import channel_stats, standardize
+from ..operators.statistics import channel_stats, merge_stats, standardize
 from ..session import shared_dir
 
 
@@ -23,6 +24,26 @@ def running_stats_stream(cells: DataFrame, keys: Sequence[str] = ("channel_idx",
     return channel_stats(cells, keys, value)
 
 
+def keep_partial_stats(cells: DataFrame, path: str, progress: str, keys: Sequence[str] = ("channel_idx",),
+                       value: str = "value") -> DataStreamWriter:
+    """W03 as a store of increments: every batch leaves its own N01 rows under ``path``.
+
+    A batch that runs again after a failure replaces what it left before, as its folder carries its
+    number; so nothing is lost or counted twice, and no state is kept anywhere else.  Give the
+    returned writer a trigger and start it; :func:`stored_stats` merges what is there.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        channel_stats(batch, keys, value).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return cells.writeStream.option("checkpointLocation", progress).foreachBatch(keep)
+
+
+def stored_stats(spark: SparkSession, path: str, keys: Sequence[str] = ("channel_idx",)) -> DataFrame:
+    """The statistics over all batches that :func:`keep_partial_stats` has stored."""
+    return merge_stats(spark.read.parquet(path).drop("batch"), keys)
+
+
 def windowed_error_stream(pairs: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour",
                           keys: Sequence[str] = (), ts: str = "ts", orig: str = "orig",
                           recon: str = "recon") -> DataFrame:

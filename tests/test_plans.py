@@ -3,6 +3,8 @@
 import pytest
 
 from fieldloom.plans import load_queries
+from fieldloom.plans.views import latent_fields
+from fieldloom.sources.fieldstore import open_colocated, write_colocated
 
 QUERIES = load_queries()[0]
 
@@ -77,6 +79,25 @@ def test_fields_are_shuffled_whole(spark, sf, name):
     assert not [x for x in text.splitlines() if "Exchange hashpartitioning" in x and (" i#" in x or "(i#" in x)]
 
 
+def test_colocated_fields_join_without_a_shuffle(spark, sf, tmp_path):
+    """In the session that wrote the tables and in one that only knows their place."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["c07_field_diff_colocated"](spark, sf))
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        fields = latent_fields(spark, sf)
+        left = write_colocated(fields, "stored_a", str(tmp_path / "a"), ["sample", "c"], 4)
+        write_colocated(fields, "stored_b", str(tmp_path / "b"), ["sample", "c"], 4)
+        spark.sql("DROP TABLE stored_b")
+        schema = ", ".join(f"{n} {t}" for n, t in fields.dtypes)
+        right = open_colocated(spark, "stored_b", str(tmp_path / "b"), schema, ["sample", "c"], 4)
+        joined = left.join(right.withColumnRenamed("values", "other"), ["sample", "c"])
+        assert "Exchange" not in plan(joined) and joined.where("values = other").count() == fields.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stacking_shuffles_bands(spark, sf):
     exchanges = [x for x in plan(QUERIES["c03_stack_channels"](spark, sf)).splitlines() if "Exchange" in x]
     assert len(exchanges) == 1 and "sample#" in exchanges[0] and "_first#" in exchanges[0]

@@ -106,3 +106,33 @@ def test_sliding_windows(spark, tmp_path):
     feed.add([(T0 + 40 * HOUR, 0.0, 0.0)])
     out = ss.drain(ss.windowed_error_stream(feed.stream(), "4 hours", "2 hours"))
     assert out.where(F.col("mse") == 4.0).count() == 2
+
+
+def test_stored_stats_survive_a_restart(spark, tmp_path, monkeypatch):
+    """A batch that fails after it was stored, and one that fails before, are each counted once."""
+    feed = Feed(spark, str(tmp_path / "in"), "channel_idx int, value double")
+    values = [[(0, 1.0), (1, None), (0, float("nan"))], [(0, 4.0), (1, 2.0)], [(0, 10.0), (1, 6.0), (1, 6.5)]]
+    for rows in values:
+        feed.add(rows)
+    parts, progress = str(tmp_path / "parts"), str(tmp_path / "progress")
+    whole = ss.channel_stats
+    calls = []
+
+    def failing(batch, keys, value):
+        calls.append(len(calls))
+        out = whole(batch, keys, value)
+        if calls[-1] == 1:  # stored, but the batch is not finished
+            out.write.mode("overwrite").parquet(f"{parts}/batch=1")
+        if calls[-1] in (1, 2):
+            raise RuntimeError("lost")
+        return out
+
+    monkeypatch.setattr(ss, "channel_stats", failing)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            ss.keep_partial_stats(feed.stream(), parts, progress).trigger(availableNow=True).start().awaitTermination()
+    ss.keep_partial_stats(feed.stream(), parts, progress).trigger(availableNow=True).start().awaitTermination()
+    got = {r.channel_idx: (r.n, r.mean, r.std, r.n_null) for r in ss.stored_stats(spark, parts).collect()}
+    rows = spark.createDataFrame([r for part in values for r in part], feed.schema)
+    want = {r.channel_idx: (r.n, r.mean, r.std, r.n_null) for r in st.channel_stats(rows).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)

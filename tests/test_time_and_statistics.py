@@ -171,7 +171,7 @@ def test_scan_over_many_levels(spark, monkeypatch):
 def test_accumulated_fields(spark):
     """Chunks, halos, missing hours, fields and cells, against adding up each window."""
     rng = np.random.default_rng(8)
-    start = datetime(2020, 1, 1)
+    start = dt.datetime(2020, 1, 1)
     series = {}
     for key in ("a", None):
         for h in range(60):
