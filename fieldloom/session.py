@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where ``spark.checkpoint.dir`` is unset: a path on the default file system, which on a
-#: cluster is the shared one.
+#: Used by local sessions where ``spark.checkpoint.dir`` is unset.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
@@ -31,12 +31,20 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, set to the default only where it is unset."""
+    """The shared folder: ``spark.checkpoint.dir``, or the folder set on the context.
+
+    Only a local session may do without either: elsewhere a default path could be another
+    folder on every machine, so that is an error.
+    """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = DEFAULT_SHARED
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base or DEFAULT_SHARED)
-    return base or DEFAULT_SHARED
+        sc.setCheckpointDir(base)
+    return base
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
