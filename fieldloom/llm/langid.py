@@ -214,7 +214,8 @@ def held_out() -> Column:
 def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """Learn from the documents not held out that have a language, then predict all of them.
 
-    Returns ``doc_id``, ``held_out``, ``lang_pred``, ``score``, one row per input row.
+    Returns ``doc_id``, ``held_out``, ``lang_pred``, ``score``, one row per input row; an empty table
+    gives an empty result.
     """
     model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()), rows_per_language)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -46,7 +46,8 @@ def assign_shards(docs: DataFrame, shards: Sequence[str], key: str = "doc_id", s
     """``docs`` with ``slot`` and ``shard`` (a name) in place of any columns of these names.
 
     The slot is the hash of ``key`` as a long, modulo ``slots``; rows with a NULL key share one slot, as
-    do rows that repeat a key.  The order of rows does not matter.  Every row is kept.
+    do rows that repeat a key.  The order of rows does not matter.  Every row is kept; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     names = pa.array(shards).take(pa.array(fill_table(shards, slots)))

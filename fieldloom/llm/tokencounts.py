@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Pre-tokens are words ``[^\\x20\\x09-\\x0D]+`` with a mark in front.  ``vocabulary`` is the path of
     a sentencepiece file on the executors.  NULL, empty and blank texts have no tokens;
-    repeated rows each get theirs.  Texts are counted whole.
+    repeated rows each get theirs.  Texts are counted whole.  An empty table gives an empty result.
     """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
 

@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from ``labels`` (``doc_id``, ``toxic``), then score every document.
 
     Returns ``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from a score of 0.5 on), one row
-    per input row, repeated ones and those without an id included.
+    per input row, repeated ones and those without an id included.  An empty table gives an empty result.
     """
     model = learn(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -150,6 +150,49 @@ def test_gradients():
             assert (up - down) / 2e-2 == pytest.approx(float(grads[name][at]), abs=2e-4), name
 
 
+def plain_score(model, text):
+    """The score spelled out: windows of 32 words every 24, one word, gate and state at a time."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    words = re.findall(r"[^\W_]+", text.lower()) if text else []
+    vectors = []
+    for w in words:
+        raw = b"\x02" + w.encode() + b"\x03"
+        grams = [((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 2654435761 % 2**32) >> 20 for k in range(len(raw) - 2)]
+        vectors.append(np.concatenate([p["word"][model.vocabulary.get(w, 0)], sum(p["char"][g] for g in grams) / len(grams)]))
+    h, best = p["h_f"].shape[0], -np.inf
+    starts = [0]
+    while starts[-1] + 32 < len(words):
+        starts.append(starts[-1] + 24)
+    for start in starts:
+        window = vectors[start : start + 32]
+        if not window:
+            return None
+        states = {"f": [], "b": []}
+        for side, order in (("f", window), ("b", window[::-1])):
+            s = np.zeros(h)
+            for x in order:
+                a, b = x @ p[f"x_{side}"] + p[f"x_bias_{side}"], s @ p[f"h_{side}"] + p[f"h_bias_{side}"]
+                r, z = (1 / (1 + np.exp(-(a[k : k + h] + b[k : k + h]))) for k in (0, h))
+                new = np.tanh(a[2 * h :] + r * b[2 * h :])
+                s = (1 - z) * new + z * s
+                states[side].append(s)
+        both = [np.concatenate(pair) for pair in zip(states["f"], states["b"][::-1])]
+        weights = np.array([np.exp(np.tanh(s @ p["attend"] + p["attend_bias"]) @ p["attend_out"]) for s in both])
+        pooled = sum(w * s for w, s in zip(weights / weights.sum(), both))
+        best = max(best, float(pooled @ p["out"] + p["out_bias"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_match_plain_loops(texts):
+    """A trained network's scores of whole documents against one word at a time."""
+    rng = np.random.default_rng(12)
+    plain = [f"p{k}é" for k in range(200)]
+    said = [" ".join([*rng.choice(plain, 40), *(["dolt"] if k % 2 else [])]) for k in range(120)]
+    model = train(said, np.arange(120) % 2)
+    some = [t for t in [*texts.values()][:12] + said[:4] + ["one word", "DOLT", " ".join(plain)] if words_in(t)]
+    assert score_texts(model, some) == pytest.approx([plain_score(model, t) for t in some], abs=2e-4)
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         starts = window_starts(n)
