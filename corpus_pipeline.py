@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns
 the columns of ``docs``; the last returns packed pieces.  Documents are told apart by their
-``doc_id`` and text, so repeated ids do no harm.
+``doc_id`` and text, so repeated ids do no harm.  Every stage gives an empty result for an empty
+table.  Of repeated rows, near_dedup keeps one; the other stages treat each like any row.
 """
 
 from __future__ import annotations
