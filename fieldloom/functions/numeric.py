@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,22 @@ def _erfc(x: Column, a: Column, sq: Column, inv: Column) -> Column:
     return F.when(a <= 0.46875, small).otherwise(outer)
 
 
+def erfc_array(x: np.ndarray) -> np.ndarray:
+    """:func:`with_erfc` for arrays; NaN stays NaN."""
+    ratio = lambda v, num, den: reduce(lambda acc, c: acc * v + c, num[:-1], num[-1]) / reduce(lambda acc, c: acc * v + c, den, 1.0)
+    a = np.abs(x)
+    out = np.empty_like(x)
+    small, far = a <= 0.46875, a > 4.0
+    middle = ~(small | far)
+    out[small] = 1.0 - x[small] * ratio(x[small] * x[small], ERF_SMALL_NUM, ERF_SMALL_DEN)
+    v = a[middle]
+    out[middle] = np.exp(-v * v) * ratio(v, ERFC_MID_NUM, ERFC_MID_DEN)
+    v = a[far]
+    inv = 1.0 / (v * v)
+    out[far] = np.exp(-v * v) * (1.0 / math.sqrt(math.pi) - inv * ratio(inv, ERFC_TAIL_NUM, ERFC_TAIL_DEN)) / v
+    return np.where((x < 0) & ~small, 2.0 - out, out)
+
+
 def present(x: Column | str) -> Column:
     """The value, or NULL where it is NaN: missing cells are NULL from here on."""
     x = F.col(x) if isinstance(x, str) else x

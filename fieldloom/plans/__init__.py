@@ -14,6 +14,7 @@ MODULES = (
     "source_queries",
     "stream_queries",
     "gap_queries",
+    "kernel_queries",
 )
 
 

@@ -15,6 +15,10 @@ PYTHON = {
     "g05_downsample_avg_gaps", "g07_regrid_bilinear_gaps", "g08_gaussian_blur_gaps", "n06_minmax_quantize_gaps",
     "c03_stack_channels", "c04_unstack_channels", "t08_accumulate_fields", "t08_accumulate_fields_gaps",
     "t06_climatology_lookup", "t07_daily_climatology", "m03_weighted_rmse", "m04_anomaly_correlation", "m05_bias_activity",
+    "n01_field_stats", "n01_field_stats_gaps", "n04_standardize_fields", "n04_standardize_fields_unknown",
+    "n05_destandardize_fields", "q01_quantize_dequantize_fields", "q02_quantize_symbols_fields", "q03_dequantize_fields",
+    "q05_scale_index_fields", "q05_scale_index_fields_gaps", "e14_likelihood_fields", "e14_likelihood_fields_gaps",
+    "e15_bits_from_fields", "e15_bits_from_fields_gaps",
     "m03_weighted_rmse_fields_gaps", "m04_anomaly_correlation_fields_gaps", "m05_bias_activity_fields_gaps",
 }
 STREAMS = {n for n in QUERIES if n.startswith("w0")}
@@ -40,6 +44,8 @@ NARROW = [
     "n04_standardize", "n05_destandardize", "n06_minmax_quantize", "n07_minmax_dequantize", "q01_quantize_dequantize",
     "q04_quantize_noise", "q05_scale_index", "s01_field_manifest", "s06_container_catalog", "s07_container_pack",
     "s13_tuplet_expand", "s14_video_name_metadata", "e14_gaussian_likelihood",
+    "n04_standardize_fields", "n05_destandardize_fields", "q01_quantize_dequantize_fields", "q05_scale_index_fields",
+    "e14_likelihood_fields",
 ]
 
 
