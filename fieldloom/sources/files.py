@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import os
 import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .npy import npy_values
+
 
 def decode_npy(files: DataFrame, channels: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Per-channel ``.npy`` contents as packed fields at their channel's index.
@@ -19,22 +22,11 @@ def decode_npy(files: DataFrame, channels: DataFrame, shape: tuple[int, int]) ->
     ``files`` has (path, content), ``channels`` (channel_idx, variable, level).  Paths follow the
     ``arrays`` layout of the field manifest, with any character between hours, minutes and
     seconds.  One file is one row in and one packed row out; a file whose shape differs
-    from ``shape`` is an error, never resized.  A channel that ``channels`` lacks has a NULL
+    from ``shape`` is an error, never resized (see :func:`npy_values`).  A channel that ``channels`` lacks has a NULL
     index.
     """
     h, w = shape
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fields = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                if a.shape != (h, w):
-                    raise ValueError(f"{name}: shape {a.shape}, expected {(h, w)}")
-                fields.append(a.astype(np.float64).ravel())
-            yield pd.DataFrame({"path": pdf["path"], "values": fields})
-
-    decoded = files.select("path", "content").mapInPandas(decode, "path string, values array<double>")
+    decoded = npy_values(files.select("path", "content"), shape)
     name = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2}/[^/]+)\.npy$", 1)
     stamp = F.regexp_replace(F.substring(name, 1, 19), r"^(.{10}).(..).(..).(..)$", "$1 $2:$3:$4")
     level = F.regexp_extract(name, r"-([0-9.]+)$", 1)
@@ -83,19 +75,64 @@ def filter_listing(files: DataFrame, suffixes: Sequence[str] = (), recursive: bo
     return files.where(keep).orderBy(path)
 
 
+#: What a task says of the entries of a folder.
+ENTRY = "path string, size long, folder boolean"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of every folder of a batch, by Arrow's file systems."""
+    kinds = [pa.string(), pa.int64(), pa.bool_()]
+    names = ["path", "size", "folder"]
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, folder = pafs.LocalFileSystem(), path
+            if "://" in path:
+                head, tail = re.match(r"([^:]+://[^/]*)(.*)", path, re.S).groups()
+                system, folder = pafs.FileSystem.from_uri(head + quote(tail))
+            prefix = path[: len(path) - len(folder)] if path.endswith(folder) else ""
+            found = system.get_file_info(pafs.FileSelector(folder, recursive=False))
+            rows = [(prefix + x.path, x.size, x.type == pafs.FileType.Directory) for x in found if x.type != pafs.FileType.NotFound]
+            columns = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def walk_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """All files under a folder as (path, size), whatever their names; paths as the file system has them.
+
+    Tasks list folders side by side, one level after the other: a job per level of depth, a
+    checkpointed row per entry, nothing but the folders' number on the driver.  Works for the file
+    systems that Arrow knows (local, hdfs, s3, gs).  Links to folders are followed.
+    """
+    width = spark.sparkContext.defaultParallelism
+    root = re.sub(r"^file:(//[^/]*)?", "", root)
+    root = root if "://" in root else os.path.abspath(root)
+    folders = spark.range(1).select(F.lit(root.rstrip("/") or "/").alias("path"))
+    files = None
+    while True:
+        level = checkpointed(folders.repartition(width, "path").mapInArrow(_entries, ENTRY))
+        found = level.where("NOT folder").select("path", "size")
+        files = found if files is None else files.unionAll(found)
+        folders = level.where("folder").select("path")
+        if not recursive or folders.isEmpty():
+            return files
+
+
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str] = (), recursive: bool = False,
-               case_sensitive: bool = True) -> DataFrame:
-    """List a folder as (path, size), paths relative to it.
+               case_sensitive: bool = True, through: str = "tasks") -> DataFrame:
+    """List a folder as (path, size), sorted, paths relative to it.
 
-    Only path and length are selected, so file contents are not read.  Spark itself
-    skips names that begin with ``_``.
+    Files whose own names begin with a dot are left out, folders of that kind are entered.  ``through``
+    is ``tasks`` (:func:`walk_files`), or ``spark`` for file systems that only Spark's readers can
+    open; those skip names that begin with ``_`` and folders that begin with a dot as well.  No file
+    is opened either way.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true" if recursive else "false")
-        .load(root)
-        .select("path", F.col("length").alias("size"))
-    )
+    if through == "tasks":
+        files = walk_files(spark, root, recursive)
+    elif through == "spark":
+        source = spark.read.format("binaryFile").option("recursiveFileLookup", "true" if recursive else "false")
+        files = source.load(root).select("path", F.col("length").alias("size"))
+    else:
+        raise ValueError("through must be 'tasks' or 'spark'")
     return filter_listing(files.withColumn("path", relative_path(F.col("path"), root)), suffixes, recursive, case_sensitive)
 
 

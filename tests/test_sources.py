@@ -1,4 +1,5 @@
 import datetime as dt
+import io
 import json
 import struct
 
@@ -12,6 +13,7 @@ from fieldloom.sources import fieldstore as fs
 from fieldloom.sources import files as fl
 from fieldloom.sources import manifests as mf
 from fieldloom.sources import media as md
+from fieldloom.sources import npy
 from fieldloom.sources import results as rs
 
 T0 = dt.datetime(2024, 3, 5, 6)
@@ -98,11 +100,69 @@ def test_list_files(spark, tmp_path):
     assert names() == ["a.TXT", "b.txt", "c.bin"]
     assert names([".txt"], recursive=True) == ["b.txt", "sub/d.txt"]
     assert names([".txt", ".bin"], recursive=True, case_sensitive=False) == ["a.TXT", "b.txt", "c.bin", "sub/d.txt", "sub/e.Bin"]
-    df = fl.list_files(spark, str(tmp_path))
+    df = fl.list_files(spark, str(tmp_path), through="spark")
     assert df.first().size == 5
     assert "content" not in df._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
 
 
+def test_listings_have_every_name(spark, tmp_path):
+    kept = ["_a.txt", "_deep/_b.txt", "plain c.txt", "x/y/z/_SUCCESS", "x/y/100%.txt", ".dot/in.txt", "a b%20/c.txt"]
+    for name in [*kept, ".hidden", "x/.h.txt"]:
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True, parents=True)
+        p.write_bytes(b"1" * len(name))
+    (tmp_path / "empty").mkdir()
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}", f"{tmp_path}/"):
+        got = [(r.path, r.size) for r in fl.list_files(spark, root, recursive=True).collect()]
+        assert got == sorted((n, len(n)) for n in kept)
+    assert [r.path for r in fl.list_files(spark, str(tmp_path), [".txt"]).collect()] == ["_a.txt", "plain c.txt"]
+    assert fl.list_files(spark, str(tmp_path / "empty"), recursive=True).count() == 0
+    with pytest.raises(ValueError):
+        fl.list_files(spark, str(tmp_path), through="other")
+
+
+def _npy(a, version=None):
+    out = io.BytesIO()
+    np.lib.format.write_array(out, a, version=version, allow_pickle=False)
+    return out.getvalue()
+
+
+NPY_SHAPE = (5, 3)
+
+
+@pytest.mark.parametrize("version", [(1, 0), (2, 0), (3, 0)])
+def test_npy_values_of_all_types(spark, version):
+    rng = np.random.default_rng(1)
+    whole = rng.integers(0, 100, NPY_SHAPE)
+    arrays = {d: whole.astype(d) for d in ("<f2", "<f4", ">f4", "<f8", ">f8", "|i1", "|u1", "<i2", ">i4", "<u4", "<i8", "|b1")}
+    arrays["by column"] = np.asfortranarray(rng.normal(size=NPY_SHAPE))
+    arrays["with gaps"] = np.where(whole > 50, np.nan, whole)
+    files = spark.createDataFrame([(k, _npy(a, version)) for k, a in arrays.items()], "path string, content binary")
+    got = {r.path: r["values"] for r in npy.npy_values(files, NPY_SHAPE).collect()}
+    assert set(got) == set(arrays)
+    for k, a in arrays.items():
+        np.testing.assert_array_equal(np.array(got[k]), a.astype(float).ravel())
+
+
+@pytest.mark.parametrize("content, reason", [
+    (b"", "no .npy header"), (b"\x93NUMPY\x09\x00" + bytes(20), "no .npy header"), (b"\x93NUMPY\x01\x00\xff\xff{", "no .npy header"),
+    (_npy(np.zeros((3, 5))), r"shape \(3, 5\), expected \(5, 3\)"), (_npy(np.zeros(15)), r"shape \(15\)"),
+    (_npy(np.zeros(NPY_SHAPE, complex)), "cells of type <c16"), (_npy(np.zeros(NPY_SHAPE))[:-1], "do not fill"), (_npy(np.zeros(NPY_SHAPE)) + b"0", "do not fill"),
+])
+def test_wrong_npy_files_are_named(spark, content, reason):
+    files = spark.createDataFrame([("some/file.npy", content)], "path string, content binary")
+    with pytest.raises(Exception, match="some/file.npy: .*" + reason):
+        npy.npy_values(files, NPY_SHAPE).collect()
+    assert npy.npy_values(files, NPY_SHAPE).select("path").count() == 1
+
+
+def test_npy_headers(spark):
+    rows = [("a", _npy(np.zeros((2, 7), "<f4"))), ("b", b"text"), ("c", None)]
+    got = {r.path: r for r in npy.npy_header(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert (got["a"].descr, got["a"].fortran, got["a"].shape) == ("<f4", False, [2, 7])
+    assert all(got[k][c] is None for k in "bc" for c in ("descr", "fortran", "shape", "body_at"))
+
+
 def test_request_manifest_drops_impossible_dates(spark):
     years = spark.createDataFrame([(2023,), (2024,)], "year int")
     rows = mf.request_manifest(years, [2, 4], [28, 29, 30, 31], [0], ["t"], [500]).collect()
