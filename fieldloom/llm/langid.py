@@ -22,6 +22,8 @@ from .samples import lowest_hashes
 
 #: Labelled documents that each language is learned from, at most.
 ROWS_PER_LANGUAGE = 300
+#: Bytes of a document that is learned from, at most.
+BYTES_PER_ROW = 1 << 16
 ORDER = 3
 #: Bytes scored in one go.
 CHUNK = 4 << 20
@@ -134,6 +136,19 @@ class Model:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits per text and language; no text may be empty."""
         keys, starts = keys_of(texts)
+        return np.add.reduceat(self.byte_costs(keys), starts, axis=0)
+
+    def code_length(self, text: bytes, step: int = CHUNK) -> np.ndarray:
+        """Bits of one text per language, ``step`` bytes at a time with the bytes before them as context."""
+        total = np.zeros(len(self.languages))
+        for at in range(0, len(text), step):
+            before = min(at, ORDER)
+            keys, _ = keys_of([text[at - before : at + step]])
+            total += self.byte_costs(keys[before:]).sum(axis=0)
+        return total
+
+    def byte_costs(self, keys: np.ndarray) -> np.ndarray:
+        """Bits per byte and language."""
         rows = self.rows(keys)
         new = rows < 0
         costs = self.costs
@@ -141,17 +156,19 @@ class Model:
             unseen, back = np.unique(keys[new], return_inverse=True)
             rows[new] = len(costs) + back
             costs = np.concatenate([costs, self.bits(unseen)])
-        return np.add.reduceat(costs[rows], starts, axis=0)
+        return costs[rows]
 
 
-def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
+def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bytes_per_row: int = BYTES_PER_ROW) -> Model | None:
     """Learn a model from ``lang`` and ``text``; None if there is no labelled text.
 
-    At most ``rows_per_language`` documents of each language count: those whose ``doc_id`` and
-    text hash lowest, each as a whole.  Four-byte counts are summed on the executors.
+    At most ``rows_per_language`` documents of each language count, each as a whole: of those of at
+    most ``bytes_per_row`` bytes the ones whose ``doc_id`` and text hash lowest.  So the
+    counts that reach the driver are bounded.  A language that has longer documents only is
+    not learned.  Four-byte counts are summed on the executors.
     """
     rows = labelled.select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").where(F.octet_length("text") <= bytes_per_row)
     rows = lowest_hashes(rows, "lang", rows_per_language, ["doc_id", "text"]).select("lang", "text")
 
     def count(batches):
@@ -189,11 +206,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             at = 0
             while at < len(rows):
                 part, size = [], 0
-                while at < len(rows) and (not part or size < CHUNK):
-                    part.append((rows[at], texts[rows[at]].encode()))
-                    size += len(part[-1][1])
+                while at < len(rows) and size < CHUNK:
+                    text = texts[rows[at]].encode()
+                    if part and len(text) > CHUNK:
+                        break
+                    part.append((rows[at], text))
+                    size += len(text)
                     at += 1
-                bits = model.code_lengths([t for _, t in part])
+                if size > CHUNK and len(part) == 1:  # a very long text by itself, in pieces
+                    bits = model.code_length(part[0][1])[None]
+                else:
+                    bits = model.code_lengths([t for _, t in part])
                 best = bits.argmin(axis=1)
                 where = [i for i, _ in part]
                 lang[where] = np.array(model.languages, object)[best]

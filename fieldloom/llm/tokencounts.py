@@ -22,6 +22,8 @@ from .batches import once_per_worker, words_of
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: Characters of a pre-token that is remembered, at most.
+LONGEST = 64
 #: Texts whose new pre-tokens are walked together.
 TOGETHER = 512
 #: Unit of the scores: whole numbers, so that sums and ties are exact.
@@ -85,7 +87,11 @@ class Counter:
             self.known.clear()
             new = set().union(*texts)
         self.learn(new)
-        return [sum(map(self.known.__getitem__, words)) for words in texts]
+        counts = [sum(map(self.known.__getitem__, words)) for words in texts]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return counts
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

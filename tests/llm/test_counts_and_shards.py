@@ -43,6 +43,13 @@ def test_prefixes_are_worked_out_once():
     assert counter.nodes == 5  # a, ab, abb, abc and é
 
 
+def test_long_words_are_counted_and_forgotten():
+    counter = Counter({"a": 1, "b": 1}, 9)
+    texts = [["a" * 64, "b" * 65, "ab" * 500], ["b" * 65]]
+    assert counter.count(texts) == [1129, 65] and counter.count(texts) == [1129, 65]
+    assert set(counter.known) == {"a" * 64}
+
+
 def test_counts_of_edges(edges, nothing):
     rows = count_tokens(edges).collect()
     assert len(rows) == len(EDGES)

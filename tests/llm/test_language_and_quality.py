@@ -58,6 +58,32 @@ def test_code_lengths_match_the_tree():
         assert row.tolist() == pytest.approx([t.bits(text.encode()) for t in trees])
 
 
+def test_long_texts_in_pieces_cost_the_same(spark, monkeypatch):
+    import fieldloom.llm.langid as langid
+
+    model = Model(["de", "en"], [contexts([b"Das ist ein Haus und ein Baum"]), contexts([b"the house is on the street"])])
+    text = ("Das Haus is on the Straße, 漢字 " * 9).encode()
+    whole = model.code_lengths([text])[0].tolist()
+    for step in (1, 2, 3, 4, 50, len(text), 10**6):
+        assert model.code_length(text, step).tolist() == pytest.approx(whole)
+    rows = [(0, "Das ist"), (1, "das Haus " * 40), (2, "the street"), (3, None), (4, "on the house " * 30), (5, "a" * 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {tuple(r)[:2] for r in predict(docs, model).collect()}
+    monkeypatch.setattr(langid, "CHUNK", 20)
+    got = {tuple(r)[:2] for r in predict(docs, model).collect()}
+    assert got == want and len(got) == len(rows)
+
+
+def test_long_documents_are_not_learned_from(spark):
+    from fieldloom.llm.langid import learn
+
+    rows = [(1, "das Haus", "de"), (2, "the house " * 50, "en"), (3, "la casa", "es")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn(labelled, bytes_per_row=100).languages == ["de", "es"]
+    assert learn(labelled).languages == ["de", "en", "es"]
+    assert learn(labelled, bytes_per_row=1) is None
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
