@@ -120,6 +120,7 @@ def video_name_metadata(files: DataFrame, name: str = "name") -> DataFrame:
     """
     n = F.col(name)
     formats = "|".join(VIDEO_FORMATS)
+    # The patterns of the naming convention, here and below.
     fmt = rf"({formats})(?:[p_]?(\d+)(LE|BE))?"
     lower = F.create_map(*[F.lit(x) for k, v in VIDEO_FORMATS.items() if k == k.lower() for x in (k, v)])
     raw_format = _found(n, fmt, 1)
