@@ -16,6 +16,9 @@ from .bands import BAND
 from .layout import div, positions
 from .packed import groups_of
 
+#: Values of bands that are transposed together; a larger band is transposed alone.
+TOGETHER = 1 << 20
+
 # The pressure axis in hPa, from the ground up.
 PRESSURE_LEVELS = (
     1000.0, 975.0, 950.0, 925.0, 900.0, 875.0, 850.0, 825.0, 800.0, 775.0, 750.0, 700.0, 650.0,
@@ -136,31 +139,48 @@ def stack_fields(fields: DataFrame, keys: Sequence[str], channel: str = "channel
     )
     names = schema.names
 
+    def shape(table: pa.Table) -> tuple[int, int, int, int]:
+        """Channels, cells, width and first cell of one band."""
+        sizes = table.column("_part").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        if len(set(table.column(channel).to_pylist())) < table.num_rows:
+            raise ValueError("a channel is repeated")
+        if (sizes != sizes[0]).any() or len(set(table.column("w").to_pylist())) > 1:
+            raise ValueError("fields of one sample differ in size")
+        return table.num_rows, int(sizes[0]), table.column("w")[0].as_py(), table.column("_first")[0].as_py()
+
+    def turned(held: list[pa.Table], shapes: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        table = pa.concat_tables(held).combine_chunks()
+        n, cells, w, first = (np.array(x, np.int64) for x in zip(*shapes))
+        row, start = np.cumsum(n) - n, np.cumsum(n * cells) - n * cells
+        by_cell = np.concatenate([s + np.arange(a * b).reshape(a, b).T.ravel() for s, a, b in zip(start, n, cells)])
+        numbers = np.concatenate([r + np.tile(np.arange(a), b) for r, a, b in zip(row, n, cells)])
+        at = np.concatenate([f + np.arange(b) for f, b in zip(first, cells)])
+        w = np.repeat(w, cells)
+        once = pa.array(np.repeat(row, cells))
+        offsets = pa.array(np.append(0, np.cumsum(np.repeat(n, cells))).astype(np.int32))
+        column = {c: table.column(c).combine_chunks() for c in (*keys, channel, "_part")}
+        return pa.RecordBatch.from_arrays(
+            [
+                *[column[k].take(once) for k in keys],
+                pa.array((at // w).astype(np.int32)),
+                pa.array((at % w).astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, column[channel].take(pa.array(numbers))),
+                pa.ListArray.from_arrays(offsets, column["_part"].flatten().take(pa.array(by_cell))),
+            ],
+            names,
+        )
+
     def transpose(batches):
+        held, shapes, size = [], [], 0
         for _, table in groups_of(batches, [*keys, "_first"]):
-            n = table.num_rows
-            parts = table.column("_part").combine_chunks()
-            sizes = parts.value_lengths().to_numpy(zero_copy_only=False)
-            numbers = table.column(channel).combine_chunks()
-            if len(set(numbers.to_pylist())) < n:
-                raise ValueError("a channel is repeated")
-            if (sizes != sizes[0]).any() or len(set(table.column("w").to_pylist())) > 1:
-                raise ValueError("fields of one sample differ in size")
-            cells, w = int(sizes[0]), table.column("w")[0].as_py()
-            by_cell = np.arange(n * cells).reshape(n, cells).T.ravel()
-            offsets = pa.array(np.arange(cells + 1, dtype=np.int32) * n)
-            at = np.arange(cells) + table.column("_first")[0].as_py()
-            once = pa.array(np.zeros(cells, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[table.column(k).combine_chunks().take(once) for k in keys],
-                    pa.array((at // w).astype(np.int32)),
-                    pa.array((at % w).astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, numbers.take(pa.array(np.tile(np.arange(n), cells)))),
-                    pa.ListArray.from_arrays(offsets, parts.flatten().take(pa.array(by_cell))),
-                ],
-                names,
-            )
+            held.append(table)
+            shapes.append(shape(table))
+            size += shapes[-1][0] * shapes[-1][1]
+            if size >= TOGETHER:
+                yield turned(held, shapes)
+                held, shapes, size = [], [], 0
+        if held:
+            yield turned(held, shapes)
 
     return rows.mapInArrow(transpose, schema)
 

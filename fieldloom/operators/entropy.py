@@ -20,14 +20,14 @@ from pyspark.sql.window import Window as W
 from ..sizing import reused
 from .bands import band_rows, pair_counts
 from .layout import div, positions
+from .tables import cdf_rows, coded_bits
 
 # CDF precision in bits; channels with a support this narrow or narrower
-# are never searched for; contexts of the spatial and the spatial+channel model.
+# are never searched for; contexts of the spatial model (the one with channels has one more).
 PRECISION = 16
 TOTAL = 1 << PRECISION
 NARROW_RANGE = 4
 SPATIAL_CONTEXTS = 3
-CHANNEL_CONTEXTS = 4
 
 
 def symbol_histogram(cells: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
@@ -58,33 +58,9 @@ def symbol_cdf(hist: DataFrame, keys: Sequence[str] = ("c",), support: DataFrame
 
     ``groups`` lists the groups that must get a table even if they have no symbols.
     """
-    keys = list(keys)
     support = symbol_support(hist, channel, sym) if support is None else support
     # Missing symbols have no code: they are no part of the whole, and an entropy counts them as unpriced.
-    totals = hist.groupBy(*keys).agg(F.sum(F.when(F.col(sym).isNotNull(), F.col("n"))).alias("_n"))
-    if groups is not None:
-        totals = groups.join(totals, keys, "left")
-    dense = totals.join(support, list(channel)).select(
-        *keys, "_n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("hi") - F.col("lo"))).alias("k")
-    )
-    counts = hist.select(*keys, F.col(sym).alias("_sym"), F.col("n").alias("_c"))
-    # Row k closes the interval of symbol lo + k - 1.
-    rows = dense.withColumn("_sym", F.col("lo") + F.col("k") - 1).join(counts, [*keys, "_sym"], "left")
-    share = F.round(F.coalesce(F.col("_c"), F.lit(0)) * (F.lit(float(TOTAL - 1)) / F.col("_n")))
-    width = F.when(F.col("k") == 0, F.lit(0)).otherwise(
-        F.greatest(F.coalesce(share, F.lit(0.0)).cast("long"), F.lit(1))
-    )
-    upward = W.partitionBy(*keys).orderBy("k")
-    downward = W.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    raw = F.sum(width).over(upward.rowsBetween(W.unboundedPreceding, W.currentRow))
-    is_last = F.col("k") == F.col("hi") - F.col("lo")
-    return (
-        rows.withColumn("_raw", F.when(is_last, F.lit(TOTAL)).otherwise(raw))
-        .withColumn("_low", F.min(F.col("_raw") - F.col("k")).over(downward) + F.col("k"))
-        .withColumn("cproba", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("_low")).cast("long"))
-        .withColumn("step", F.lead("cproba").over(upward) - F.col("cproba"))
-        .select(*keys, "k", (F.col("lo") + F.col("k")).cast("int").alias(sym), "cproba", "step")
-    )
+    return cdf_rows(hist, list(keys), support, groups, list(channel), sym, TOTAL)
 
 
 def most_probable_symbol(cdf: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
@@ -116,6 +92,16 @@ def weighted_bits(hist: DataFrame, cdf: DataFrame, keys: Sequence[str], out: Seq
     )
 
 
+def own_bits(hist: DataFrame, keys: Sequence[str], out: Sequence[str], support: DataFrame,
+             channel: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
+    """:func:`weighted_bits` of a histogram under the CDF of its own groups, made where the counts are."""
+    each = coded_bits(hist, list(keys), support, list(channel), sym, PRECISION)
+    n = F.sum("n")
+    return each.groupBy(*out).agg(
+        F.try_divide(F.sum("_bits"), n).alias("bits"), n.alias("n"), F.sum("n_unpriced").alias("n_unpriced")
+    )
+
+
 def cross_entropy(hist: DataFrame, cdf: DataFrame, keys: Sequence[str] = ("c",), sym: str = "sym") -> DataFrame:
     """Mean bits per symbol, ``16 - log2(step)``; symbols outside the CDF are counted apart."""
     return weighted_bits(hist, cdf, keys, keys, sym)
@@ -230,12 +216,8 @@ def threshold_entropy(fields: DataFrame, modes: DataFrame, support: DataFrame,
         {"_small": F.sum(F.coalesce("_small", F.lit(0))).over(upto), "_large": F.sum(F.coalesce("_large", F.lit(0))).over(upto)}
     )
     per_context = F.array(F.col("_large"), F.col("_small") - F.col("_large"), F.col("_all") - F.col("_small"))
-    hist = reused(
-        near.where("th >= 0").select("c", "th", "sym", F.posexplode(per_context).alias("ctx", "n")).where("n > 0")
-    )
-    # Contexts without symbols are never looked up, so they need no table here.
-    cdf = symbol_cdf(hist, ["c", "th", "ctx"], support, channel=["c"])
-    return weighted_bits(hist, cdf, ["c", "th", "ctx"], ["c", "th"])
+    hist = near.where("th >= 0").select("c", "th", "sym", F.posexplode(per_context).alias("ctx", "n")).where("n > 0")
+    return own_bits(hist, ["c", "th", "ctx"], ["c", "th"], support)
 
 
 def best_threshold(entropies: DataFrame) -> DataFrame:
@@ -290,9 +272,8 @@ def channel_context(fields: DataFrame, modes: DataFrame, thresholds: DataFrame,
 def channel_context_entropy(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, order: DataFrame,
                             support: DataFrame) -> DataFrame:
     """Bits per symbol with four contexts, the previous channel taken from ``order``."""
-    hist = reused(context_histogram(channel_context(fields, modes, thresholds, order)))
-    cdf = context_cdf(hist, CHANNEL_CONTEXTS, support=support)
-    return context_entropy(hist, cdf)
+    hist = context_histogram(channel_context(fields, modes, thresholds, order))
+    return own_bits(hist, ["c", "ctx"], ["c"], support)
 
 
 def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, support: DataFrame,
@@ -320,15 +301,13 @@ def channel_gains(fields: DataFrame, modes: DataFrame, thresholds: DataFrame, su
         F.struct((F.col("ctx") + 1).alias("ctx"), F.col("hit").alias("n")),
         F.struct(F.col("ctx").alias("ctx"), (F.col("_n") - F.col("hit")).alias("n")),
     )
-    hist = reused(
+    hist = (
         per_prev.select("prev", "c", "sym", F.explode(after).alias("_h"))
         .where(F.col("_h.n") > 0)
         .groupBy("prev", "c", F.col("_h.ctx").alias("ctx"), "sym")
         .agg(F.sum("_h.n").alias("n"))
     )
-    # Contexts without symbols are never looked up, so they need no table here.
-    cdf = symbol_cdf(hist, ["prev", "c", "ctx"], support.select("c", "lo", "hi"))
-    cost = weighted_bits(hist, cdf, ["prev", "c", "ctx"], ["prev", "c"])
+    cost = own_bits(hist, ["prev", "c", "ctx"], ["prev", "c"], support)
     return cost.join(default_bits.select("c", F.col("bits").alias("_d")), "c").select(
         "prev", "c", (F.col("_d") - F.col("bits")).alias("gain")
     )

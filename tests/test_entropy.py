@@ -286,3 +286,33 @@ def test_symbol_out_of_range(spark):
 
 def test_histogram_totals(fields, model):
     assert model[0].agg(F.sum("n")).first()[0] == fields.select(F.explode("values")).count()
+
+
+def test_edges_match_a_plain_loop():
+    from fieldloom.operators.tables import edges
+
+    rng = np.random.default_rng(5)
+    for size, total in [(1, 65536), (7, 65536), (200, 256), (255, 256), (40, 65536)]:
+        counts = rng.integers(0, 50, size) * rng.integers(0, 2, size)
+        whole = int(counts.sum())
+        want = [0]
+        for n in counts:
+            share = int(n) * ((total - 1) / whole) if whole else 0.0
+            want.append(want[-1] + max(1, math.floor(share) + (share - math.floor(share) >= 0.5)))
+        want[-1] = total
+        for k in range(size - 1, 0, -1):
+            want[k] = min(want[k], want[k + 1] - 1)
+        assert edges(counts, whole, total).tolist() == want
+
+
+def test_bits_of_own_tables_match_the_join(spark):
+    rows = [(c, x, s, n) for c in (0, 1) for x in (0, 1) for s, n in [(-3, 2), (0, 40 + c), (4, 1 + x), (None, 5)]]
+    hist = spark.createDataFrame([*rows, (1, 2, None, 7)], "c int, ctx int, sym int, n long")
+    support = en.symbol_support(hist.where("sym < 4"))  # the symbol 4 has no place in the tables
+    cdf = en.symbol_cdf(hist, ["c", "ctx"], support)
+    want = {r["c"]: r for r in en.weighted_bits(hist, cdf, ["c", "ctx"], ["c"]).collect()}
+    got = {r["c"]: r for r in en.own_bits(hist, ["c", "ctx"], ["c"], support).collect()}
+    assert got.keys() == want.keys() == {0, 1}
+    for c in want:
+        assert got[c]["bits"] == pytest.approx(want[c]["bits"])
+        assert (got[c]["n"], got[c]["n_unpriced"]) == (want[c]["n"], want[c]["n_unpriced"])

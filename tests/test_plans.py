@@ -8,7 +8,7 @@ from fieldloom.sources.fieldstore import open_colocated, write_colocated
 
 QUERIES = load_queries()[0]
 
-# Sequential steps, stencils and array arithmetic on packed fields; streams run while the query is built.
+# Sequential steps, stencils, array arithmetic on packed fields and code tables of whole groups; streams run while the query is built.
 PYTHON = {
     "e13_pmf_to_cdf", "s04_decode_npy", "e11_channel_gains",
     "g05_downsample_avg", "g07_regrid_bilinear", "g08_gaussian_blur", "n06_minmax_quantize", "n07_minmax_dequantize",
@@ -19,6 +19,8 @@ PYTHON = {
     "n05_destandardize_fields", "q01_quantize_dequantize_fields", "q02_quantize_symbols_fields", "q03_dequantize_fields",
     "q05_scale_index_fields", "q05_scale_index_fields_gaps", "e14_likelihood_fields", "e14_likelihood_fields_gaps",
     "e15_bits_from_fields", "e15_bits_from_fields_gaps",
+    "e02_symbol_cdf", "e02_symbol_cdf_gaps", "e03_most_probable_symbol", "e04_cross_entropy", "e04_cross_entropy_gaps",
+    "e06_context_cdf", "e06_context_cdf_gaps", "e07_context_entropy", "e08_threshold_entropy", "e10_channel_context_entropy",
     "m03_weighted_rmse_fields_gaps", "m04_anomaly_correlation_fields_gaps", "m05_bias_activity_fields_gaps",
 }
 STREAMS = {n for n in QUERIES if n.startswith("w0")}
