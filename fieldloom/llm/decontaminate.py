@@ -28,8 +28,8 @@ from ..session import checkpointed
 MASKS = ("1101111", "111001011", "1101000111", "11010111", "11110000101")
 #: Words in a row that are held against an item (all of a shorter item), and the percentage that must agree.
 WINDOW, AGREE = 13, 75
-#: Items with fewer words are no evidence.
-MIN_ITEM = 8
+#: Items with fewer words than this must be met word for word: a hash of the whole item is their seed.
+SHORT = 8
 BITMAP_BITS = 26
 #: Distinct words whose hashes a task remembers before it starts anew.
 REMEMBERED = 500_000
@@ -50,18 +50,27 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def under(mask: str, words: np.ndarray, kind: int) -> np.ndarray:
+    """The hashes of all runs of word hashes under a mask, by start; ``kind`` tells masks apart."""
+    n = max(0, len(words) - len(mask) + 1)
+    made = np.full(n, kind, np.uint64)
+    for at, look in enumerate(mask):
+        if look == "1":
+            made = (made ^ words[at : at + n]) * MULTIPLY
+            made ^= made >> SHIFT
+    return made
+
+
 def seeds(words: np.ndarray):
     """For every mask, the hashes of all runs of word hashes under it, by start."""
     for which, mask in enumerate(MASKS):
-        n = len(words) - len(mask) + 1
-        if n <= 0:
-            continue
-        made = np.full(n, which + 1, np.uint64)
-        for at, look in enumerate(mask):
-            if look == "1":
-                made = (made ^ words[at : at + n]) * MULTIPLY
-                made ^= made >> SHIFT
-        yield made
+        if len(words) >= len(mask):
+            yield under(mask, words, which + 1)
+
+
+def whole(words: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of ``size`` words, by start: the seeds of items of that many words."""
+    return under("1" * size, words, len(MASKS) + size)
 
 
 def bits_of(hashes: np.ndarray) -> list[np.ndarray]:
@@ -74,8 +83,18 @@ def is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
 
 
-def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """Distinct items of at least ``MIN_ITEM`` words: ``item`` (a hash of the words), the smallest
+def known_places(bitmap: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """Where the hashes are that the bitmap knows."""
+    at = np.arange(len(made))
+    for bit in range(3):
+        at = at[is_set(bitmap, bits_of(made[at])[bit])]
+        if not len(at):
+            break
+    return at
+
+
+def benchmark_items(benchmark: DataFrame, fewest_words: int) -> DataFrame:
+    """Distinct items of at least ``fewest_words`` words: ``item`` (a hash of the words), the smallest
     ``item_id`` with that text, and ``item_words`` (their hashes)."""
 
     def hashed(batches):
@@ -90,7 +109,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     rows = rows.mapInArrow(hashed, "item_id long, item long, item_words array<long>")
-    rows = rows.where(F.size("item_words") >= MIN_ITEM)
+    rows = rows.where(F.size("item_words") >= fewest_words)
     return rows.groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("item_words").alias("item_words"))
 
 
@@ -100,7 +119,8 @@ def item_seeds(items: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for item, words in zip(batch.column("item").to_pylist(), batch.column("item_words")):
-                for made in seeds(words.values.to_numpy().view(np.uint64)):
+                words = words.values.to_numpy().view(np.uint64)
+                for made in seeds(words) if len(words) >= SHORT else [whole(words, len(words))]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(made.view(np.int64)), pa.array(np.full(len(made), item)), pa.array(np.arange(len(made), dtype=np.int32))],
                         ["hash", "item", "item_at"],
@@ -127,9 +147,10 @@ def bitmap(made: DataFrame) -> np.ndarray:
     return out
 
 
-def documents_with_seeds(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def documents_with_seeds(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
     """Documents with a seed in the bitmap: ``doc_id``, ``text_key`` (hash of the text), ``same``
-    (hash of the words), ``words`` and ``hits`` (``hash`` and ``at``)."""
+    (hash of the words), ``words`` and ``hits`` (``hash`` and ``at``).  ``short`` lists the sizes of short items;
+    of equal runs of such a size the first stands for all."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
     hit = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(hit)]
@@ -143,11 +164,12 @@ def documents_with_seeds(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 words = known.of(text)
                 hits = []
                 for made in seeds(words):
-                    at = np.arange(len(made))
-                    for bit in range(3):
-                        at = at[is_set(bitmap, bits_of(made[at])[bit])]
-                        if not len(at):
-                            break
+                    at = known_places(bitmap, made)
+                    hits += zip(made[at].view(np.int64).tolist(), at.tolist())
+                for size in short:
+                    made = whole(words, size)
+                    at = known_places(bitmap, made)
+                    at = at[np.unique(made[at], return_index=True)[1]]
                     hits += zip(made[at].view(np.int64).tolist(), at.tolist())
                 if hits:
                     same = xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63)
@@ -164,7 +186,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     """Where a document agrees with an item when its word ``shift`` meets the item's first:
     the item's first word of the overlap, its length and the words that agree; None if no window agrees enough.
 
-    The overlap reaches from the first to the last window of ``WINDOW`` words that agrees.
+    The overlap reaches from the first to the last window of ``WINDOW`` words that agrees.  Of an item
+    of fewer than ``SHORT`` words all must agree.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     width = min(WINDOW, len(item))
@@ -172,14 +195,15 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
         return None
     same = item[low:high] == doc[low + shift : high + shift]
     upto = np.concatenate([[0], np.cumsum(same)])
-    good = np.flatnonzero((upto[width:] - upto[:-width]) * 100 >= AGREE * width)
+    need = AGREE if len(item) >= SHORT else 100
+    good = np.flatnonzero((upto[width:] - upto[:-width]) * 100 >= need * width)
     if not len(good):
         return None
     a, b = int(good[0]), int(good[-1]) + width
     return low + a, b - a, int(upto[b] - upto[a])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, fewest_words: int = 1) -> DataFrame:
     """Documents that hold passages of benchmark items, substitutions allowed.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``.  Words are runs of
@@ -190,15 +214,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``item_start``, ``n_words`` and ``n_agree`` of the largest overlap.
 
     Every document that agrees so far with an item of at least ``WINDOW`` words is found.  Items of
-    fewer words are found for certain verbatim, and with the substitutions listed at ``MASKS``.
-    NULL and empty texts match nothing.  Items of fewer than ``MIN_ITEM`` words are left out: such
-    runs of words are common in texts that hold no benchmark.
+    fewer words are found for certain verbatim, and with the substitutions listed at ``MASKS``; items of
+    fewer than ``SHORT`` words only verbatim (``doc_start`` is the first such place).  Very short items are common
+    in texts that hold no benchmark: ``fewest_words`` leaves out items of fewer words.
+    NULL and empty texts, and items without words, match nothing.
     Repeated documents each get their rows; documents with the same words are compared once.
     Empty tables give an empty result.
     """
-    items = checkpointed(benchmark_items(benchmark))
+    items = checkpointed(benchmark_items(benchmark, max(1, fewest_words)))
+    size = F.size("item_words").alias("size")
+    short = sorted(r["size"] for r in items.where(size < SHORT).select(size).distinct().collect())  # under SHORT numbers
     made = checkpointed(item_seeds(items))
-    found = checkpointed(documents_with_seeds(docs, bitmap(made)))
+    found = checkpointed(documents_with_seeds(docs, bitmap(made), short))
     different = found.dropDuplicates(["same"])
     hits = different.select("same", F.explode("hits").alias("hit")).select("same", "hit.hash", "hit.at")
     pairs = hits.join(made, "hash").select("same", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()

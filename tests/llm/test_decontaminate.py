@@ -26,7 +26,7 @@ def brute(docs, items):
     for doc, text in docs:
         for item, said in items:
             a, b = (np.array(t.lower().split()) for t in (text, said))
-            if len(b) >= 8 and any(overlap(a, b, s) for s in range(-len(b), len(a))):
+            if len(b) and any(overlap(a, b, s) for s in range(-len(b), len(a))):
                 out.add((doc, item))
     return out
 
@@ -65,7 +65,7 @@ def test_repeats_and_edges(spark, edges, nothing):
     bench = [(3, item), (2, item.upper()), (None, None), (9, ""), (4, "too short"), (5, "one two three")]
     bench = spark.createDataFrame(bench, "item_id long, text string")
     rows = contaminated(edges, bench).collect()
-    assert sorted((r["doc_id"] or 0, r["item_id"], r["n_agree"]) for r in rows) == [(0, 2, 15), (1, 2, 15), (1, 2, 15)]
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["n_agree"]) for r in rows) == [(0, 2, 15), (1, 2, 15), (1, 2, 15), (1, 5, 3), (1, 5, 3)]
     assert contaminated(nothing, bench).count() == 0
     assert contaminated(edges, bench.limit(0)).count() == 0
     assert len(EDGES) == edges.count()
@@ -92,6 +92,30 @@ def test_all_substitutions_in_a_passage(spark):
     assert {r["doc_id"] for r in rows} == set(range(286)) and {r["n_agree"] for r in rows} == {10}
 
 
+def test_short_items_are_found_word_for_word(spark):
+    """Items of one to seven words: exactly the documents that hold the run, as a plain search finds it."""
+    items = [(n, " ".join(words(n))) for n in range(1, 8)] + [(20, " ".join(["again"] * 3)), (21, " ".join(["again"] * 4))]
+    docs = [(k, " ".join(words(60))) for k in range(40)]
+    for n, text in items:
+        said = text.split()
+        changed = [*said[:-1], "changed"]
+        docs += [(100 + n, text.upper()), (200 + n, " ".join(words(3) + said + said + words(3))), (300 + n, " ".join(words(3) + changed))]
+    docs += [(400, None), (401, ""), (402, docs[1][1])]
+    want = {}
+    for doc, text in docs:
+        said = (text or "").lower().split()
+        for item, run in items:
+            run = run.split()
+            at = [k for k in range(len(said) - len(run) + 1) if said[k : k + len(run)] == run]
+            if at:
+                want[doc, item] = (at[0], 0, len(run), len(run))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r[0], r[2]): tuple(r[3:]) for r in contaminated(docs, items).collect()}
+    assert got == want and len(want) >= 18
+    assert {r["item_id"] for r in contaminated(docs, items, fewest_words=4).collect()} == {4, 5, 6, 7, 21}
+
+
 def test_overlap():
     item = np.arange(20)
     doc = np.concatenate([np.full(5, -1), item, np.full(3, -2)])
