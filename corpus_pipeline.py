@@ -18,6 +18,9 @@ from fieldloom.llm.pii import mask
 from fieldloom.llm.simhash import near_duplicates
 from fieldloom.session import shared_dir
 
+#: Words that a benchmark item must have for its presence to be evidence against a document.
+PASSAGE_WORDS = 8
+
 
 def _named(wanted: str, columns: list[str]) -> str:
     """A column name like ``wanted`` that is not taken."""
@@ -49,8 +52,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drop documents that hold a passage of a benchmark item.
+
+    Items of fewer than ``PASSAGE_WORDS`` words are phrases that clean documents hold too; they drop nothing.
+    """
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), fewest_words=PASSAGE_WORDS)
     id_, key = _named("_id", docs.columns), _named("_key", docs.columns)
     found = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
